@@ -16,7 +16,7 @@ from tidemark.llm.common import bound_batches, remainder
 #: Each class learns from so many labelled documents at most (those of smallest key hash), of each so many characters.
 TRAIN_DOCS, TRAIN_CHARS = 3000, 6000
 #: A text is compressed in parts of so many bytes, so that the dictionaries tell as much about its end as about its start.
-PART, DICT_BYTES, LEVEL = 2048, 110 << 10, 3
+PART, DICT_BYTES, LEVEL = 512, 110 << 10, 3
 _models: dict[str, tuple] = {}
 
 
