@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import mixing
 from tidemark.llm.common import table
 from tidemark.llm.langid import language_id
+from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.mixing import mixed
 from tidemark.llm.quality import quality_scores
 from tidemark.llm.token_counts import token_counts
@@ -34,6 +35,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op5_mix": op5_mix,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_token_output": op10_token_output,
 }
 
