@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import mixing
 from tidemark.llm.common import table
+from tidemark.llm.embed_dedup import near_vectors
 from tidemark.llm.langid import language_id
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.mixing import mixed
@@ -35,6 +36,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op5_mix": op5_mix,
+    "op8_near_vectors": op8_near_vectors,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_output": op10_token_output,
 }

@@ -9,20 +9,26 @@ because only Spark's writers reach every store and commit a task's output once,
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.bpe import Interned, pieces
+from tidemark.llm.bpe import SPLIT, Interned, pieces
 from tidemark.llm.common import bound_batches, new_path, work_slices
-from tidemark.llm.token_counts import KEPT_PIECES, read_model
+from tidemark.llm.token_counts import read_model
+
+#: A worker forgets its encoded pieces when it holds more than this.
+KEPT_PIECES = 500_000
 
 #: A block ends after so many bytes of frames or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 512
@@ -32,6 +38,23 @@ LEVEL = 1
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
+class Ragged:
+    """Arrays of ids end to end."""
+
+    def __init__(self):
+        self.ids, self.lens, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lens) - lens])
+        self.lens, self.ids = np.concatenate([self.lens, lens]), np.concatenate([self.ids, ids])
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the arrays at these places end to end, and how many each has."""
+        lens = self.lens[at]
+        ends = np.cumsum(lens)
+        return self.ids[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)], lens
+
+
 class PieceEncoder:
     """Encodes texts with the tokenizers library, which sees each distinct piece once while it is kept."""
 
@@ -39,18 +62,65 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(model)
+        added = {t["content"] for t in json.loads(model).get("added_tokens", ())}
+        self.split, self.added = regex.compile(SPLIT), re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes of each token
+        for token, i in vocab.items():
+            self.width[i] = len(token.encode()) if token in added else len(token)
         self.reset()
 
     def reset(self) -> None:
-        self.known, self.ids = Interned(), np.zeros(0, np.uint32)
-        self.lens, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.pieces, self.word, self.words = Interned(), Ragged(), Interned(), Ragged()
 
-    def _learn(self, new: list[str]) -> None:
-        own = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and how many each has; every text is encoded alone."""
+        own = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lens = np.fromiter(map(len, own), np.int64, len(own))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in own for i in x), np.uint32, int(lens.sum()))])
+        return np.fromiter((i for x in own for i in x), np.uint32, int(lens.sum())), lens
+
+    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that begin with a space, encoded as one text; the tokens' bytes tell where each ends."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+        upto = np.cumsum(self.width[ids])
+        ends = np.cumsum(np.fromiter((len(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64, len(texts)))
+        last = np.searchsorted(upto, ends)
+        if len(upto) and upto[-1] == ends[-1] and (upto[last] == ends).all():
+            return ids, np.diff(last + 1, prepend=0)
+        return self._each(texts)
+
+    def _learn_words(self, new: list[str]) -> None:
+        special = bool(self.added.search("\n".join(new)))
+        parts, spaced = [], np.array([len(w) > 1 and w[0] == " " and not w[1].isspace() and not (special and self.added.search(w)) for w in new], bool)
+        for i in range(0, len(new), 2000):
+            part, joined = new[i : i + 2000], spaced[i : i + 2000]
+            a, la = self._joined([w for w, s in zip(part, joined, strict=True) if s])
+            b, lb = self._each([w for w, s in zip(part, joined, strict=True) if not s])
+            lens = np.zeros(len(part), np.int64)
+            lens[joined], lens[~joined] = la, lb
+            ids, own = np.empty(int(lens.sum()), np.uint32), np.repeat(joined, lens)
+            ids[own], ids[~own] = a, b
+            parts.append((ids, lens))
+        self.words.add(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+
+    def _learn(self, new: list) -> None:
+        """Pieces are cut into pre-tokens, of which each distinct one is encoded once."""
+        before, flat, n = len(self.word), [], np.zeros(len(new), np.int64)
+        texts = [p[0] if isinstance(p, tuple) else " " + p for p in new]
+        special = bool(self.added.search("\n".join(texts)))
+        for i, text in enumerate(texts):
+            own = [text] if special and self.added.search(text) else self.split.findall(text)
+            flat += own
+            n[i] = len(own)
+        at = np.fromiter(map(self.word.__getitem__, flat), np.int64, len(flat))
+        if len(self.word) > before:
+            self._learn_words(self.word.since(before))
+        ids, lens = self.words.take(at)
+        upto = np.append(0, np.cumsum(lens))
+        ends = np.cumsum(n)
+        self.pieces.add(ids, upto[ends] - upto[ends - n])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -66,11 +136,9 @@ class PieceEncoder:
         before = len(self.known)
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         if len(self.known) > before:
-            self._learn(["".join(p) if isinstance(p, tuple) else " " + p for p in self.known.since(before)])
-        lens = self.lens[at]
-        ends = np.cumsum(lens)
-        ids = self.ids[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
-        return np.split(ids, np.append(0, ends)[np.cumsum(n)][:-1]) if len(texts) else []
+            self._learn(self.known.since(before))
+        ids, lens = self.pieces.take(at)
+        return np.split(ids, np.append(0, np.cumsum(lens))[np.cumsum(n)][:-1]) if len(texts) else []
 
 
 def worker_encoder(ident: str, model: bytes) -> PieceEncoder:
@@ -186,7 +254,7 @@ def _opened(header) -> tuple[zstandard.ZstdDecompressor, np.dtype]:
 def read_tokens(spark: SparkSession, path: str, *, key: str = "doc_id") -> DataFrame:
     """Per document, from the files: key, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32 bits)."""
     header = spark.read.parquet(f"{path}/header").first()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # blocks, not documents
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # blocks, not documents
 
     def decode(batches):
         unzip, dtype = _opened(header)
@@ -201,13 +269,14 @@ def read_tokens(spark: SparkSession, path: str, *, key: str = "doc_id") -> DataF
                         raise ValueError("a frame doesn't hold as many ids as its index says")
                     out.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 n = np.array(row["counts"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(row["keys"], batch.schema.field("keys").type.value_type), pa.array(row["start"] + np.cumsum(n) - n), pa.array(n), pa.array(out, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
+                same = [pa.array(np.full(len(n), row[c]), t) for c, t in (("shard", pa.int32()), ("block", pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(row["keys"], batch.schema.field("keys").type.value_type), *same, pa.array(np.cumsum(n) - n), pa.array(n), pa.array(out, pa.int64())], [key, "shard", "block", "inside", "n_tokens", "ids_crc32"])
 
-    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks").select("shard", "block", "dict_hash", "keys", "counts", "offsets", "frames")
     kind = blocks.schema["keys"].dataType.elementType.simpleString()
-    # the frames stay where they lie: only the small table of starts is moved (a row per block)
-    starts = block_starts(spark, path)
-    return blocks.join(starts, ["shard", "block"]).select("dict_hash", "keys", "counts", "offsets", "start", "frames").mapInArrow(decode, f"{key} {kind}, start long, n_tokens long, ids_crc32 long")
+    # frames are decoded where they are read; only rows of numbers meet the blocks' starts
+    out = blocks.mapInArrow(decode, f"{key} {kind}, shard int, block long, inside long, n_tokens long, ids_crc32 long")
+    return out.join(block_starts(spark, path), ["shard", "block"]).select(key, (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_document(spark: SparkSession, path: str, key_value) -> list[np.ndarray]:
