@@ -15,6 +15,7 @@ from tidemark.llm.langid import language_id
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.mixing import mixed
 from tidemark.llm.quality import quality_scores
+from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.token_output import token_output
 
@@ -41,6 +42,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_mix": op5_mix,
     "op6_decontamination": op6_decontamination,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_near_vectors": op8_near_vectors,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_output": op10_token_output,
