@@ -12,6 +12,7 @@ from tidemark.llm.common import table
 from tidemark.llm.decontam import contamination
 from tidemark.llm.embed_dedup import near_vectors
 from tidemark.llm.langid import language_id
+from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.mixing import mixed
 from tidemark.llm.quality import quality_scores
@@ -26,6 +27,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +65,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op5_mix": op5_mix,
