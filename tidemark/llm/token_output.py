@@ -27,12 +27,12 @@ from tidemark.llm.bpe import SPLIT, Interned, pieces
 from tidemark.llm.common import bound_batches, new_path, work_slices
 from tidemark.llm.token_counts import read_model
 
-#: A worker forgets its encoded pieces when it holds more than this.
-KEPT_PIECES = 500_000
+#: A worker forgets its pieces, and its encoded pre-tokens, when it holds more of them than this.
+KEPT_PIECES, KEPT_WORDS = 500_000, 1_000_000
 
 #: A block ends after so many bytes of frames or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 512
-#: The dictionary is trained on so many documents (those of smallest key hash), of each at most so many characters.
+#: The dictionary is trained on about so many documents, of each at most so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 1500, 4096, 64 << 10
 LEVEL = 1
 _encoders: dict[str, "PieceEncoder"] = {}
@@ -68,10 +68,13 @@ class PieceEncoder:
         self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes of each token
         for token, i in vocab.items():
             self.width[i] = len(token.encode()) if token in added else len(token)
+        self.word, self.words = Interned(), Ragged()
         self.reset()
 
     def reset(self) -> None:
-        self.known, self.pieces, self.word, self.words = Interned(), Ragged(), Interned(), Ragged()
+        self.known, self.pieces = Interned(), Ragged()
+        if len(self.word) > KEPT_WORDS:
+            self.word, self.words = Interned(), Ragged()
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has; every text is encoded alone."""
@@ -124,7 +127,7 @@ class PieceEncoder:
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.known) > KEPT_PIECES:
+        if len(self.known) > KEPT_PIECES or len(self.word) > KEPT_WORDS:
             self.reset()
         flat, n = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -158,8 +161,11 @@ class TokenFiles:
 
 
 def _sample(docs: DataFrame, key: str, text: str) -> list[str]:
-    own = docs.select(F.xxhash64(key).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).where(F.length("t") > 0)
-    return [r.t for r in own.orderBy("h", "t").limit(SAMPLE_DOCS).collect()]
+    """Starts of about SAMPLE_DOCS texts, chosen by a hash of key and start, so that their number doesn't grow."""
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    own = docs.select(F.col(key).alias("k"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).where(F.length("t") > 0)
+    drawn = own.where(F.pmod(F.xxhash64("k", "t"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return sorted(r.t for r in drawn.select("t").collect())
 
 
 def train_dictionary(samples: list[np.ndarray], size: int = DICT_BYTES) -> bytes:
