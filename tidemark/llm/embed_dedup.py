@@ -5,7 +5,6 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +19,8 @@ BITS, PARTS, AGREE = 64, 8, 2
 TRAIN_ROWS, ROUNDS = 20_000, 40
 #: Vectors of a bucket that are compared in one block.
 BLOCK = 256
+#: Blocks of so many vectors or fewer are compared together; rows that are worked on at a time.
+SMALL, WORK_ROWS = 12, 20_000
 
 
 def tables(parts: int = PARTS, agree: int = AGREE) -> list[tuple[int, ...]]:
@@ -68,44 +69,72 @@ def _usable(c: Column) -> Column:
     return c.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(c, lambda v: v != 0)
 
 
-def count_links(keys: list, x: np.ndarray, weights: np.ndarray, parts: np.ndarray, table: int, split: int | None, least: float = SIMILARITY):
-    """(links of each vector, spanning links) among x, or between x[:split] and x[split:], of pairs of cosine >= least.
+def _first_tables() -> np.ndarray:
+    """By which parts agree (a bit for each), the first table in which a pair meets; -1 if in none."""
+    out = np.full(1 << PARTS, -1)
+    for agree in range(1 << PARTS):
+        out[agree] = next((t for t, chosen in enumerate(tables()) if all(agree >> p & 1 for p in chosen)), -1)
+    return out
 
-    A pair that agrees in several tables counts in the first of them only, so the sums over all tables count it once.
+
+FIRST_TABLE = _first_tables()
+_BITS = (1 << np.arange(PARTS)).astype(np.int64)
+
+
+def _meets(parts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return FIRST_TABLE[(parts[i] == parts[j]) @ _BITS]
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what the links i-j join, one less than the members of each joined set."""
+    near = np.zeros((n, n), bool)
+    near[i, j] = near[j, i] = True
+    left, out = np.ones(n, bool), []
+    for start in np.unique(i).tolist():
+        if left[start]:
+            left[start] = False
+            todo = [start]
+            while todo:
+                u = todo.pop()
+                new = np.flatnonzero(near[u] & left)
+                left[new] = False
+                out += [(u, v) for v in new.tolist()]
+                todo += new.tolist()
+    return out
+
+
+def links_in_blocks(block: np.ndarray, second: np.ndarray, inner: np.ndarray, table: np.ndarray, weights: np.ndarray, x: np.ndarray, parts: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(links of every row, spanning links as row numbers) of pairs of cosine >= least within blocks.
+
+    Rows lie block by block, in a block that compares two sets the first set before the second. A pair that agrees in
+    several tables counts in the first of them only, so that the sums over all tables count it once. Small blocks are
+    compared all together, one distance between rows after the other; large ones by a matrix product each.
     """
-    a, b = (slice(None), slice(None)) if split is None else (slice(0, split), slice(split, None))
-    close = x[a] @ x[b].T >= least
-    if split is None:
-        close = np.triu(close, 1)
-    i, j = np.nonzero(close)
-    j = j + (split or 0)
-    links = np.zeros(len(keys), np.int64)
-    if len(i):
-        equal = parts[i] == parts[j]
-        first = np.full(len(i), -1)
-        for t, chosen in reversed(list(enumerate(tables()))):
-            first[equal[:, list(chosen)].all(1)] = t
-        i, j = i[first == table], j[first == table]
-        np.add.at(links, i, weights[j])
-        np.add.at(links, j, weights[i])
-    root = np.arange(len(keys))
-    span = []
-    for _ in range(len(keys)):
-        u, v = root[i], root[j]
-        cross = np.flatnonzero(u != v)
-        if not len(cross):
-            break
-        # each root takes the smallest root it is linked to, by one of the links
-        low, high = np.minimum(u, v)[cross], np.maximum(u, v)[cross]
-        order = np.lexsort((low, high))
-        new = np.append(True, high[order][1:] != high[order][:-1])
-        pick = order[new]
-        span += [(keys[p], keys[q]) for p, q in zip(i[cross[pick]].tolist(), j[cross[pick]].tolist(), strict=True)]
-        to = np.arange(len(keys))
-        to[high[pick]] = low[pick]
-        while (to[to] != to).any():
-            to = to[to]
-        root = to[root]
+    links, span = np.zeros(len(block), np.int64), []
+    first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(block)))
+    small = np.repeat(size <= SMALL, size)
+
+    def count(i: np.ndarray, j: np.ndarray) -> None:
+        own = _meets(parts, i, j) == table[i]
+        np.add.at(links, i[own], weights[j[own]])
+        np.add.at(links, j[own], weights[i[own]])
+
+    for step in range(1, SMALL):
+        i = np.flatnonzero(small[:-step] & (block[:-step] == block[step:])) if len(block) > step else np.zeros(0, np.int64)
+        i = i[inner[i] | (second[i] != second[i + step])]
+        if len(i):
+            i = i[np.einsum("ij,ij->i", x[i], x[i + step]) >= least]
+            count(i, i + step)
+            span += zip(i.tolist(), (i + step).tolist(), strict=True)
+    for a, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        cut = n if inner[a] else int((~second[a : a + n]).sum())
+        rows, columns = (x[a : a + n], x[a : a + n]) if inner[a] else (x[a : a + cut], x[a + cut : a + n])
+        close = rows @ columns.T >= least
+        i, j = np.nonzero(np.triu(close, 1) if inner[a] else close)
+        j = j if inner[a] else j + cut
+        count(i + a, j + a)
+        span += [(u + a, v + a) for u, v in spanning(n, i, j)]
     return links, span
 
 
@@ -166,15 +195,42 @@ def near_vectors(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding
     spread = spread.select("k", "t", F.xxhash64("t", "bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), (F.col("mine") > F.col("other")).alias("second"), (F.col("mine") == F.col("other")).alias("inner"))
     wanted = spread.join(codes, "k").select("block", "t", "second", "inner", "k", "n", "x", "parts")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["second", "k"], kind="stable")
-        split = None if bool(pdf["inner"].iloc[0]) else int((~pdf["second"]).sum())
-        keys = pdf["k"].tolist()
-        links, span = count_links(keys, unit(np.stack(pdf["x"].to_numpy())), pdf["n"].to_numpy(), np.stack(pdf["parts"].to_numpy()), int(pdf["t"].iloc[0]), split, least)
-        counted = [(k, None, n) for k, n in zip(keys, links.tolist(), strict=True) if n]
-        return pd.DataFrame(counted + [(a, b, 0) for a, b in span], columns=["a", "b", "n"]).astype({"b": "object"})
+    def compare(batches):
+        held: list[pa.RecordBatch] = []
+
+        def judged(rows: pa.Table):
+            block, second, inner, table, n = (rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("block", "second", "inner", "t", "n"))
+            parts = np.array(rows.column("parts").combine_chunks().flatten()).reshape(-1, PARTS)
+            lists = rows.column("x").combine_chunks()
+            sizes = np.diff(np.asarray(lists.offsets))
+            flat, ends = np.array(lists.flatten()), np.cumsum(sizes)
+            keys = rows.column("k").combine_chunks()
+            for dim in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == dim)
+                x = unit(flat[(ends[at] - dim)[:, None] + np.arange(dim)])
+                links, span = links_in_blocks(block[at], second[at], inner[at], table[at], n[at], x, parts[at], least)
+                some = np.flatnonzero(links)
+                i, j = (np.array([p[c] for p in span], np.int64) for c in (0, 1))
+                a = pa.concat_arrays([keys.take(pa.array(at[some])), keys.take(pa.array(at[i]))])
+                b = pa.concat_arrays([pa.nulls(len(some), keys.type), keys.take(pa.array(at[j]))])
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([links[some], np.zeros(len(i), np.int64)]))], ["a", "b", "n"])
 
-    found = written(wanted.groupBy("block").applyInPandas(compare, f"a {kind}, b {kind}, n long"), "vector-links")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            if rows.num_rows >= WORK_ROWS:  # all but the last block, which may go on in the next batch
+                block = rows.column("block").combine_chunks().to_numpy()
+                cut = int(np.flatnonzero(block != block[-1])[-1]) + 1 if (block != block[-1]).any() else 0
+                if cut:
+                    yield from judged(rows.slice(0, cut))
+                    held = rows.slice(cut).to_batches()
+        if held:
+            yield from judged(pa.Table.from_batches(held))
+
+    ordered = wanted.repartition("block").sortWithinPartitions("block", "second", "k")
+    found = written(ordered.mapInArrow(compare, f"a {kind}, b {kind}, n long"), "vector-links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     comps = components(found.where("b is not null").select("a", "b"))
     judged = single.select("h1", "h2", "k", "n").join(counts, F.col("k") == F.col("a"), "left").join(comps, F.col("k") == F.col("node"), "left")
