@@ -8,12 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import bound_batches, written
 from tidemark.llm.suffixes import permuted_matches, suffix_array, words_at
 
 #: Bytes of a repeated string, and of the pieces of it whose smallest hash says where it is compared.
-LENGTH, PIECE = 50, 24
+LENGTH, PIECE = 50, 16
 #: Bytes of text that share one suffix array.
 SHARD_BYTES = 1 << 20
 
@@ -50,8 +51,11 @@ def runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(0, cut), np.append(cut, len(a))
 
 
-def repeats_in_shard(texts: list[bytes], owners: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """Per text, the places where a string of `length` bytes starts that also starts in a text of a smaller owner."""
+def repeats_in_shard(texts: list[bytes], owners: list[list[int]], length: int = LENGTH) -> list[np.ndarray]:
+    """Per text, for every place where a string of `length` bytes starts, the smallest owner of a text that holds it.
+
+    The texts are distinct; owners has all that own a text.
+    """
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     t = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum(lens)
@@ -60,12 +64,11 @@ def repeats_in_shard(texts: list[bytes], owners: np.ndarray, length: int = LENGT
     order = suffix_array(t, length)
     order = order[starts_here[order]]
     group = np.cumsum(~permuted_matches(t, order, length)) - 1
-    owner = owners[source[order]]
-    least = np.full(group[-1] + 1 if len(group) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, owner)
-    hit = np.sort(order[owner > least[group]])
-    cut = np.searchsorted(hit, np.append(ends - lens, len(t)))
-    return [hit[a:b] - e for a, b, e in zip(cut, cut[1:], ends - lens, strict=False)]
+    owner = np.fromiter(map(min, owners), np.int64, len(owners))[source[order]]
+    by_group = np.minimum.reduceat(owner, np.flatnonzero(np.append(True, group[1:] != group[:-1]))) if len(group) else owner
+    least = np.zeros(len(t), np.int64)
+    least[order] = by_group[group]
+    return [least[a : max(a, e - length + 1)] for a, e in zip(ends - lens, ends, strict=True)]
 
 
 def _spans(places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +87,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     neither changed nor compared; rows that share a key don't make each other's text go. Keys are integers. Other
     columns are ignored whatever their names; an empty table gives an empty one.
 
-    First whole copies hang on the row of smallest key. Every string's anchor, the smallest hash of its pieces, is the
+    Whole copies hang on the row of smallest key. Every string's anchor, the smallest hash of its pieces, is the
     same wherever the string stands, so only strings whose anchor occurs under two keys or more are moved. They meet by
     anchor, some megabyte of them in one suffix array; strings are compared byte by byte there. What comes back are
     ranges of a document. No text is gathered in one task but a document's own ranges and an anchor's own strings.
@@ -92,9 +95,12 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     bound_batches(spark)
     all_rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
+    long_rows = all_rows.where(F.col("k").isNotNull() & (F.octet_length("t") >= length))
     # one row per text: its smallest key stands for all; a copy under a greater key goes whole
     whole = F.unhex(F.substring(F.sha2("t", 256), 1, 32))
-    kept = written(all_rows.where(F.col("k").isNotNull() & (F.octet_length("t") >= length)).select("k", whole.alias("id")).groupBy("id").agg(F.min("k").alias("k")), "texts")
+    ids = written(long_rows.select("k", whole.alias("id")), "ids")
+    first = ids.groupBy("id").agg(F.min("k").alias("first"))
+    copies = ids.join(first, "id").where("k > first").groupBy("k").agg(F.collect_set("id").alias("copies"))
 
     def anchored(batches):
         for batch in batches:
@@ -103,12 +109,12 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], ["k", "anchors"])
 
-    long_rows = all_rows.where(F.col("k").isNotNull() & (F.octet_length("t") >= length))
-    rows = long_rows.select("k", "t").mapInArrow(anchored, "k long, anchors array<bigint>")
-    rows = rows.select("k", F.explode("anchors").alias("anchor"))
-    shared = rows.groupBy("anchor").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("anchor")
-    by_doc = rows.join(shared, "anchor").groupBy("k").agg(F.collect_set("anchor").alias("anchors"))
-    marked = written(by_doc, "anchors")
+    rows = long_rows.select("k", "t").mapInArrow(anchored, "k long, anchors array<bigint>").select("k", F.explode("anchors").alias("anchor"))
+    # an anchor is shared if it has a row before or after in the order of keys: one shuffle of two numbers a row
+    near = Window.partitionBy("anchor").orderBy("k")
+    shared = rows.withColumn("near", F.coalesce(F.lag("k").over(near), F.lead("k").over(near))).where("near is not null")
+    by_doc = shared.groupBy("k").agg(F.collect_set("anchor").alias("anchors"))
+    marked = written(by_doc.join(first.select(F.col("first").alias("k")).distinct(), "k", "left_semi"), "anchors")
 
     def cut_out(batches):
         for batch in batches:
@@ -125,31 +131,32 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                     part.append(t[i : j - 1 + length])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(anchor, pa.int64()), pa.array(at, pa.int64()), pa.array(part, pa.binary())], ["k", "anchor", "at", "part"])
 
-    one_of_each = long_rows.withColumn("id", whole).join(kept, ["id", "k"], "left_semi").select("k", "t")
-    parts = one_of_each.join(marked, "k").select("k", "t", "anchors").mapInArrow(cut_out, "k long, anchor long, at long, part binary")
+    parts = long_rows.join(marked, "k").select("k", "t", "anchors").mapInArrow(cut_out, "k long, anchor long, at long, part binary")
     ordered = parts.repartition("anchor").sortWithinPartitions("anchor", "k", "at")
 
     def compare(batches):
-        texts, owners, at, size, last = [], [], [], 0, None
+        texts: dict[bytes, list[tuple[int, int]]] = {}
+        size, last = 0, None
 
         def judged():
             k, a, b = [], [], []
-            for owner, base, places in zip(owners, at, repeats_in_shard(texts, np.array(owners, np.int64), length), strict=True):
-                for x, y in zip(*_spans(places, length), strict=True):
-                    k.append(owner)
-                    a.append(base + int(x))
-                    b.append(base + int(y))
+            for own, least in zip(texts.values(), repeats_in_shard(list(texts), [[o for o, _ in x] for x in texts.values()], length), strict=True):
+                for owner, base in own:
+                    for x, y in zip(*_spans(np.flatnonzero(least < owner), length), strict=True):
+                        k.append(owner)
+                        a.append(base + int(x))
+                        b.append(base + int(y))
             return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["k", "a", "b"])
 
         for batch in batches:
             for k, anchor, place, part in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if size >= SHARD_BYTES and anchor != last:  # strings of one anchor stay together
                     yield judged()
-                    texts, owners, at, size = [], [], [], 0
-                texts.append(part)
-                owners.append(k)
-                at.append(place)
-                size, last = size + len(part), anchor
+                    texts, size = {}, 0
+                own = texts.setdefault(part, [])
+                size += 0 if own else len(part)
+                own.append((k, place))
+                last = anchor
         if texts:
             yield judged()
 
@@ -159,7 +166,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     def cleaned(batches):
         for batch in batches:
             keys, n_bytes, n_removed, n_spans, sha, left = [], [], [], [], [], []
-            for k, t, copy, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for k, t, copied, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                copy = bool(copied) and hashlib.sha256(t).digest()[:16] in copied
                 spans: list[list[int]] = []
                 for r in [{"a": 0, "b": len(t)}] if copy else own or []:
                     if spans and r["a"] <= spans[-1][1]:
@@ -177,8 +185,9 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip([keys, n_bytes, n_removed, n_spans, sha, left], types, strict=True)], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    with_first = all_rows.select("k", "t", F.when(F.col("k").isNotNull() & (F.octet_length("t") >= length), whole).alias("id")).join(kept.select("id", F.col("k").alias("first")), "id", "left")
-    judged_rows = with_first.select("k", "t", F.coalesce(F.col("k") > F.col("first"), F.lit(False)).alias("copy")).join(ranges, "k", "left")
+    # what happens to each key, without texts; the texts then move once
+    fate = written(copies.join(ranges, "k", "full_outer"), "fates")
+    judged_rows = all_rows.join(fate, "k", "left").select("k", "t", "copies", "ranges")
     out = judged_rows.mapInArrow(cleaned, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
     out = out.withColumnRenamed("k", key)
     return out if keep_text else out.drop("kept_text")
