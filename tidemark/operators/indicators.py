@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -32,24 +34,18 @@ def true_range(high: Column, low: Column, close: Column) -> Column:
     return F.greatest(high - low, F.abs(high - before), F.abs(low - before))
 
 
-def smoothed(values: Column, alpha: float, length: int) -> Column:
-    """Exponential mean of an array in order, started by the plain mean of its first `length` values that aren't null.
-
-    Leading nulls give nulls; the mean starts at the `length`-th value. One pass over the array inside the JVM.
-    """
-    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("last"))
-
-    def step(s: Column, x: Column) -> Column:
-        n = F.when(x.isNull(), s["n"]).otherwise(s["n"] + 1)
-        total = F.when(x.isNull() | (s["n"] >= length), s["sum"]).otherwise(s["sum"] + x)
-        last = F.when(x.isNull(), s["last"]).when(n < length, F.lit(None).cast("double")).when(n == length, total / length).otherwise(s["last"] + alpha * (x - s["last"]))
-        return F.struct(F.concat(s["out"], F.array(last)).alias("out"), n.alias("n"), total.alias("sum"), last.alias("last"))
-
-    return F.aggregate(values, start, step, lambda s: s["out"])
-
-
-def _zip(a: Column, b: Column, f) -> Column:
-    return F.zip_with(a, b, f)
+def smoothed(x: np.ndarray, alpha: float, length: int) -> np.ndarray:
+    """Exponential mean in order, started by the plain mean of the first `length` values; leading NaN are left out."""
+    out = np.full(len(x), np.nan)
+    have = np.flatnonzero(~np.isnan(x))
+    if len(have) < length:
+        return out
+    last = float(x[have[:length]].mean())
+    out[have[length - 1]] = last
+    for i, v in zip(have[length:].tolist(), x[have[length:]].tolist(), strict=True):
+        last += alpha * (v - last)
+        out[i] = last
+    return out
 
 
 def indicators(bars: DataFrame) -> DataFrame:
@@ -57,35 +53,36 @@ def indicators(bars: DataFrame) -> DataFrame:
 
     Adjusted closes serve for means, returns, RSI and MACD; the adjusted range for ATR. RSI and ATR are Wilder means
     (alpha 1/14), MACD's means have spans 12, 26 and 9; all start with a plain mean. Values are null until they have
-    their warm-up.
+    their warm-up. Window functions make what they can; the recursive means are one Arrow group per key.
     """
     factor = F.when(F.col("close") != 0, F.col("adj_close") / F.col("close"))
     x = bars.withColumn("_h", F.col("high") * factor).withColumn("_l", F.col("low") * factor)
     x = x.withColumn("_tr", F.when(F.lag("adj_close").over(by_key()).isNotNull(), true_range(F.col("_h"), F.col("_l"), F.col("adj_close"))))
     x = x.withColumn("_d", F.col("adj_close") - F.lag("adj_close").over(by_key()))
-    x = x.withColumns({f"sma_{n}": sma("adj_close", n) for n in (20, 50, 200)} | {"avg_volume_20": sma("volume", 20)} | {f"ret_{n}d": ret("adj_close", n) for n in (1, 5, 20)})
-    own = [c for c in x.columns if c not in KEY]
-    rows = x.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("date", *[c for c in own if c != "date"]))).alias("r"))
-    pick = lambda name: F.transform("r", lambda r: r[name])
-    rows = rows.withColumn("gain", smoothed(F.transform(pick("_d"), lambda d: F.greatest(d, F.when(d.isNotNull(), 0.0))), 1 / 14, 14))
-    rows = rows.withColumn("loss", smoothed(F.transform(pick("_d"), lambda d: F.greatest(-d, F.when(d.isNotNull(), 0.0))), 1 / 14, 14))
-    rows = rows.withColumn("atr", smoothed(pick("_tr"), 1 / 14, 14))
-    rows = rows.withColumn("fast", smoothed(pick("adj_close"), 2 / 13, 12)).withColumn("slow", smoothed(pick("adj_close"), 2 / 27, 26))
-    rows = rows.withColumn("line", _zip(F.col("fast"), F.col("slow"), lambda a, b: a - b))
-    rows = rows.withColumn("signal", smoothed(F.col("line"), 2 / 10, 9))
-    z = rows.select(*KEY, F.explode(F.arrays_zip("r", "gain", "loss", "atr", "line", "signal")).alias("z"))
-    both = F.col("z.gain") + F.col("z.loss")
-    return z.select(
-        *KEY, *[F.col(f"z.r.{c}").alias(c) for c in own if not c.startswith("_")],
-        F.when(both > 0, 100 * F.col("z.gain") / both).when(both == 0, 50.0).alias("rsi_14"),
-        F.when(F.col("z.signal").isNotNull(), F.col("z.line")).alias("macd"), (F.col("z.line") - F.col("z.signal")).alias("macd_hist"), F.col("z.signal").alias("macd_signal"), F.col("z.atr").alias("atr_14"),
-    )
+    x = x.withColumns({f"sma_{n}": sma("adj_close", n) for n in (20, 50, 200)} | {"avg_volume_20": sma("volume", 20)} | {f"ret_{n}d": ret("adj_close", n) for n in (1, 5, 20)}).drop("_h", "_l")
+    made = ["rsi_14", "macd", "macd_hist", "macd_signal", "atr_14"]
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date", kind="stable").reset_index(drop=True)
+        d, c = pdf["_d"].to_numpy(float), pdf["adj_close"].to_numpy(float)
+        gain, loss = smoothed(np.where(d < 0, 0, d), 1 / 14, 14), smoothed(np.where(d > 0, 0, -d), 1 / 14, 14)
+        line = smoothed(c, 2 / 13, 12) - smoothed(c, 2 / 27, 26)
+        signal = smoothed(line, 2 / 10, 9)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            pdf["rsi_14"] = np.where(gain + loss == 0, 50.0, 100 * gain / (gain + loss))
+        pdf["macd"], pdf["macd_hist"], pdf["macd_signal"] = np.where(np.isnan(signal), np.nan, line), line - signal, signal
+        pdf["atr_14"] = smoothed(pdf["_tr"].to_numpy(float), 1 / 14, 14)
+        return pdf.drop(columns=["_tr", "_d"])
+
+    own = [f for f in x.schema if f.name not in ("_tr", "_d")]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), *(f"{c} double" for c in made)])
+    out = x.groupBy(*KEY).applyInPandas(work, schema)
+    return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in made})
 
 
 def pattern_atr(length: int = 14) -> Column:
-    """Plain mean of the true range, null until `length` bars are there; the first bar's range has no previous close."""
-    tr = true_range(F.col("high"), F.col("low"), F.col("close"))
-    return tr.alias("_tr") if length == 1 else tr
+    """Plain mean of the column _tr (see true_range) over full windows; the first bar's range has no previous close."""
+    return sma("_tr", length)
 
 
 def prior_max(column: str, length: int = 20) -> Column:

@@ -299,7 +299,7 @@ _TR = f"ranged AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER {W}
 @query(f"SELECT ticker, mic, date, {_full('tr', 14)} AS pattern_atr FROM ranged", BARS, _TR)
 def pattern_atr(s, d):
     b = bars(s, d).withColumn("_tr", ind.true_range(F.col("high"), F.col("low"), F.col("close")))
-    return b.select(*KEY, "date", rnd(ind.sma("_tr", 14), 6).alias("pattern_atr"))
+    return b.select(*KEY, "date", rnd(ind.pattern_atr(), 6).alias("pattern_atr"))
 
 
 @query("SELECT ticker, mic, date, max(high) OVER (PARTITION BY ticker, mic ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS prior_max FROM bars", BARS)
