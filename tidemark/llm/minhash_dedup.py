@@ -21,7 +21,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Sketches of a document, and shingles in each. A pair of similarity 0.8 shares one of them but for about 1 in 90,000.
 SKETCHES, SAMPLED = 16, 3
 #: Documents of a bucket that are compared in one block; larger buckets are compared block by block.
-BLOCK = 128
+BLOCK = 512
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
