@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = rows.select("k", "band", "sketch", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("k", F.xxhash64("band", "sketch", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), (F.col("mine") > F.col("other")).alias("second"), (F.col("mine") == F.col("other")).alias("inner"))
 
-    wanted = rows.join(own, "k").select("block", "second", "inner", "k", "t")
+    # always by sorted shuffles: whether one side is small enough to broadcast must not depend on the input's size
+    wanted = rows.hint("merge").join(own, "k").select("block", "second", "inner", "k", "t")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("k").sort_values(["second", "k"], kind="stable")
