@@ -83,6 +83,27 @@ def test_repeated_chunks_go_but_the_first(spark):
     assert got[0][1] == 0 and all(got[i][1] >= 6 for i in (1, 2, 3))
 
 
+@pytest.mark.parametrize("n", range(1, 7))
+def test_short_passages_go_in_any_surroundings(spark, n):
+    r = np.random.default_rng(n)
+    data, passages = [], []
+    for i in range(30):
+        lines = [f"line {i} {j} " + " ".join(map(str, r.integers(0, 99, 60 if n == 1 else 5))) for j in range(n)]
+        passages.append(lines)
+        data += [(2 * i + side, "\n".join([f"before {i} {side} {x}" for x in range(i % 4)] + lines + [f"after {i} {side} {x}" for x in range(i % 3)])) for side in (0, 1)]
+    got = {x.doc_id: x for x in dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for i, lines in enumerate(passages):
+        assert got[2 * i].n_removed_lines == 0 and got[2 * i].kept_text == data[2 * i][1]
+        assert got[2 * i + 1].n_removed_lines == n and got[2 * i + 1].n_removed_chunks == 1
+        assert not set(lines) & set(got[2 * i + 1].kept_text.split("\n"))
+
+
+def test_equal_lines_in_a_row_keep_their_first_passage(spark):
+    data = [(1, "x\na\na\na\na\ny"), (2, "p\n\na\na\na\nq"), (3, "a"), (4, "b\n\nc\nz"), (5, "b\nc\nw"), (6, "o\nb\n\nc"), (7, "u\r\nv\r\n"), (8, "u\nv\n")]
+    got = {x.doc_id: x.kept_text for x in dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {**dict(data), 1: "x\na\na\ny", 2: "p\n\nq", 6: "o\n"}
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 11)] + [(None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     got = quality_scores(docs, labels).collect()
