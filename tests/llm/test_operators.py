@@ -163,6 +163,16 @@ def test_near_duplicates(docs, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_every_text_of_a_key(spark):
+    def text(i, change=None):
+        return " ".join("other" if j == change else f"w{i} v{i * 7 + j}" for j in range(60))
+
+    data = [(100 + i, text(2 * i + side)) for i in range(20) for side in (0, 1)] + [(200 + j, text(j, 30)) for j in range(40)] + [(100, text(0))] * 5
+    for parts in (1, 3):
+        got = {(r.doc_id, r.class_id) for r in near_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(parts)).collect()}
+        assert got == {(100 + i, 100 + i) for i in range(20)} | {(200 + j, 100 + j // 2) for j in range(40)}
+
+
 def test_vectors(spark):
     r = np.random.default_rng(1)
     a, b = (r.standard_normal(64).tolist() for _ in range(2))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_left
 
@@ -173,41 +172,44 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     def sketch(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            whole, n, own = [], [], []
-            for t in texts:
+            n, own = [], []
+            for t in batch.column(2).to_pylist():
                 h = shingles(t)
-                whole.append(hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest())
                 n.append(len(h))
                 own.append(sketches(h) if len(h) else [])
-            columns = [batch.column(0), pa.array(whole, pa.binary()), pa.array(n, pa.int32()), pa.array(own, pa.list_(pa.int64()))]
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(own, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["k", "whole", "n", "sketches"])
 
-    own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    whole = F.substring(F.unhex(F.sha2(F.col(text).cast("binary"), 256)), 1, 16)
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), whole.alias("whole"), F.col(text).alias("t"))
     sketched = written(own.mapInArrow(sketch, f"k {kind}, whole binary, n int, sketches array<bigint>"), "sketches")
     # one document for each distinct text; copies hang on it
     firsts = sketched.where("n > 0").groupBy("whole").agg(F.min("k").alias("k"), F.first("sketches").alias("sketches"))
     firsts = written(firsts, "firsts")
     copies = sketched.where("n > 0").join(firsts.select("whole", F.col("k").alias("a")), "whole").where("k != a").select("a", F.col("k").alias("b"))
 
-    entries = firsts.select("k", F.posexplode("sketches").alias("band", "sketch"))
-    member = F.xxhash64("k").cast("decimal(20,0)")
-    buckets = entries.groupBy("band", "sketch").agg(F.count("*").alias("size"), F.min("k").alias("low"), F.max("k").alias("high"), F.sum(member).alias("set"))
+    # texts, not keys, are the members of buckets: a key may have several texts
+    entries = firsts.select("k", "whole", F.posexplode("sketches").alias("band", "sketch"))
+    member = F.xxhash64("whole").cast("decimal(20,0)")
+    buckets = entries.groupBy("band", "sketch").agg(F.count("*").alias("size"), F.min("whole").alias("low"), F.max("whole").alias("high"), F.sum(member).alias("set"))
     buckets = buckets.where("size > 1")
     # buckets with the same members (as equal size, ends and sum of hashes say) are compared once; the size of a set is at most what it was
     once = buckets.groupBy("size", "low", "high", "set").agg(F.min(F.struct("band", "sketch")).alias("b")).select("b.band", "b.sketch", "size")
     placed = written(entries.join(once, ["band", "sketch"]), "placed")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("k", F.lit(7)), blocks).cast("int")
-    rows = placed.select("k", "band", "sketch", blocks.alias("blocks"), mine.alias("mine"))
-    rows = rows.select("k", "band", "sketch", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("k", F.xxhash64("band", "sketch", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), (F.col("mine") > F.col("other")).alias("second"), (F.col("mine") == F.col("other")).alias("inner"))
+    mine = F.pmod(F.xxhash64("whole", F.lit(7)), blocks).cast("int")
+    rows = placed.select("k", "whole", "band", "sketch", blocks.alias("blocks"), mine.alias("mine"))
+    rows = rows.select("k", "whole", "band", "sketch", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("k", "whole", F.xxhash64("band", "sketch", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), (F.col("mine") > F.col("other")).alias("second"), (F.col("mine") == F.col("other")).alias("inner"))
 
     # always by sorted shuffles: whether one side is small enough to broadcast must not depend on the input's size
-    wanted = rows.hint("merge").join(own, "k").select("block", "second", "inner", "k", "t")
+    # a text that rows of one key repeat enters its blocks once
+    lists = rows.groupBy("k", "whole").agg(F.collect_list(F.struct("block", "second", "inner")).alias("at"))
+    texts = lists.hint("merge").join(own, ["k", "whole"]).dropDuplicates(["k", "whole"])
+    wanted = texts.select(F.explode("at").alias("e"), "k", "whole", "t").select("e.block", "e.second", "e.inner", "k", "whole", "t")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("k").sort_values(["second", "k"], kind="stable")
+        pdf = pdf.sort_values(["second", "k", "whole"], kind="stable")
         both = None if bool(pdf["inner"].iloc[0]) else int((~pdf["second"]).sum())
         found = links_in_block(pdf["k"].tolist(), [shingles(t) for t in pdf["t"]], both, least)
         return pd.DataFrame(found, columns=["a", "b"])
