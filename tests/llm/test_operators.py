@@ -173,6 +173,12 @@ def test_near_duplicates_of_every_text_of_a_key(spark):
         assert got == {(100 + i, 100 + i) for i in range(20)} | {(200 + j, 100 + j // 2) for j in range(40)}
 
 
+def test_copies_without_words_are_one_class(spark):
+    data = [(1, "--- !!"), (2, "--- !!"), (3, "--- !"), (4, " "), (5, " "), (6, ""), (7, ""), (8, None), (9, None), (None, "--- !!")]
+    got = {r.doc_id: (r.class_id, r.kept) for r in near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {**{k: (k, True) for k in (1, 3, 4, 6, 7, 8, 9, None)}, 2: (1, False), 5: (4, False)}
+
+
 def test_vectors(spark):
     r = np.random.default_rng(1)
     a, b = (r.standard_normal(64).tolist() for _ in range(2))

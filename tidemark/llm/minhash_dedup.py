@@ -172,21 +172,20 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     def sketch(batches):
         for batch in batches:
-            n, own = [], []
+            own = []
             for t in batch.column(2).to_pylist():
                 h = shingles(t)
-                n.append(len(h))
                 own.append(sketches(h) if len(h) else [])
-            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(own, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "whole", "n", "sketches"])
+            columns = [batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "whole", "sketches"])
 
     whole = F.substring(F.unhex(F.sha2(F.col(text).cast("binary"), 256)), 1, 16)
-    own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), whole.alias("whole"), F.col(text).alias("t"))
-    sketched = written(own.mapInArrow(sketch, f"k {kind}, whole binary, n int, sketches array<bigint>"), "sketches")
-    # one document for each distinct text; copies hang on it
-    firsts = sketched.where("n > 0").groupBy("whole").agg(F.min("k").alias("k"), F.first("sketches").alias("sketches"))
+    own = docs.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), whole.alias("whole"), F.col(text).alias("t"))
+    sketched = written(own.mapInArrow(sketch, f"k {kind}, whole binary, sketches array<bigint>"), "sketches")
+    # one document for each distinct text, also those without words, which have no sketches; copies hang on it
+    firsts = sketched.groupBy("whole").agg(F.min("k").alias("k"), F.first("sketches").alias("sketches"))
     firsts = written(firsts, "firsts")
-    copies = sketched.where("n > 0").join(firsts.select("whole", F.col("k").alias("a")), "whole").where("k != a").select("a", F.col("k").alias("b"))
+    copies = sketched.join(firsts.select("whole", F.col("k").alias("a")), "whole").where("k != a").select("a", F.col("k").alias("b"))
 
     # texts, not keys, are the members of buckets: a key may have several texts
     entries = firsts.select("k", "whole", F.posexplode("sketches").alias("band", "sketch"))
