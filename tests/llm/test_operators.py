@@ -139,6 +139,22 @@ def test_decontamination(spark, docs, none):
     assert contamination(docs, items.limit(0)).count() == contamination(none, items).count() == 0
 
 
+def test_scores_do_not_depend_on_the_blocks_of_items(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    items = [(i // 2, " ".join(f"w{x}" for x in r.integers(0, 40 + 20 * i, 12 + 9 * i))) for i in range(14)]
+    data = [(i, f"before {i} " + " ".join(t.split()[: len(t.split()) - i % 3]) + " after it") for i, (_, t) in enumerate(items)] + [(99, " ".join(t for _, t in items))]
+    docs, bench = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        return sorted((x.doc_id, x.item_id, round(x.score, 9), x.question, x.answer) for x in contamination(docs, bench).collect())
+
+    whole = found()
+    assert len(whole) > 14
+    for n in (1, 3):
+        monkeypatch.setattr("tidemark.llm.decontam.INDEX_ITEMS", n)
+        assert found() == whole
+
+
 def test_suffix_dedup(docs, none):
     data = [(k, (t or "").encode()) for k, t, _, _ in ROWS]
     first: dict[bytes, int] = {}

@@ -62,31 +62,53 @@ def contained(part: list[str], passage: list[str]) -> float:
     return len(own & _shingles(passage, size)) / len(own) if own else 1.0
 
 
+class Statistics:
+    """What scores need to know of all items, whatever index they are in: parts, their words, the longest, and in how
+    many parts each word stands."""
+
+    def __init__(self):
+        self.parts = self.words = self.longest = 0
+        self.df: dict[str, int] = {}
+
+    def add(self, items: list[tuple[object, str]]) -> None:
+        for _, t in items:
+            for part in parts_of(words(t)):
+                self.parts += 1
+                self.words += len(part)
+                self.longest = max(self.longest, len(part))
+                for w in set(part):
+                    self.df[w] = self.df.get(w, 0) + 1
+
+
+def parts_of(own: list[str]) -> list[list[str]]:
+    return [own[a : a + PART_WORDS] for a in range(0, len(own), PART_WORDS)]
+
+
 class ItemIndex:
     """Postings of the items' parts. Impacts are BM25 contributions divided by the score that the part asks for, so
     every passage of scaled score 1 or more is retrieved. Parts are numbered by that score, which keeps the bounds of
-    neighbours alike."""
+    neighbours alike. The statistics are those of all items if these are only some of them."""
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], of_all: Statistics | None = None):
+        if of_all is None:
+            of_all = Statistics()
+            of_all.add(items)
         self.items = [(k, *question_answer(t), words(t)) for k, t in items]
         self.items = [x for x in self.items if x[3]]
-        parts = [(i, set(w[a : a + PART_WORDS]), w[a : a + PART_WORDS]) for i, (_, _, _, w) in enumerate(self.items) for a in range(0, len(w), PART_WORDS)]
-        df: dict[str, int] = {}
-        for _, s, _ in parts:
-            for w in s:
-                df[w] = df.get(w, 0) + 1
-        mean = sum(len(w) for _, _, w in parts) / max(1, len(parts))
+        parts = [(i, set(part), part) for i, (_, _, _, w) in enumerate(self.items) for part in parts_of(w)]
+        df = {w: of_all.df[w] for _, s, _ in parts for w in s}
+        mean = of_all.words / max(1, of_all.parts)
         scored = []
         for i, s, own in parts:
             tf = {w: 0 for w in s}
             for w in own:
                 tf[w] += 1
             norm = K1 * (1 - B + B * len(own) / mean)
-            impact = {w: math.log(1 + (len(parts) - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in tf.items()}
+            impact = {w: math.log(1 + (of_all.parts - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in tf.items()}
             scored.append((sum(impact.values()) * LEAST_SCORE, i, impact))
         scored.sort(key=lambda x: (x[0], x[1]))
         self.part_item = [i for _, i, _ in scored]
-        self.longest = max((len(w) for _, _, w in parts), default=1)
+        self.longest = max(1, of_all.longest)
         self.terms = {w: t for t, w in enumerate(sorted(df))}
         self.docs: list[list[int]] = [[] for _ in self.terms]
         self.impacts: list[list[float]] = [[] for _ in self.terms]
@@ -245,17 +267,24 @@ def with_hits(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key
     Texts are cut into overlapping passages, and every passage queries the index; what it retrieves is verified by the
     question's and the answer's 5-word shingles. Null and empty texts, and items without words, have no hits. A column
     of docs that has the name of the new one is replaced. Narrow: no row is moved. Items are indexed in blocks of
-    bounded size; more blocks make more passes over the texts within the same job.
+    bounded size; more blocks make more passes over the texts within the same job. Words are counted over all items
+    first, so scores don't depend on the blocks.
     """
     bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != hits]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     item_kind = items.select(item_key).schema[0].dataType.simpleString()
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    names_of_hit = ("item_id", "score", "question", "answer")
     struct = f"array<struct<item_id:{item_kind},score:double,question:double,answer:double>>"
     out = docs.select(F.col(f"`{text}`").alias("t"), *own, F.array().cast(struct).alias("h"))
+    of_all, blocks = Statistics(), 0
     for block in item_blocks(items, item_key, item_text):
-        data = pickle.dumps(ItemIndex(block))
+        of_all.add(block)
+        blocks += 1
+        first = block if blocks == 1 else None
+    for block in item_blocks(items, item_key, item_text) if blocks > 1 else [first] if blocks else []:
+        data = pickle.dumps(ItemIndex(block, of_all))
         shared, ident = docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
 
         def search(batches, shared=shared, ident=ident):
@@ -265,7 +294,11 @@ def with_hits(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key
                 for a, b in work_slices([len(t or "") for t in texts]):
                     for i, new in enumerate(index.hits([words(t) for t in texts[a:b]]), a):
                         if new:
-                            found[i] = (found[i] or []) + [dict(zip(("item_id", "score", "question", "answer"), x, strict=True)) for x in new]
+                            both = [tuple(x[c] for c in names_of_hit) for x in found[i] or []] + new
+                            best: dict = {}
+                            for x in both:  # an item's texts may be in several blocks
+                                best[x[0]] = max(best.get(x[0], x), x, key=lambda y: y[1:])
+                            found[i] = [dict(zip(names_of_hit, best[k], strict=True)) for k in sorted(best)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, batch.schema.field(batch.num_columns - 1).type)], batch.schema.names)
 
         out = out.mapInArrow(search, ", ".join(["t string", *[f"c{i} {kinds[c]}" for i, c in enumerate(names)], f"h {struct}"]))
