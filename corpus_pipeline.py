@@ -40,8 +40,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which no benchmark item is found."""
-    found = with_hits(docs, table(spark, sf_dir, "benchmark"), hits="_hits")
+    """Keeps documents in which no benchmark item is found, be it one without an item_id."""
+    items = table(spark, sf_dir, "benchmark").select(F.sha2(F.col("text").cast("binary"), 256).alias("item_id"), "text")
+    found = with_hits(docs, items, hits="_hits")
     return found.where(F.size("_hits") == 0).select(*docs.columns)
 
 

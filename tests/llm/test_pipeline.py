@@ -36,6 +36,12 @@ def test_stages_keep_the_columns_and_decide_right(spark, folder):
     assert cp.tokens(spark, docs, folder).count() == len(ROWS)
 
 
+def test_items_without_an_id_are_searched_for(spark, folder, tmp_path):
+    spark.createDataFrame([(None, ITEM), (None, "one more item that nobody has quoted so far. It asks for nothing at all."), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert keys(cp.decontaminate(spark, docs, str(tmp_path))) == sorted([k for k, *_ in ROWS if k != 4], key=str)
+
+
 def test_run(spark):
     d = "/root/testdata/sf0.001"
     if not os.path.isdir(d):

@@ -265,7 +265,8 @@ def with_hits(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key
     """docs with an array column: the items found in each row's whole text, with score and overlaps.
 
     Texts are cut into overlapping passages, and every passage queries the index; what it retrieves is verified by the
-    question's and the answer's 5-word shingles. Null and empty texts, and items without words, have no hits. A column
+    question's and the answer's 5-word shingles. Null and empty texts, and items without words, have no hits. Items with
+    a null key have no name to be reported by and are left out: give them one to have them searched for. A column
     of docs that has the name of the new one is replaced. Narrow: no row is moved. Items are indexed in blocks of
     bounded size; more blocks make more passes over the texts within the same job. Words are counted over all items
     first, so scores don't depend on the blocks.
