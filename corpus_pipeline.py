@@ -9,7 +9,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm import quality as q
 from tidemark.llm.common import table, written
@@ -29,14 +28,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each class of near-duplicates, and one row of those that repeat it.
+    """Keeps one row of each class of near-duplicate texts: that of smallest doc_id, rows without one last.
 
-    Rows without a doc_id can't be named in a class and stay.
+    Classes are those of the texts, whatever their doc_id: rows that share a doc_id stay if their texts aren't near
+    copies of each other or of others, and rows without a doc_id go if theirs are. Null and empty texts aren't copies;
+    of them only rows that repeat a doc_id go.
     """
-    keep = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_k")).distinct()
-    own = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_k"), "left_semi")
-    one = own.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1")
-    return one.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    whole = F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16)
+    filled = docs.where(F.length("text") > 0)
+    classes = near_duplicates(filled.select(whole.alias("h"), "text"), key="h").select("h", "class_id").distinct()
+    named = filled.select("doc_id", whole.alias("h")).join(classes, "h")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")
+    # one name of a doc_id and text, never null; copies under other ids have other names and so other tasks
+    name = lambda k, h: F.sha2(F.concat(h, F.coalesce(k.cast("string"), F.lit("")).cast("binary"), k.isNull().cast("string").cast("binary")), 256)
+    keep = named.groupBy("class_id").agg(first).select(name(F.col("first.doc_id"), F.col("first.h")).alias("_name"))
+    own = filled.withColumn("_name", name(F.col("doc_id"), whole)).dropDuplicates(["_name"]).join(keep, "_name", "left_semi")
+    empty = docs.where(F.col("text").isNull() | (F.length("text") == 0))
+    rest = empty.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(empty.where(F.col("doc_id").isNull()))
+    return own.select(*docs.columns).union(rest)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,18 @@ def test_stages_keep_the_columns_and_decide_right(spark, folder):
     assert cp.tokens(spark, docs, folder).count() == len(ROWS)
 
 
+def test_near_dedup_goes_by_texts(spark, folder):
+    def text(word):
+        return " ".join(f"{word}{i} and{i % 7}" for i in range(60))
+
+    data = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("b")), (2, text("c")), (None, text("c")), (None, text("d")), (None, text("d")), (None, text("d").replace("d30", "e")), (3, None), (3, None), (4, None), (None, None), (None, None), (5, ""), (6, ""), (7, "!!"), (8, "!!")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("h", "class_id", "first")})
+    got = [(r.doc_id, r.text) for r in cp.near_dedup(spark, docs, folder).collect()]
+    loose = [x for x in got if x[0] is None and x[1]]
+    assert len(loose) == 1 and "d1 " in loose[0][1]
+    assert sorted((x for x in got if x not in loose), key=str) == sorted([(1, text("a")), (1, text("b")), (2, text("c")), (3, None), (4, None), (None, None), (None, None), (5, ""), (6, ""), (7, "!!")], key=str)
+
+
 def test_items_without_an_id_are_searched_for(spark, folder, tmp_path):
     spark.createDataFrame([(None, ITEM), (None, "one more item that nobody has quoted so far. It asks for nothing at all."), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
