@@ -6,7 +6,7 @@ from tidemark.operators import actions, indicators, ingest, quality, signals, un
 from tidemark.schemas import check_identifier
 from tidemark.sources import parsers
 from tidemark.sources.registry import Budget
-from tidemark.sources.tables import TableStore, normalize_prices
+from tidemark.sources.tables import TableStore, existing_ids, normalize_prices
 from tidemark.plans.delivery import Dispatcher, Message, split_text
 from tidemark.plans.runner import Context, Pipeline, StepError, ok
 
@@ -134,3 +134,9 @@ def test_budget_messages_and_runner():
     r = Pipeline([("a", lambda c: None), ("b", fail), ("c", lambda c: None)]).run(Context(None))
     assert [x.status for x in r] == ["ok", "failed"] and not ok(r)
     assert ok(Pipeline([("a", lambda c: c.stop("closed")), ("b", fail)]).run(Context(None)))
+
+
+def test_existing_ids(spark):
+    news = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "id string")
+    asked = spark.createDataFrame([("b",), ("b",), ("c",), (None,)], "id string")
+    assert [r.id for r in existing_ids(news, asked).collect()] == ["b"]

@@ -91,7 +91,7 @@ def update_by_key(s, d):
 @query("SELECT id FROM articles WHERE id % 3 = 0", ARTICLES)
 def existing_ids(s, d):
     a = articles(s, d)
-    return a.select("id").join(a.where("id % 3 = 0").select("id"), "id", "left_semi")
+    return tables.existing_ids(a, a.where("id % 3 = 0"))
 
 
 # --- universes and calendars ------------------------------------------------------------------------------------------

@@ -105,6 +105,11 @@ def news_since(news: DataFrame, since, keys: DataFrame | None = None, *, include
     return recent.orderBy(F.desc("published_at"), "id")
 
 
+def existing_ids(news: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of the ids that the store holds, each once."""
+    return ids.select("id").distinct().join(news.select("id"), "id", "left_semi")
+
+
 def keep_last(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key: the last in the given order."""
     w = Window.partitionBy(*keys).orderBy(*[o.desc() if isinstance(o, Column) else F.desc(o) for o in order])
