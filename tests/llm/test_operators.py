@@ -206,6 +206,14 @@ def test_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_links_of_every_vector_of_a_key(spark):
+    r = np.random.default_rng(2)
+    a, b = r.standard_normal((2, 64))
+    data = [(1, a.tolist(), 1), (1, b.tolist(), 1), (1, (a + 0.001).tolist(), 1), (2, (a + 0.01).tolist(), 1), (3, (a + 0.02).tolist(), 1), (4, (b + 0.01).tolist(), 1)]
+    got = near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int"))
+    assert rows(got, "vec_id", "n_links", "component_id") == [(1, 1, 1), (1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 1, 1)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 51), (51, 50), (60, 60)], "a long, b long")
     assert dict(rows(components(edges), "node", "component")) == {**{i: 0 for i in range(41)}, 50: 50, 51: 50}

@@ -156,7 +156,6 @@ def near_vectors(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding
     """
     spark = df.sparkSession
     bound_batches(spark)
-    kind = df.select(key).schema[0].dataType.simpleString()
     rows = df.where(F.col(key).isNotNull() & F.col(label).isNotNull() & _usable(F.col(vector)))
     rows = rows.select(F.col(key).alias("k"), F.xxhash64(label, F.size(vector)).alias("g"), F.col(vector).cast("array<double>").alias("x"))
     # two independent 64-bit hashes stand for a vector of a label
@@ -180,20 +179,23 @@ def near_vectors(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding
                 at = np.flatnonzero(sizes == n)
                 turn = turns.get(int(n)) or turns.setdefault(int(n), Rotation(np.zeros((0, int(n)))))
                 out[at] = turn.parts(unit(np.array([x[i] for i in at])))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), batch.column(0), pa.array(out.tolist(), pa.list_(pa.int32()))], ["k", "g", "n", "x", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), batch.column(0), pa.array(out.tolist(), pa.list_(pa.int32()))], ["v", "g", "n", "x", "parts"])
 
-    codes = written(single.select("x", "k", "g", "n").mapInArrow(coded, f"k {kind}, g long, n long, x array<double>, parts array<int>"), "codes")
+    # from here on a vector goes by its hashes: a key may have several vectors
+    both = F.struct("h1", "h2")
+    codes = single.select("x", both.alias("v"), "g", "n").mapInArrow(coded, "v struct<h1:long,h2:long>, g long, n long, x array<double>, parts array<int>")
+    codes = written(codes, "codes")
     each = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64("g", F.lit(t), *[F.col("parts")[p] for p in chosen]).alias("bucket")) for t, chosen in enumerate(tables())])
-    entries = codes.select("k", F.explode(each).alias("e")).select("k", "e.t", "e.bucket")
-    member = F.xxhash64("k").cast("decimal(20,0)")
-    buckets = entries.groupBy("t", "bucket").agg(F.count("*").alias("size"), F.min("k").alias("low"), F.max("k").alias("high"), F.sum(member).alias("set")).where("size > 1")
+    entries = codes.select("v", F.explode(each).alias("e")).select("v", "e.t", "e.bucket")
+    member = F.xxhash64("v").cast("decimal(20,0)")
+    buckets = entries.groupBy("t", "bucket").agg(F.count("*").alias("size"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum(member).alias("set")).where("size > 1")
     # of buckets with the same members the first table's stays: it is the first in which any of their pairs agree
     once = buckets.groupBy("size", "low", "high", "set").agg(F.min(F.struct("t", "bucket")).alias("b")).select("b.t", "b.bucket", "size")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = entries.join(once, ["t", "bucket"]).select("k", "t", "bucket", blocks.alias("blocks"), F.pmod(F.xxhash64("k", F.lit(7)), blocks).cast("int").alias("mine"))
-    spread = placed.select("k", "t", "bucket", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("k", "t", F.xxhash64("t", "bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), (F.col("mine") > F.col("other")).alias("second"), (F.col("mine") == F.col("other")).alias("inner"))
-    wanted = spread.join(codes, "k").select("block", "t", "second", "inner", "k", "n", "x", "parts")
+    placed = entries.join(once, ["t", "bucket"]).select("v", "t", "bucket", blocks.alias("blocks"), F.pmod(F.xxhash64("v", F.lit(7)), blocks).cast("int").alias("mine"))
+    spread = placed.select("v", "t", "bucket", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("v", "t", F.xxhash64("t", "bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), (F.col("mine") > F.col("other")).alias("second"), (F.col("mine") == F.col("other")).alias("inner"))
+    wanted = spread.join(codes, "v").select("block", "t", "second", "inner", "v", "n", "x", "parts")
 
     def compare(batches):
         held: list[pa.RecordBatch] = []
@@ -204,7 +206,7 @@ def near_vectors(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding
             lists = rows.column("x").combine_chunks()
             sizes = np.diff(np.asarray(lists.offsets))
             flat, ends = np.array(lists.flatten()), np.cumsum(sizes)
-            keys = rows.column("k").combine_chunks()
+            keys = rows.column("v").combine_chunks()
             for dim in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == dim)
                 x = unit(flat[(ends[at] - dim)[:, None] + np.arange(dim)])
@@ -229,11 +231,13 @@ def near_vectors(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding
         if held:
             yield from judged(pa.Table.from_batches(held))
 
-    ordered = wanted.repartition("block").sortWithinPartitions("block", "second", "k")
-    found = written(ordered.mapInArrow(compare, f"a {kind}, b {kind}, n long"), "vector-links")
+    ordered = wanted.repartition("block").sortWithinPartitions("block", "second", "v")
+    found = written(ordered.mapInArrow(compare, "a struct<h1:long,h2:long>, b struct<h1:long,h2:long>, n long"), "vector-links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
-    comps = components(found.where("b is not null").select("a", "b"))
-    judged = single.select("h1", "h2", "k", "n").join(counts, F.col("k") == F.col("a"), "left").join(comps, F.col("k") == F.col("node"), "left")
+    names = single.select(both.alias("v"), "k")
+    ends = found.where("b is not null").join(names.select(F.col("v").alias("a"), F.col("k").alias("ka")), "a").join(names.select(F.col("v").alias("b"), F.col("k").alias("kb")), "b")
+    comps = components(ends.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    judged = single.select("h1", "h2", "k", "n").join(counts, both == F.col("a"), "left").join(comps, F.col("k") == F.col("node"), "left")
     judged = judged.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "k").alias("component_id"))
     dropped(codes)
     ok = F.col(label).isNotNull() & F.col(key).isNotNull() & _usable(F.col(vector))
