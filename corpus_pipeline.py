@@ -37,12 +37,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = F.substring(F.unhex(F.sha2(F.col("text").cast("binary"), 256)), 1, 16)
     filled = docs.where(F.length("text") > 0)
     classes = near_duplicates(filled.select(whole.alias("h"), "text"), key="h").select("h", "class_id").distinct()
-    named = filled.select("doc_id", whole.alias("h")).join(classes, "h")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first")
+    # of every text the row that sorts first, before texts meet their classes: copies never meet in one task
+    of_text = filled.groupBy(whole.alias("h")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("f")).select("h", "f.*")
+    first = F.min(F.struct("no_id", "doc_id", "h")).alias("first")
     # one name of a doc_id and text, never null; copies under other ids have other names and so other tasks
     name = lambda k, h: F.sha2(F.concat(h, F.coalesce(k.cast("string"), F.lit("")).cast("binary"), k.isNull().cast("string").cast("binary")), 256)
-    keep = named.groupBy("class_id").agg(first).select(name(F.col("first.doc_id"), F.col("first.h")).alias("_name"))
-    own = filled.withColumn("_name", name(F.col("doc_id"), whole)).dropDuplicates(["_name"]).join(keep, "_name", "left_semi")
+    keep = of_text.join(classes, "h").groupBy("class_id").agg(first).select(name(F.col("first.doc_id"), F.col("first.h")).alias("_name"))
+    own = filled.withColumn("_name", name(F.col("doc_id"), whole)).join(keep, "_name", "left_semi").dropDuplicates(["_name"])
     empty = docs.where(F.col("text").isNull() | (F.length("text") == 0))
     rest = empty.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(empty.where(F.col("doc_id").isNull()))
     return own.select(*docs.columns).union(rest)

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python hold at most this many rows and bytes, so one batch never holds many long texts.
-BATCH_ROWS, BATCH_BYTES = 2000, "8m"
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: Python functions cut a batch again so that the texts in work at one time stay near this many characters.
-WORK_CHARS = 2_000_000
+WORK_CHARS = 1_000_000
+_kept: list[tuple[str, object]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,15 +25,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session by rows and bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Lowers the session's bounds of Arrow batches, by rows and bytes, to those above; never raises one.
+
+    Plans are lazy and read these settings when they run, so they stay lowered. No result depends on them.
+    """
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(rows))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
+
+
+def worker_state(ident: str, make: Callable[[], object]) -> object:
+    """The one model, index or cache that a Python worker keeps between tasks; another one takes its place.
+
+    Workers outlive tasks and stages and serve every operator, so whatever each of them kept would add up.
+    """
+    if not _kept or _kept[0][0] != ident:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _kept.append((ident, make()))
+    return _kept[0][1]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) a folder of our own."""
+    """The folder that all executors and the driver share: spark.checkpoint.dir, which must be set.
+
+    Only where one process is driver and executors (tests) a folder of our own takes its place; on a cluster, a
+    machine's own folder would lose what the other machines write.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir isn't set; it must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -35,15 +68,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Within it, every query's shuffle files go when the query has ended, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives the loss of executors, and is computed once."""
+    """df as a table in the shared folder: cuts the lineage, survives the loss of executors, and is computed once.
+
+    The shuffle files that made it go at once: no later plan reads them.
+    """
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    with freed_shuffles(spark):
+        df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, work_slices
+from tidemark.llm.common import bound_batches, work_slices, worker_state
 
 #: BM25's constants, and the share of an item's own score that a passage must reach to be retrieved.
 K1, B, LEAST_SCORE = 1.2, 0.75, 0.6
@@ -28,7 +28,6 @@ BLOCK, COMMON = 32, 0.6
 INDEX_ITEMS, INDEX_CHARS = 20_000, 16 << 20
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
-_indexes: dict[str, "ItemIndex"] = {}
 
 
 def words(text: str | None) -> list[str]:
@@ -240,13 +239,6 @@ class ItemIndex:
         return out
 
 
-def worker_index(ident: str, data: bytes) -> ItemIndex:
-    if ident not in _indexes:
-        _indexes.clear()
-        _indexes[ident] = pickle.loads(data)
-    return _indexes[ident]
-
-
 def item_blocks(items: DataFrame, key: str, text: str):
     """The items in blocks of bounded size, streamed to the driver one after the other in the order of their keys."""
     block, chars = [], 0
@@ -289,7 +281,7 @@ def with_hits(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key
         shared, ident = docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
 
         def search(batches, shared=shared, ident=ident):
-            index = worker_index(ident, shared.value)
+            index = worker_state(ident, lambda: pickle.loads(shared.value))
             for batch in batches:
                 texts, found = batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
                 for a, b in work_slices([len(t or "") for t in texts]):

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, remainder, work_slices
+from tidemark.llm.common import bound_batches, remainder, work_slices, worker_state
 
 #: Longest context in bytes.
 ORDER = 3
@@ -20,7 +20,6 @@ TRAIN_DOCS, TRAIN_CHARS = 1200, 4000
 UNKNOWN = "und"
 _START = b"\n" * ORDER
 _LETTER = regex.compile(r"\p{L}")
-_models: dict[str, "ContextTrees"] = {}
 
 
 class _Keys:
@@ -140,13 +139,6 @@ def train(df: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "tex
     return ContextTrees({k: sorted(v) for k, v in texts.items()})
 
 
-def worker_model(ident: str, data: bytes) -> ContextTrees:
-    if ident not in _models:
-        _models.clear()
-        _models[ident] = pickle.loads(data)
-    return _models[ident]
-
-
 def predict(df: DataFrame, model: ContextTrees, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of df: key, lang_pred, score, from the whole text only."""
     bound_batches(df.sparkSession)
@@ -154,7 +146,7 @@ def predict(df: DataFrame, model: ContextTrees, *, key: str = "doc_id", text: st
     shared, ident = df.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
 
     def score(batches):
-        model = worker_model(ident, shared.value)
+        model = worker_state(ident, lambda: pickle.loads(shared.value))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))

@@ -6,22 +6,23 @@ import re
 from bisect import bisect_left
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, dropped, work_slices, written
+from tidemark.llm.common import bound_batches, dropped, written
 from tidemark.llm.components import components
 
 #: Words in a shingle, similarity of a link.
 SHINGLE, SIMILARITY = 5, 0.8
 #: Sketches of a document, and shingles in each. A pair of similarity 0.8 shares one of them but for about 1 in 90,000.
 SKETCHES, SAMPLED = 16, 3
-#: Documents of a bucket that are compared in one block; larger buckets are compared block by block.
-BLOCK = 512
-_WORD = re.compile(r"[^\W_]+")
+#: Texts, and shingles of all of them, that are compared in one block; larger buckets are compared block by block.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+#: A text is cut into words in parts of about so many characters.
+PART = 1 << 20
+_WORD, _BREAK = re.compile(r"[^\W_]+"), re.compile(r"[\W_]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -32,16 +33,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the words, runs of letters and digits in lower case, part by part of the text."""
+    out, start = [np.zeros(0, np.uint64)], 0
+    while start < len(text):
+        end = _BREAK.search(text, start + PART) if start + PART < len(text) else None
+        end = end.start() if end else len(text)
+        words = _WORD.findall(text[start:end].lower())
+        out.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+        start = end
+    return np.concatenate(out)
+
+
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Hashes of the word shingles of a text in text order, each labelled with how often it occurred before.
 
     Words are runs of letters and digits, lower case. A text of fewer than `size` words is one shingle; without words
     there is none. No two of the hashes are equal but by chance.
     """
-    words = _WORD.findall((text or "").lower())
-    if not words:
-        return np.zeros(0, np.uint64)
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    own = word_hashes(text or "")
+    if not len(own):
+        return own
     n = max(1, len(own) - size + 1)
     out = np.zeros(n, np.uint64)
     for i in range(min(size, len(own))):
@@ -152,7 +164,7 @@ def links_in_block(ids: list, texts: list[np.ndarray], split: int | None = None,
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """Per row of docs: key, class_id (smallest key of its class), kept (key = class_id), n_words_shingles.
+    """Per row of docs: key, class_id (smallest key of its class), kept (key = class_id).
 
     Two texts are linked if an alignment in order matches at least `least` of their 5-word shingles, and a class is
     what links connect. Candidates share one of 16 order MinHash sketches. Exact copies are one class by a 128-bit
@@ -164,7 +176,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     columns are ignored whatever their names; an empty table gives an empty one.
 
     Two scans of the texts: one for the sketches, one for the texts of those buckets that have two members or more.
-    Buckets with equal members are compared once, large ones in blocks of bounded size in many tasks.
+    Buckets with equal members are compared once, large ones in many tasks, in blocks that are bounded by their texts
+    and by their shingles; a longer text is a block of its own. Copies take no part in comparisons or components.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -172,50 +185,57 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     def sketch(batches):
         for batch in batches:
-            own = []
-            for t in batch.column(2).to_pylist():
-                h = shingles(t)
+            own, n = [], []
+            for t in batch.column(2):
+                h = shingles(t.as_py())
                 own.append(sketches(h) if len(h) else [])
-            columns = [batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "whole", "sketches"])
+                n.append(len(h))
+            columns = [batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int64())), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "whole", "sketches", "n"])
 
     whole = F.substring(F.unhex(F.sha2(F.col(text).cast("binary"), 256)), 1, 16)
     own = docs.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), whole.alias("whole"), F.col(text).alias("t"))
-    sketched = written(own.mapInArrow(sketch, f"k {kind}, whole binary, sketches array<bigint>"), "sketches")
-    # one document for each distinct text, also those without words, which have no sketches; copies hang on it
-    firsts = sketched.groupBy("whole").agg(F.min("k").alias("k"), F.first("sketches").alias("sketches"))
-    firsts = written(firsts, "firsts")
-    copies = sketched.join(firsts.select("whole", F.col("k").alias("a")), "whole").where("k != a").select("a", F.col("k").alias("b"))
+    sketched = written(own.mapInArrow(sketch, f"k {kind}, whole binary, sketches array<bigint>, n long"), "sketches")
+    # one document for each distinct text, also those without words, which have no sketches: the row of smallest key
+    firsts = written(sketched.groupBy("whole").agg(F.min(F.struct("k", "sketches", "n")).alias("f")).select("whole", "f.*"), "firsts")
+    named = written(sketched.select("k", "whole").join(firsts.select("whole", F.col("k").alias("first")), "whole").select("k", "first").distinct(), "named")
+    dropped(sketched)
 
     # texts, not keys, are the members of buckets: a key may have several texts
-    entries = firsts.select("k", "whole", F.posexplode("sketches").alias("band", "sketch"))
+    entries = firsts.select("k", "whole", "n", F.posexplode("sketches").alias("band", "sketch"))
     member = F.xxhash64("whole").cast("decimal(20,0)")
-    buckets = entries.groupBy("band", "sketch").agg(F.count("*").alias("size"), F.min("whole").alias("low"), F.max("whole").alias("high"), F.sum(member).alias("set"))
+    buckets = entries.groupBy("band", "sketch").agg(F.count("*").alias("size"), F.min("whole").alias("low"), F.max("whole").alias("high"), F.sum(member).alias("set"), F.sum("n").alias("shingles"))
     buckets = buckets.where("size > 1")
     # buckets with the same members (as equal size, ends and sum of hashes say) are compared once; the size of a set is at most what it was
-    once = buckets.groupBy("size", "low", "high", "set").agg(F.min(F.struct("band", "sketch")).alias("b")).select("b.band", "b.sketch", "size")
+    once = buckets.groupBy("size", "low", "high", "set").agg(F.min(F.struct("band", "sketch", "shingles")).alias("b")).select("b.*", "size")
     placed = written(entries.join(once, ["band", "sketch"]), "placed")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     mine = F.pmod(F.xxhash64("whole", F.lit(7)), blocks).cast("int")
     rows = placed.select("k", "whole", "band", "sketch", blocks.alias("blocks"), mine.alias("mine"))
     rows = rows.select("k", "whole", "band", "sketch", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("k", "whole", F.xxhash64("band", "sketch", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), (F.col("mine") > F.col("other")).alias("second"), (F.col("mine") == F.col("other")).alias("inner"))
 
     # always by sorted shuffles: whether one side is small enough to broadcast must not depend on the input's size
-    # a text that rows of one key repeat enters its blocks once
+    # a text enters its blocks once, with the smallest of its keys
     lists = rows.groupBy("k", "whole").agg(F.collect_list(F.struct("block", "second", "inner")).alias("at"))
     texts = lists.hint("merge").join(own, ["k", "whole"]).dropDuplicates(["k", "whole"])
     wanted = texts.select(F.explode("at").alias("e"), "k", "whole", "t").select("e.block", "e.second", "e.inner", "k", "whole", "t")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["second", "k", "whole"], kind="stable")
-        both = None if bool(pdf["inner"].iloc[0]) else int((~pdf["second"]).sum())
-        found = links_in_block(pdf["k"].tolist(), [shingles(t) for t in pdf["t"]], both, least)
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    links = wanted.groupBy("block").applyInPandas(compare, f"a {kind}, b {kind}")
-    found = components(written(links.union(copies), "near-links"))
-    dropped(placed)
-    out = docs.select(F.col(key).alias("k")).join(found, F.col("k") == F.col("node"), "left")
-    class_id = F.coalesce("component", "k")
+    def compare(block: pa.Table) -> pa.Table:
+        block = block.select(["second", "inner", "k", "whole", "t"]).sort_by([(c, "ascending") for c in ("second", "k", "whole")])
+        both = None if block.column("inner")[0].as_py() else block.column("second").to_pylist().count(False)
+        found = links_in_block(block.column("k").to_pylist(), [shingles(t.as_py()) for t in block.column("t")], both, least)
+        ends = block.schema.field("k").type
+        return pa.table({"a": pa.array([a for a, _ in found], ends), "b": pa.array([b for _, b in found], ends)})
+
+    links = wanted.groupBy("block").applyInArrow(compare, f"a {kind}, b {kind}")
+    # texts of one key are one class; a key with one text gives no link
+    several = named.groupBy("k").agg(F.min("first").alias("a"), F.max("first").alias("z")).where("a != z").select("k", "a")
+    same_key = named.join(several, "k").where("first != a").select("a", F.col("first").alias("b"))
+    found = components(written(links.union(same_key), "near-links"))
+    dropped(placed, firsts)
+    class_id = F.coalesce("component", "first")
+    classes = named.join(found, F.col("first") == F.col("node"), "left").select("k", class_id.alias("class")).where("class != k").distinct()
+    out = docs.select(F.col(key).alias("k")).join(classes, "k", "left")
+    class_id = F.coalesce("class", "k")
     return out.select(F.col("k").alias(key), class_id.alias("class_id"), (F.coalesce(class_id == F.col("k"), F.lit(True))).alias("kept"))

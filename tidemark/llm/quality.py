@@ -11,13 +11,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, remainder
+from tidemark.llm.common import bound_batches, remainder, worker_state
 
 #: Each class learns from so many labelled documents at most (those of smallest key hash), of each so many characters.
 TRAIN_DOCS, TRAIN_CHARS = 3000, 6000
 #: A text is compressed in parts of so many bytes, so that the dictionaries tell as much about its end as about its start.
 PART, DICT_BYTES, LEVEL = 512, 110 << 10, 3
-_models: dict[str, tuple] = {}
 
 
 class Compressors:
@@ -103,13 +102,6 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     return QualityModel(*([r.t for r in rows if r.y == y] for y in (1, 0)), rate=min(max(sizes.get(1, 0) / n, 1e-3), 1 - 1e-3))
 
 
-def worker_compressors(ident: str, good: bytes, bad: bytes) -> Compressors:
-    if ident not in _models:
-        _models.clear()
-        _models[ident] = Compressors(good, bad)
-    return _models[ident]
-
-
 def with_score(docs: DataFrame, model: QualityModel, *, text: str = "text", score: str = "score") -> DataFrame:
     """docs with the column `score`, 0 to 1, higher where label 1 is likelier; from the whole text only.
 
@@ -120,7 +112,7 @@ def with_score(docs: DataFrame, model: QualityModel, *, text: str = "text", scor
     shared, ident, a, b = docs.sparkSession.sparkContext.broadcast((model.good, model.bad)), model.ident(), model.a, model.b
 
     def scored(batches):
-        own = worker_compressors(ident, *shared.value)
+        own = worker_state(ident, lambda: Compressors(*shared.value))
         for batch in batches:
             x = np.array([own.difference(t.as_py()) for t in batch.column(0)], np.float64)
             p = 1 / (1 + np.exp(-np.clip(a + b * x, -700, 700)))

@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import ArrayBPE, Interned, pieces
-from tidemark.llm.common import bound_batches, work_slices
+from tidemark.llm.common import bound_batches, work_slices, worker_state
 
 #: A worker forgets its counted pieces when it holds more than this; they are counted again when they next occur.
 KEPT_PIECES = 800_000
-_counters: dict[str, "PieceCounter"] = {}
 
 
 class PieceCounter:
@@ -47,13 +46,6 @@ class PieceCounter:
         return sums[ends] - sums[ends - lens]
 
 
-def worker_counter(ident: str, model: bytes) -> PieceCounter:
-    """The counter of this Python worker, which outlives a task."""
-    if ident not in _counters:
-        _counters[ident] = PieceCounter(model)
-    return _counters[ident]
-
-
 def read_model(path: str, most: int = 64 << 20) -> bytes:
     """The tokenizer file, read on the driver; files over `most` bytes are refused, since it is sent to every worker."""
     with open(path, "rb") as f:
@@ -77,7 +69,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, *, text: str = "text", key:
     model, ident = spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
 
     def count(batches):
-        counter = worker_counter(ident, model.value)
+        counter = worker_state(f"counts-{ident}", lambda: PieceCounter(model.value))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             out = [counter(texts[a:b]) for a, b in work_slices([len(t or "") for t in texts])]

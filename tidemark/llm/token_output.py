@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import zlib
 from dataclasses import dataclass
@@ -24,23 +25,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.bpe import SPLIT, Interned, pieces
-from tidemark.llm.common import bound_batches, new_path, work_slices
+from tidemark.llm.common import bound_batches, new_path, work_slices, worker_state
 from tidemark.llm.token_counts import read_model
 
-#: A worker forgets its pieces, and its encoded pre-tokens, when it holds more of them than this.
-KEPT_PIECES, KEPT_WORDS = 500_000, 1_000_000
+#: When a worker holds more pieces, or pre-tokens, than this, it forgets all but the half that it met most often.
+KEPT_PIECES, KEPT_WORDS = 150_000, 150_000
 
 #: A block ends after so many bytes of frames or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 512
 #: The dictionary is trained on about so many documents, of each at most so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 1500, 4096, 64 << 10
 LEVEL = 1
-_encoders: dict[str, "PieceEncoder"] = {}
 
 
 class Ragged:
     """Arrays of ids end to end."""
 
+    @classmethod
+    def of(cls, ids: np.ndarray, lens: np.ndarray) -> "Ragged":
+        out = cls()
+        out.add(ids, lens)
+        return out
+
     def __init__(self):
         self.ids, self.lens, self.starts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -55,12 +61,38 @@ class Ragged:
         return self.ids[np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)], lens
 
 
+class Met:
+    """Numbered keys with the ids of each and how often each was met."""
+
+    def __init__(self, most: int):
+        self.most, self.number, self.ids, self.times = most, Interned(), Ragged(), np.zeros(0, np.int64)
+
+    def numbers(self, keys: list) -> tuple[np.ndarray, list]:
+        """The number of each key, and those keys that are new, whose ids must be added."""
+        before = len(self.number)
+        at = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        times = np.bincount(at, minlength=len(self.number))
+        times[:before] += self.times
+        self.times = times
+        return at, self.number.since(before) if len(self.number) > before else []
+
+    def shrink(self) -> None:
+        """Over `most` keys, those that were met most often stay, half of `most` of them, and count half as often."""
+        if len(self.number) > self.most:
+            keep = np.sort(np.argsort(-self.times, kind="stable")[: self.most // 2])
+            keep = keep[self.times[keep] > 1]
+            names = list(self.number)
+            self.ids, self.times = Ragged.of(*self.ids.take(keep)), self.times[keep] // 2
+            self.number = Interned((names[i], n) for n, i in enumerate(keep.tolist()))
+
+
 class PieceEncoder:
     """Encodes texts with the tokenizers library, which sees each distinct piece once while it is kept."""
 
     def __init__(self, model: bytes):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads only cost memory
         self.tokenizer = Tokenizer.from_buffer(model)
         added = {t["content"] for t in json.loads(model).get("added_tokens", ())}
         self.split, self.added = regex.compile(SPLIT), re.compile("|".join(map(re.escape, added)) or r"(?!)")
@@ -68,13 +100,7 @@ class PieceEncoder:
         self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes of each token
         for token, i in vocab.items():
             self.width[i] = len(token.encode()) if token in added else len(token)
-        self.word, self.words = Interned(), Ragged()
-        self.reset()
-
-    def reset(self) -> None:
-        self.known, self.pieces = Interned(), Ragged()
-        if len(self.word) > KEPT_WORDS:
-            self.word, self.words = Interned(), Ragged()
+        self.pieces, self.words = Met(KEPT_PIECES), Met(KEPT_WORDS)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has; every text is encoded alone."""
@@ -106,29 +132,29 @@ class PieceEncoder:
             ids, own = np.empty(int(lens.sum()), np.uint32), np.repeat(joined, lens)
             ids[own], ids[~own] = a, b
             parts.append((ids, lens))
-        self.words.add(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+        self.words.ids.add(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
 
     def _learn(self, new: list) -> None:
         """Pieces are cut into pre-tokens, of which each distinct one is encoded once."""
-        before, flat, n = len(self.word), [], np.zeros(len(new), np.int64)
+        flat, n = [], np.zeros(len(new), np.int64)
         texts = [p[0] if isinstance(p, tuple) else " " + p for p in new]
         special = bool(self.added.search("\n".join(texts)))
         for i, text in enumerate(texts):
             own = [text] if special and self.added.search(text) else self.split.findall(text)
             flat += own
             n[i] = len(own)
-        at = np.fromiter(map(self.word.__getitem__, flat), np.int64, len(flat))
-        if len(self.word) > before:
-            self._learn_words(self.word.since(before))
-        ids, lens = self.words.take(at)
+        at, new_words = self.words.numbers(flat)
+        if new_words:
+            self._learn_words(new_words)
+        ids, lens = self.words.ids.take(at)
         upto = np.append(0, np.cumsum(lens))
         ends = np.cumsum(n)
-        self.pieces.add(ids, upto[ends] - upto[ends - n])
+        self.pieces.ids.add(ids, upto[ends] - upto[ends - n])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.known) > KEPT_PIECES or len(self.word) > KEPT_WORDS:
-            self.reset()
+        self.pieces.shrink()
+        self.words.shrink()
         flat, n = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text:
@@ -136,21 +162,13 @@ class PieceEncoder:
                 own[0] = (own[0],)
                 flat += own
                 n[i] = len(own)
-        before = len(self.known)
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        if len(self.known) > before:
-            self._learn(self.known.since(before))
-        ids, lens = self.pieces.take(at)
+        at, new = self.pieces.numbers(flat)
+        if new:
+            self._learn(new)
+        ids, lens = self.pieces.ids.take(at)
         return np.split(ids, np.append(0, np.cumsum(lens))[np.cumsum(n)][:-1]) if len(texts) else []
 
 
-def worker_encoder(ident: str, model: bytes) -> PieceEncoder:
-    """The encoder of this Python worker, which outlives a task."""
-    if ident not in _encoders:
-        _encoders[ident] = PieceEncoder(model)
-    return _encoders[ident]
-
-
 @dataclass
 class TokenFiles:
     """What write_tokens() wrote: its folder, the dictionary's hash, and the id type."""
@@ -200,7 +218,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int
 
     def encode(batches):
         model, data = shared.value
-        encoder = worker_encoder(ident, model)
+        encoder = worker_state(f"ids-{ident}", lambda: PieceEncoder(model))
         zipped = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(data))
         shard, block = TaskContext.get().partitionId(), 0
         keys, counts, frames, size = [], [], [], 0
@@ -260,7 +278,7 @@ def _opened(header) -> tuple[zstandard.ZstdDecompressor, np.dtype]:
 def read_tokens(spark: SparkSession, path: str, *, key: str = "doc_id") -> DataFrame:
     """Per document, from the files: key, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32 bits)."""
     header = spark.read.parquet(f"{path}/header").first()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # blocks, not documents
+    bound_batches(spark)  # a batch of blocks is bounded by its bytes
 
     def decode(batches):
         unzip, dtype = _opened(header)
