@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +14,7 @@ from tidemark.llm.line_dedup import bounds, chunks
 from tidemark.llm.minhash_dedup import aligned, links_in_block, shingles, sketches
 from tidemark.llm.quality import QualityModel
 from tidemark.llm.suffix_dedup import anchors
-from tidemark.llm.suffixes import permuted_matches, suffix_array
+from tidemark.llm.suffixes import _named_order, permuted_matches, suffix_array
 from tidemark.llm.token_counts import PieceCounter, read_model
 from tidemark.llm.token_output import PieceEncoder
 
@@ -50,6 +51,27 @@ def test_suffix_arrays_and_matches(seed):
     assert permuted_matches(t, whole, 9).tolist() == [k > 0 and b[whole[k] :][:9] == b[whole[k - 1] :][:9] for k in range(len(whole))]
 
 
+def test_suffix_arrays_of_long_runs_and_periods():
+    for b in (b"a" * 3000, b"ab" * 1500, bytes(range(97, 117)) * 150, b"b" + b"a" * 2000 + b"b" * 500 + b"ab" * 300):
+        t = np.frombuffer(b, np.uint8)
+        assert suffix_array(t).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+        shallow = [b[i : i + 50] for i in suffix_array(t, 50).tolist()]
+        assert shallow == sorted(shallow)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_names_are_sorted_recursively(seed):
+    r = np.random.default_rng(seed)
+    names = np.repeat(r.integers(0, 4, 40), r.integers(1, 5, 40))
+    assert _named_order(np.unique(names, return_inverse=True)[1], None).tolist() == sorted(range(len(names)), key=lambda i: names[i:].tolist())
+
+
+def test_a_run_of_one_byte_costs_its_length():
+    began = time.process_time()
+    suffix_array(np.full(1 << 20, 97, np.uint8), 50)
+    assert time.process_time() - began < 5
+
+
 def test_equal_strings_have_equal_anchors():
     r = random.Random(2)
     shared = bytes(r.randrange(256) for _ in range(70))

@@ -6,17 +6,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import bound_batches, written
+from tidemark.llm.common import bound_batches, dropped, written
 from tidemark.llm.suffixes import permuted_matches, suffix_array, words_at
 
 #: Bytes of a repeated string, and of the pieces of it whose smallest hash says where it is compared.
 LENGTH, PIECE = 50, 16
-#: Bytes of text that share one suffix array.
-SHARD_BYTES = 1 << 20
+#: Bytes of distinct parts that share one suffix array; strings that start in one part.
+SHARD_BYTES, LONGEST = 1 << 20, 4096
+#: A text is worked on in parts of so many bytes; parts that are cut out leave when they have so many bytes together.
+WORK_BYTES = 1 << 20
 
 
 def anchors(data: bytes, length: int = LENGTH, piece: int = PIECE) -> np.ndarray:
@@ -43,6 +47,17 @@ def anchors(data: bytes, length: int = LENGTH, piece: int = PIECE) -> np.ndarray
     return h.view(np.int64)
 
 
+def worked(t: bytes, length: int = LENGTH):
+    """(place, bytes) of the parts that a text is worked on in; every string of `length` bytes starts in one of them."""
+    for at in range(0, max(1, len(t) - length + 1), WORK_BYTES):
+        yield at, t[at : at + WORK_BYTES + length - 1]
+
+
+def _row_hash(t: bytes) -> int:
+    """Names a text among those of its key; 0 names the only one."""
+    return xxhash.xxh3_64_intdigest(t) - (1 << 63) or 1
+
+
 def runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First places and ends of the runs of equal values."""
     if not len(a):
@@ -51,35 +66,92 @@ def runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(0, cut), np.append(cut, len(a))
 
 
-def repeats_in_shard(texts: list[bytes], owners: list[list[int]], length: int = LENGTH) -> list[np.ndarray]:
-    """Per text, for every place where a string of `length` bytes starts, the smallest owner of a text that holds it.
-
-    The texts are distinct; owners has all that own a text.
-    """
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    t = np.frombuffer(b"".join(texts), np.uint8)
+def least_owners(t: np.ndarray, lens: np.ndarray, owner: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For every place of the texts end to end in t, the smallest owner of a text that holds the string of `length`
+    bytes which starts there; a place where no such string starts has its own text's owner."""
     ends = np.cumsum(lens)
-    source = np.repeat(np.arange(len(texts)), lens)
-    starts_here = np.arange(len(t)) + length <= ends[source]  # strings across two texts don't count
+    source = np.repeat(np.arange(len(lens)), lens)
+    least = owner[source]
     order = suffix_array(t, length)
-    order = order[starts_here[order]]
-    group = np.cumsum(~permuted_matches(t, order, length)) - 1
-    owner = np.fromiter(map(min, owners), np.int64, len(owners))[source[order]]
-    by_group = np.minimum.reduceat(owner, np.flatnonzero(np.append(True, group[1:] != group[:-1]))) if len(group) else owner
-    least = np.zeros(len(t), np.int64)
-    least[order] = by_group[group]
-    return [least[a : max(a, e - length + 1)] for a, e in zip(ends - lens, ends, strict=True)]
-
-
-def _spans(places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and end bytes of the maximal runs that strings starting at these sorted places cover."""
-    if not len(places):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cut = np.flatnonzero(places[1:] > places[:-1] + length) + 1
-    return places[np.append(0, cut)], places[np.append(cut - 1, len(places) - 1)] + length
+    order = order[order + length <= ends[source[order]]]  # strings across two texts don't count
+    if len(order):
+        first = ~permuted_matches(t, order, length)
+        by_group = np.minimum.reduceat(least[order], np.flatnonzero(first))
+        least[order] = by_group[np.cumsum(first) - 1]
+    return least
+
+
+class Parts:
+    """Rows (anchor, k, r, at, part) in the order of (anchor, k), and their distinct parts."""
+
+    NAMES = ("anchor", "k", "r", "at", "part")
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows.select(self.NAMES)
+        self.anchor, self.k, self.r, self.at = (rows.column(c).combine_chunks().to_numpy() for c in self.NAMES[:4])
+        coded = rows.column("part").combine_chunks().dictionary_encode()
+        self.code, self.parts = coded.indices.to_numpy(), coded.dictionary
+        offsets = np.frombuffer(self.parts.buffers()[1], np.int32, len(self.parts) + 1, self.parts.offset * 4)
+        self.lens = np.diff(offsets).astype(np.int64)
+        self.bytes = np.frombuffer(self.parts.buffers()[2], np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0]))
+        # the first row of a part has its smallest key: rows of one part have one anchor and lie in the order of keys
+        first = np.full(len(self.parts), len(self.code))
+        np.minimum.at(first, self.code, np.arange(len(self.code)))
+        self.owner = self.k[first] if len(first) else np.zeros(0, np.int64)
+
+    def later(self) -> np.ndarray:
+        """Whether a row has a greater key than its part's first row: then all strings of the part go there."""
+        return self.k > self.owner[self.code]
+
+    def whole(self, rows: np.ndarray) -> pa.RecordBatch:
+        return _ranges(self.k[rows], self.r[rows], self.at[rows], self.at[rows] + self.lens[self.code[rows]])
+
+    def judged(self, length: int) -> pa.RecordBatch:
+        """Ranges of the parts' first owners that strings of other parts, with smaller owners, make go."""
+        if not len(self.parts):
+            return _ranges(*[np.zeros(0, np.int64)] * 4)
+        least = least_owners(self.bytes, self.lens, self.owner, length)
+        base = np.cumsum(self.lens) - self.lens
+        places = np.flatnonzero(least < np.repeat(self.owner, self.lens))
+        source = np.searchsorted(base, places, "right") - 1
+        # runs of places within a part; a range may touch the next one of its part
+        cut = np.flatnonzero((source[1:] != source[:-1]) | (places[1:] > places[:-1] + length)) + 1 if len(places) else np.zeros(0, np.int64)
+        first, last = (np.append(0, cut), np.append(cut - 1, len(places) - 1)) if len(places) else (cut, cut)
+        of, a, b = source[first], places[first] - base[source[first]], places[last] + length - base[source[first]]
+        # every row of such a part: of its first owner alone, as later owners lose the whole part anyway
+        own = np.flatnonzero(~self.later() & np.isin(self.code, of))
+        own = own[np.argsort(self.code[own], kind="stable")]
+        lo, hi = (np.searchsorted(of, self.code[own], side) for side in ("left", "right"))
+        n = hi - lo
+        row = np.repeat(own, n)
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return _ranges(self.k[row], self.r[row], self.at[row] + a[at], self.at[row] + b[at])
 
+    def strings(self, length: int) -> pa.RecordBatch:
+        """Every string of `length` bytes of every row, as a part of its own whose anchor is the string's hash."""
+        k, r, at, text, name = [], [], [], [], []
+        for i in range(len(self.code)):
+            part = self.parts[int(self.code[i])].as_py()
+            for j in range(len(part) - length + 1):
+                s = part[j : j + length]
+                k.append(self.k[i])
+                r.append(self.r[i])
+                at.append(self.at[i] + j)
+                text.append(s)
+                name.append(xxhash.xxh3_64_intdigest(s) - (1 << 63))
+        columns = [pa.array(x, pa.int64()) for x in (k, r, at)]
+        return pa.RecordBatch.from_arrays([columns[0], columns[1], columns[2], pa.nulls(len(k), pa.int64()), pa.array(name, pa.int64()), pa.array(text, pa.binary())], _FOUND)
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
+
+_FOUND = ["k", "r", "a", "b", "anchor", "part"]
+
+
+def _ranges(k: np.ndarray, r: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    n = len(k)
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (k, r, a, b)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], _FOUND)
+
+
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep_text: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text (binary).
 
     A byte is removed if a string of `length` bytes that covers it also starts in a row with a smaller key. Strings are
@@ -88,9 +160,13 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     columns are ignored whatever their names; an empty table gives an empty one.
 
     Whole copies hang on the row of smallest key. Every string's anchor, the smallest hash of its pieces, is the
-    same wherever the string stands, so only strings whose anchor occurs under two keys or more are moved. They meet by
-    anchor, some megabyte of them in one suffix array; strings are compared byte by byte there. What comes back are
-    ranges of a document. No text is gathered in one task but a document's own ranges and an anchor's own strings.
+    same wherever the string stands, so only strings whose anchor occurs twice are moved, a run of neighbouring strings
+    of one anchor as one part. Parts meet by anchor. Of equal parts all but those of the smallest key go; the distinct
+    parts of about a megabyte enter one suffix array, which compares their strings byte by byte. What comes back are
+    ranges of a document.
+
+    However often an anchor or a part occurs, a batch of texts gives one row of it to the shuffle; an anchor with more
+    distinct parts than a shard holds is dealt out again string by string.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -104,64 +180,122 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     def anchored(batches):
         for batch in batches:
-            found = [np.unique(anchors(t.as_py(), length)) for t in batch.column(1)]
-            offsets = pa.array(np.append(0, np.cumsum([len(x) for x in found])), pa.int32())
-            values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], ["k", "anchors"])
-
-    rows = long_rows.select("k", "t").mapInArrow(anchored, "k long, anchors array<bigint>").select("k", F.explode("anchors").alias("anchor"))
-    # an anchor is shared if it has a row before or after in the order of keys: one shuffle of two numbers a row
-    near = Window.partitionBy("anchor").orderBy("k")
-    shared = rows.withColumn("near", F.coalesce(F.lag("k").over(near), F.lead("k").over(near))).where("near is not null")
-    by_doc = shared.groupBy("k").agg(F.collect_set("anchor").alias("anchors"))
-    marked = written(by_doc.join(first.select(F.col("first").alias("k")).distinct(), "k", "left_semi"), "anchors")
+            keys = batch.column(0).to_numpy()
+            order = np.argsort(keys, kind="stable")
+            found = [np.unique(np.concatenate([np.unique(anchors(x, length)) for _, x in worked(batch.column(1)[i].as_py(), length)])) for i in order.tolist()]
+            k = np.repeat(keys[order], [len(x) for x in found])
+            anchor = np.concatenate(found) if found else np.zeros(0, np.int64)
+            # an anchor that the batch holds twice is shared: its first row says so for all others, which are told here
+            by = np.argsort(anchor, kind="stable")
+            same = np.append(False, anchor[by][1:] == anchor[by][:-1]) if len(by) else np.zeros(0, bool)
+            again, sure = np.zeros(len(by), bool), np.zeros(len(by), bool)
+            again[by] = same
+            sure[by] = same | np.append(same[1:], False) if len(by) else same
+            meet = np.where(again, (k * np.int64(-7046029254386353131)) ^ anchor, anchor)
+            yield pa.RecordBatch.from_arrays([pa.array(meet), pa.array(k), pa.array(anchor, mask=~sure)], ["meet", "k", "told"])
+
+    rows = long_rows.select("k", "t").mapInArrow(anchored, "meet long, k long, told long")
+    shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("meet"))).where("told is not null or n > 1")
+    by_doc = shared.groupBy("k").agg(F.collect_set(F.coalesce("told", "meet")).alias("anchors"))
+    # a key with several texts needs more than its key to name a row
+    firsts = first.select(F.col("first").alias("k")).distinct()
+    several = ids.groupBy("k").agg((F.min("id") != F.max("id")).alias("several")).join(firsts, "k", "left_semi")
+    marked = written(by_doc.join(several, "k"), "anchors")
 
     def cut_out(batches):
+        def held():
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], pa.binary() if c == "part" else pa.int64()) for c in Parts.NAMES], list(Parts.NAMES))
+
+        def put(*row):
+            for c, x in zip(Parts.NAMES, row, strict=True):
+                columns[c].append(x)
+
         for batch in batches:
-            keys, anchor, at, part = [], [], [], []
-            for k, t, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                a = anchors(t, length)
-                first, end = runs(a)
-                wanted = np.sort(np.array(wanted, np.int64))
-                place = np.minimum(np.searchsorted(wanted, a[first]), len(wanted) - 1)
-                for i, j in zip(first[wanted[place] == a[first]].tolist(), end[wanted[place] == a[first]].tolist(), strict=True):
-                    keys.append(k)
-                    anchor.append(int(a[i]))
-                    at.append(i)
-                    part.append(t[i : j - 1 + length])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(anchor, pa.int64()), pa.array(at, pa.int64()), pa.array(part, pa.binary())], ["k", "anchor", "at", "part"])
-
-    parts = long_rows.join(marked, "k").select("k", "t", "anchors").mapInArrow(cut_out, "k long, anchor long, at long, part binary")
-    ordered = parts.repartition("anchor").sortWithinPartitions("anchor", "k", "at")
-
-    def compare(batches):
-        texts: dict[bytes, list[tuple[int, int]]] = {}
-        size, last = 0, None
-
-        def judged():
-            k, a, b = [], [], []
-            for own, least in zip(texts.values(), repeats_in_shard(list(texts), [[o for o, _ in x] for x in texts.values()], length), strict=True):
-                for owner, base in own:
-                    for x, y in zip(*_spans(np.flatnonzero(least < owner), length), strict=True):
-                        k.append(owner)
-                        a.append(base + int(x))
-                        b.append(base + int(y))
-            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["k", "a", "b"])
+            columns, size = {c: [] for c in Parts.NAMES}, 0
+            keys, seen = batch.column(0).to_numpy(), {}
+            for n in np.argsort(keys, kind="stable").tolist():
+                k, t = int(keys[n]), batch.column(1)[n].as_py()
+                r = _row_hash(t) if batch.column(3)[n].as_py() else 0
+                wanted = np.unique(np.asarray(batch.column(2)[n].values))
+                gone_from = gone_to = -1
+                for base, piece in worked(t, length):
+                    a = anchors(piece, length)
+                    first, end = runs(a)
+                    place = np.minimum(np.searchsorted(wanted, a[first]), len(wanted) - 1)
+                    hit = wanted[place] == a[first]
+                    for i, to, anchor in zip(first[hit].tolist(), end[hit].tolist(), a[first[hit]].tolist(), strict=True):
+                        for x in range(i, to, LONGEST):  # very long runs are cut: strings of a short period give few distinct parts
+                            part = piece[x : min(x + LONGEST, to) - 1 + length]
+                            if seen.setdefault(part, k) == k:
+                                put(anchor, k, r, base + x, part)
+                                size += len(part)
+                            elif base + x <= gone_to:  # a smaller key of this batch has it: it goes, and is moved no more
+                                gone_to = base + x + len(part)
+                            else:
+                                if gone_to >= 0:
+                                    put(gone_to, k, r, gone_from, None)
+                                gone_from, gone_to = base + x, base + x + len(part)
+                        if size >= WORK_BYTES:
+                            yield held()
+                            columns, size = {c: [] for c in Parts.NAMES}, 0
+                if gone_to >= 0:  # a row without a part says that the bytes up to its anchor go
+                    put(gone_to, k, r, gone_from, None)
+            yield held()
+
+    parts = long_rows.join(marked, "k").select("k", "t", "anchors", "several").mapInArrow(cut_out, "anchor long, k long, r long, at long, part binary")
+
+    def compare(batches, last_pass=False):
+        held: list[pa.Table] = []
+        size, postponed = 0, None
+
+        def shard(rows: pa.Table, end: bool):
+            """Judges the whole anchors of rows; gives the ranges found and the rows that wait for more."""
+            nonlocal postponed
+            p = Parts(rows)
+            later = p.later()
+            yield p.whole(np.flatnonzero(later))
+            rows = p.rows.filter(pa.array(~later))
+            anchor = p.anchor[~later]
+            if not end and len(anchor) and int(p.lens.sum()) < shard_bytes // 2:
+                return rows
+            cut = len(anchor) if end else int(np.flatnonzero(anchor != anchor[-1])[-1]) + 1 if len(anchor) and (anchor != anchor[-1]).any() else 0
+            if cut:
+                yield Parts(rows.slice(0, cut)).judged(length)
+                return rows.slice(cut)
+            if len(anchor) and not last_pass:  # one anchor with more distinct parts than a shard holds
+                postponed = int(anchor[0])
+                yield Parts(rows).strings(length)
+                return rows.slice(0, 0)
+            return rows
 
         for batch in batches:
-            for k, anchor, place, part in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if size >= SHARD_BYTES and anchor != last:  # strings of one anchor stay together
-                    yield judged()
-                    texts, size = {}, 0
-                own = texts.setdefault(part, [])
-                size += 0 if own else len(part)
-                own.append((k, place))
-                last = anchor
-        if texts:
-            yield judged()
-
-    found = ordered.mapInArrow(compare, "k long, a long, b long")
-    ranges = found.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("ranges"))
+            rows = pa.Table.from_batches([batch])
+            told = rows.filter(pc.is_null(rows.column("part")))
+            if told.num_rows:
+                yield _ranges(*(told.column(c).to_numpy() for c in ("k", "r", "at", "anchor")))
+                rows = rows.filter(pc.is_valid(rows.column("part")))
+            if postponed is not None and rows.num_rows:
+                same = rows.filter(pc.equal(rows.column("anchor"), postponed))
+                if same.num_rows:
+                    p = Parts(same)
+                    yield p.whole(np.flatnonzero(p.later()))
+                    yield Parts(p.rows.filter(pa.array(~p.later()))).strings(length)
+                    rows = rows.filter(pc.not_equal(rows.column("anchor"), postponed))
+            if rows.num_rows:
+                held.append(rows)
+                size += rows.column("part").nbytes
+                if size >= shard_bytes:
+                    rows = yield from shard(pa.concat_tables(held), False)
+                    held, size = [rows], rows.column("part").nbytes
+        if held:
+            yield from shard(pa.concat_tables(held), True)
+
+    deal = F.coalesce(F.when(F.col("part").isNotNull(), F.col("anchor")), F.xxhash64("k"))
+    schema = "k long, r long, a long, b long, anchor long, part binary"
+    found = written(parts.repartition(deal).sortWithinPartitions("anchor", "k", "at").mapInArrow(compare, schema), "ranges")
+    again = found.where("part is not null").select("anchor", "k", "r", F.col("a").alias("at"), "part").repartition("anchor").sortWithinPartitions("anchor", "k", "at")
+    ends = found.where("part is null").select("k", "r", "a", "b").union(again.mapInArrow(lambda x: compare(x, True), schema).select("k", "r", "a", "b"))
+    ranges = ends.groupBy("k").agg(F.collect_set(F.struct("r", "a", "b")).alias("ranges"))
 
     def cleaned(batches):
         for batch in batches:
@@ -169,7 +303,9 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             for k, t, copied, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 copy = bool(copied) and hashlib.sha256(t).digest()[:16] in copied
                 spans: list[list[int]] = []
-                for r in [{"a": 0, "b": len(t)}] if copy else own or []:
+                own = own or [] if len(t) >= length else []  # a short text may share its key with a longer one
+                mine = {0, _row_hash(t)} if any(r["r"] for r in own) else {0}
+                for r in [{"a": 0, "b": len(t)}] if copy else sorted((r for r in own if r["r"] in mine), key=lambda r: (r["a"], r["b"])):
                     if spans and r["a"] <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], r["b"])
                     else:
@@ -187,6 +323,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     # what happens to each key, without texts; the texts then move once
     fate = written(copies.join(ranges, "k", "full_outer"), "fates")
+    dropped(ids, marked, found)
     judged_rows = all_rows.join(fate, "k", "left").select("k", "t", "copies", "ranges")
     out = judged_rows.mapInArrow(cleaned, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
     out = out.withColumnRenamed("k", key)
