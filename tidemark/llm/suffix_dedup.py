@@ -108,16 +108,22 @@ class Parts:
 
     def judged(self, length: int) -> pa.RecordBatch:
         """Ranges of the parts' first owners that strings of other parts, with smaller owners, make go."""
-        if not len(self.parts):
+        # strings of a part that is alone under its anchor stand in no other part
+        anchor = np.zeros(len(self.parts), np.int64)
+        anchor[self.code] = self.anchor
+        _, same, times = np.unique(anchor, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(times[same] > 1)
+        if not len(some):
             return _ranges(*[np.zeros(0, np.int64)] * 4)
-        least = least_owners(self.bytes, self.lens, self.owner, length)
-        base = np.cumsum(self.lens) - self.lens
-        places = np.flatnonzero(least < np.repeat(self.owner, self.lens))
+        lens, owner = self.lens[some], self.owner[some]
+        base = np.cumsum(lens) - lens
+        inside = np.repeat((np.cumsum(self.lens) - self.lens)[some] - base, lens) + np.arange(int(lens.sum()))
+        places = np.flatnonzero(least_owners(self.bytes[inside], lens, owner, length) < np.repeat(owner, lens))
         source = np.searchsorted(base, places, "right") - 1
         # runs of places within a part; a range may touch the next one of its part
         cut = np.flatnonzero((source[1:] != source[:-1]) | (places[1:] > places[:-1] + length)) + 1 if len(places) else np.zeros(0, np.int64)
         first, last = (np.append(0, cut), np.append(cut - 1, len(places) - 1)) if len(places) else (cut, cut)
-        of, a, b = source[first], places[first] - base[source[first]], places[last] + length - base[source[first]]
+        of, a, b = some[source[first]], places[first] - base[source[first]], places[last] + length - base[source[first]]
         # every row of such a part: of its first owner alone, as later owners lose the whole part anyway
         own = np.flatnonzero(~self.later() & np.isin(self.code, of))
         own = own[np.argsort(self.code[own], kind="stable")]

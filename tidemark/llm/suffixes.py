@@ -21,6 +21,14 @@ def _leftmost(smaller: np.ndarray) -> np.ndarray:
     return np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
 
 
+def _stable(code: np.ndarray) -> np.ndarray:
+    """A stable argsort of integers of 0 or more: places make them unique, and unique ones sort faster."""
+    n = len(code)
+    if not n or int(code.max()) >= (1 << 62) // n:
+        return np.argsort(code, kind="stable")
+    return np.argsort(code * n + np.arange(n))
+
+
 def _stepped_back(j: np.ndarray, run_start: np.ndarray) -> np.ndarray:
     """What the members j of a bucket, each the last of a run of equal symbols, give to their own bucket.
 
@@ -132,7 +140,7 @@ def _by_chains(who: np.ndarray, code: np.ndarray, after: np.ndarray, inner: np.n
         place = np.empty(len(who), np.int64)
         place[index] = at
         own = np.concatenate([order, index[~going]])
-        order = own[np.argsort(code[place[own]], kind="stable")]
+        order = own[_stable(code[place[own]])]
     return who[order]
 
 
@@ -145,7 +153,7 @@ def _named_order(names: np.ndarray, depth: int | None) -> np.ndarray:
     """
     n = len(names)
     if n < 2 or int(names.max()) + 1 == n or (depth is not None and depth <= 1):
-        return np.argsort(names, kind="stable")
+        return _stable(names)
     smaller = _types(names)
     lms = _leftmost(smaller)
     ends_run = np.append(names[1:] != names[:-1], True)
@@ -189,7 +197,7 @@ def _named_order(names: np.ndarray, depth: int | None) -> np.ndarray:
         lms = lms[_named_order(name[lms], None if depth is None else (depth + 1) // 2)]
     larger, up = induced(lms, np.arange(len(lms)))
     both = np.concatenate([larger, up])
-    return both[np.argsort(names[both], kind="stable")]
+    return both[_stable(names[both])]
 
 
 def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
@@ -224,7 +232,7 @@ def permuted_matches(t: np.ndarray, order: np.ndarray, length: int) -> np.ndarra
     if len(order) < 2:
         return out
     words = words_at(t)
-    by_place = np.argsort(order[1:], kind="stable")
+    by_place = np.argsort(order[1:])
     p, before = order[1:][by_place], order[:-1][by_place]
     same = np.ones(len(p), bool)
     for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
