@@ -103,13 +103,15 @@ def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def links_in_blocks(block: np.ndarray, second: np.ndarray, inner: np.ndarray, table: np.ndarray, weights: np.ndarray, x: np.ndarray, parts: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def links_in_blocks(block: np.ndarray, second: np.ndarray, inner: np.ndarray, table: np.ndarray, weights: np.ndarray, x: np.ndarray, parts: np.ndarray, least: float = SIMILARITY, label: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(links of every row, spanning links as row numbers) of pairs of cosine >= least within blocks.
 
     Rows lie block by block, in a block that compares two sets the first set before the second. A pair that agrees in
     several tables counts in the first of them only, so that the sums over all tables count it once. Small blocks are
-    compared all together, one distance between rows after the other; large ones by a matrix product each.
+    compared all together, one distance between rows after the other; large ones by a matrix product each. Rows of
+    different labels, which only a collision of hashes brings into one block, aren't linked.
     """
+    label = np.zeros(len(block), np.int64) if label is None else label
     links, span = np.zeros(len(block), np.int64), []
     first = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(block)))
@@ -122,7 +124,7 @@ def links_in_blocks(block: np.ndarray, second: np.ndarray, inner: np.ndarray, ta
 
     for step in range(1, SMALL):
         i = np.flatnonzero(small[:-step] & (block[:-step] == block[step:])) if len(block) > step else np.zeros(0, np.int64)
-        i = i[inner[i] | (second[i] != second[i + step])]
+        i = i[(inner[i] | (second[i] != second[i + step])) & (label[i] == label[i + step])]
         if len(i):
             i = i[np.einsum("ij,ij->i", x[i], x[i + step]) >= least]
             count(i, i + step)
@@ -131,6 +133,9 @@ def links_in_blocks(block: np.ndarray, second: np.ndarray, inner: np.ndarray, ta
         cut = n if inner[a] else int((~second[a : a + n]).sum())
         rows, columns = (x[a : a + n], x[a : a + n]) if inner[a] else (x[a : a + cut], x[a + cut : a + n])
         close = rows @ columns.T >= least
+        if (label[a : a + n] != label[a]).any():
+            of_rows, of_columns = (label[a : a + n],) * 2 if inner[a] else (label[a : a + cut], label[a + cut : a + n])
+            close &= of_rows[:, None] == of_columns
         i, j = np.nonzero(np.triu(close, 1) if inner[a] else close)
         j = j if inner[a] else j + cut
         count(i + a, j + a)
@@ -157,10 +162,10 @@ def near_vectors(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding
     spark = df.sparkSession
     bound_batches(spark)
     rows = df.where(F.col(key).isNotNull() & F.col(label).isNotNull() & _usable(F.col(vector)))
-    rows = rows.select(F.col(key).alias("k"), F.xxhash64(label, F.size(vector)).alias("g"), F.col(vector).cast("array<double>").alias("x"))
+    rows = rows.select(F.col(key).alias("k"), F.xxhash64(label, F.size(vector)).alias("g"), F.col(label).cast("string").alias("l"), F.col(vector).cast("array<double>").alias("x"))
     # two independent 64-bit hashes stand for a vector of a label
     rows = rows.withColumn("h1", F.xxhash64("g", "x")).withColumn("h2", F.xxhash64(F.lit(5), "x", "g"))
-    single = written(rows.groupBy("h1", "h2").agg(F.min("k").alias("k"), F.count("*").alias("n"), F.first("g").alias("g"), F.first("x").alias("x")), "vectors")
+    single = written(rows.groupBy("h1", "h2").agg(F.min("k").alias("k"), F.count("*").alias("n"), F.first("g").alias("g"), F.first("l").alias("l"), F.first("x").alias("x")), "vectors")
 
     sample = [r.x for r in single.select("x", F.xxhash64(F.lit(9), "k").alias("h")).orderBy("h", "x").limit(TRAIN_ROWS).select("x").toLocalIterator()]
     by_size: dict[int, list] = {}
@@ -179,11 +184,11 @@ def near_vectors(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding
                 at = np.flatnonzero(sizes == n)
                 turn = turns.get(int(n)) or turns.setdefault(int(n), Rotation(np.zeros((0, int(n)))))
                 out[at] = turn.parts(unit(np.array([x[i] for i in at])))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), batch.column(0), pa.array(out.tolist(), pa.list_(pa.int32()))], ["v", "g", "n", "x", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), batch.column(4), batch.column(0), pa.array(out.tolist(), pa.list_(pa.int32()))], ["v", "g", "n", "l", "x", "parts"])
 
     # from here on a vector goes by its hashes: a key may have several vectors
     both = F.struct("h1", "h2")
-    codes = single.select("x", both.alias("v"), "g", "n").mapInArrow(coded, "v struct<h1:long,h2:long>, g long, n long, x array<double>, parts array<int>")
+    codes = single.select("x", both.alias("v"), "g", "n", "l").mapInArrow(coded, "v struct<h1:long,h2:long>, g long, n long, l string, x array<double>, parts array<int>")
     codes = written(codes, "codes")
     each = F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64("g", F.lit(t), *[F.col("parts")[p] for p in chosen]).alias("bucket")) for t, chosen in enumerate(tables())])
     entries = codes.select("v", F.explode(each).alias("e")).select("v", "e.t", "e.bucket")
@@ -195,7 +200,7 @@ def near_vectors(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding
     placed = entries.join(once, ["t", "bucket"]).select("v", "t", "bucket", blocks.alias("blocks"), F.pmod(F.xxhash64("v", F.lit(7)), blocks).cast("int").alias("mine"))
     spread = placed.select("v", "t", "bucket", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select("v", "t", F.xxhash64("t", "bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), (F.col("mine") > F.col("other")).alias("second"), (F.col("mine") == F.col("other")).alias("inner"))
-    wanted = spread.join(codes, "v").select("block", "t", "second", "inner", "v", "n", "x", "parts")
+    wanted = spread.join(codes, "v").select("block", "t", "second", "inner", "v", "n", "l", "x", "parts")
 
     def compare(batches):
         held: list[pa.RecordBatch] = []
@@ -207,10 +212,11 @@ def near_vectors(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding
             sizes = np.diff(np.asarray(lists.offsets))
             flat, ends = np.array(lists.flatten()), np.cumsum(sizes)
             keys = rows.column("v").combine_chunks()
+            labels = rows.column("l").combine_chunks().dictionary_encode().indices.to_numpy()
             for dim in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == dim)
                 x = unit(flat[(ends[at] - dim)[:, None] + np.arange(dim)])
-                links, span = links_in_blocks(block[at], second[at], inner[at], table[at], n[at], x, parts[at], least)
+                links, span = links_in_blocks(block[at], second[at], inner[at], table[at], n[at], x, parts[at], least, labels[at])
                 some = np.flatnonzero(links)
                 i, j = (np.array([p[c] for p in span], np.int64) for c in (0, 1))
                 a = pa.concat_arrays([keys.take(pa.array(at[some])), keys.take(pa.array(at[i]))])
