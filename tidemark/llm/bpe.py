@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import islice
 
 import numpy as np
 import regex
@@ -16,23 +15,33 @@ _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _NONE = np.int64(1 << 40)
 
 
+def cut_with_care(text: str) -> bool:
+    """Whether a space stands next to other white space, so that not every space begins a piece."""
+    return _NEXT_TO_SPACE.search(text) is not None
+
+
 def pieces(text: str) -> list[str]:
     """Cuts at single spaces between characters that aren't white space, where a pre-token always begins.
 
     Every piece but the first lacks the space that stands before it; cutting there can't change the tokens.
     """
-    return _SAFE_SPACE.split(text) if _NEXT_TO_SPACE.search(text) else text.split(" ")
+    return _SAFE_SPACE.split(text) if cut_with_care(text) else text.split(" ")
 
 
 class Interned(dict):
     """Numbers keys in the order in which they are first looked up."""
 
+    def __init__(self, keys=()):
+        self.names = list(keys)
+        super().__init__((k, n) for n, k in enumerate(self.names))
+
     def __missing__(self, key):
         n = self[key] = len(self)
+        self.names.append(key)
         return n
 
     def since(self, n: int) -> list:
-        return list(islice(self, n, None))
+        return self.names[n:]
 
 
 def byte_symbols() -> list[str]:

@@ -17,19 +17,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.bpe import SPLIT, Interned, pieces
+from tidemark.llm.bpe import Interned, cut_with_care, pieces
 from tidemark.llm.common import bound_batches, new_path, work_slices, worker_state
 from tidemark.llm.token_counts import read_model
 
-#: When a worker holds more pieces, or pre-tokens, than this, it forgets all but the half that it met most often.
-KEPT_PIECES, KEPT_WORDS = 150_000, 150_000
+#: When a worker holds more pieces than this, it forgets all but the half that it met most often.
+KEPT_PIECES = 450_000
+#: New pieces that the library encodes as one text; characters of texts in which equal pieces are found together.
+JOINED, SLICE_CHARS = 500, 2_000_000
 
 #: A block ends after so many bytes of frames or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 512
@@ -81,9 +83,9 @@ class Met:
         if len(self.number) > self.most:
             keep = np.sort(np.argsort(-self.times, kind="stable")[: self.most // 2])
             keep = keep[self.times[keep] > 1]
-            names = list(self.number)
+            names = self.number.names
             self.ids, self.times = Ragged.of(*self.ids.take(keep)), self.times[keep] // 2
-            self.number = Interned((names[i], n) for n, i in enumerate(keep.tolist()))
+            self.number = Interned(names[i] for i in keep.tolist())
 
 
 class PieceEncoder:
@@ -95,12 +97,12 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's threads only cost memory
         self.tokenizer = Tokenizer.from_buffer(model)
         added = {t["content"] for t in json.loads(model).get("added_tokens", ())}
-        self.split, self.added = regex.compile(SPLIT), re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # bytes of each token
         for token, i in vocab.items():
             self.width[i] = len(token.encode()) if token in added else len(token)
-        self.pieces, self.words = Met(KEPT_PIECES), Met(KEPT_WORDS)
+        self.pieces = Met(KEPT_PIECES)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each has; every text is encoded alone."""
@@ -108,64 +110,79 @@ class PieceEncoder:
         lens = np.fromiter(map(len, own), np.int64, len(own))
         return np.fromiter((i for x in own for i in x), np.uint32, int(lens.sum())), lens
 
-    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for pieces that begin with a space, encoded as one text; the tokens' bytes tell where each ends."""
-        if not texts:
+    def _joined(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces with a space before each, encoded as one text; the tokens' bytes tell where each ends."""
+        if not own:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+        text = " " + " ".join(own)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of the characters
+        ends = begins[np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)]
         upto = np.cumsum(self.width[ids])
-        ends = np.cumsum(np.fromiter((len(t.encode("utf-8", "surrogatepass")) for t in texts), np.int64, len(texts)))
         last = np.searchsorted(upto, ends)
         if len(upto) and upto[-1] == ends[-1] and (upto[last] == ends).all():
             return ids, np.diff(last + 1, prepend=0)
-        return self._each(texts)
-
-    def _learn_words(self, new: list[str]) -> None:
-        special = bool(self.added.search("\n".join(new)))
-        parts, spaced = [], np.array([len(w) > 1 and w[0] == " " and not w[1].isspace() and not (special and self.added.search(w)) for w in new], bool)
-        for i in range(0, len(new), 2000):
-            part, joined = new[i : i + 2000], spaced[i : i + 2000]
-            a, la = self._joined([w for w, s in zip(part, joined, strict=True) if s])
-            b, lb = self._each([w for w, s in zip(part, joined, strict=True) if not s])
-            lens = np.zeros(len(part), np.int64)
-            lens[joined], lens[~joined] = la, lb
-            ids, own = np.empty(int(lens.sum()), np.uint32), np.repeat(joined, lens)
-            ids[own], ids[~own] = a, b
-            parts.append((ids, lens))
-        self.words.ids.add(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+        return self._each([" " + p for p in own])
 
     def _learn(self, new: list) -> None:
-        """Pieces are cut into pre-tokens, of which each distinct one is encoded once."""
-        flat, n = [], np.zeros(len(new), np.int64)
-        texts = [p[0] if isinstance(p, tuple) else " " + p for p in new]
-        special = bool(self.added.search("\n".join(texts)))
-        for i, text in enumerate(texts):
-            own = [text] if special and self.added.search(text) else self.split.findall(text)
-            flat += own
-            n[i] = len(own)
-        at, new_words = self.words.numbers(flat)
-        if new_words:
-            self._learn_words(new_words)
-        ids, lens = self.words.ids.take(at)
-        upto = np.append(0, np.cumsum(lens))
-        ends = np.cumsum(n)
-        self.pieces.ids.add(ids, upto[ends] - upto[ends - n])
+        """Pieces that stand between others are encoded joined; those that begin or end a text, given as tuples, and
+        those that hold an added token's string, each alone."""
+        joins = np.fromiter((type(p) is str for p in new), bool, len(new))
+        together = [p for p in new if type(p) is str]
+        if self.added.search(" ".join(together)):
+            joins = np.fromiter((type(p) is str and not self.added.search(" " + p) for p in new), bool, len(new))
+            together = [p for p, j in zip(new, joins, strict=True) if j]
+        parts = [self._joined(together[i : i + JOINED]) for i in range(0, max(1, len(together)), JOINED)]
+        a, la = (np.concatenate([x[c] for x in parts]) for c in (0, 1))
+        b, lb = self._each([" " + p if type(p) is str else "".join(p) for p, j in zip(new, joins, strict=True) if not j])
+        lens = np.zeros(len(new), np.int64)
+        lens[joins], lens[~joins] = la, lb
+        ids, own = np.empty(int(lens.sum()), np.uint32), np.repeat(joins, lens)
+        ids[own], ids[~own] = a, b
+        self.pieces.ids.add(ids, lens)
+
+    def _numbers(self, own: list) -> np.ndarray:
+        at, new = self.pieces.numbers(own)
+        if new:
+            self._learn(new)
+        return at
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text."""
+        """The ids of each text.
+
+        Texts are cut into pieces and equal ones found by Arrow; only the distinct pieces of a slice meet Python. Texts
+        whose spaces stand next to other white space are cut one by one.
+        """
         self.pieces.shrink()
-        self.words.shrink()
-        flat, n = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                own = pieces(text)
-                own[0] = (own[0],)
-                flat += own
-                n[i] = len(own)
-        at, new = self.pieces.numbers(flat)
-        if new:
-            self._learn(new)
-        ids, lens = self.pieces.ids.take(at)
+        plain = [i for i, t in enumerate(texts) if t and not cut_with_care(t)]
+        cut = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        offsets = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        inner = np.ones(len(codes), bool)
+        inner[offsets[:-1]] = False  # nothing stands before a text's first piece
+        for n, i in enumerate(plain):
+            if texts[i][-1].isspace():
+                inner[offsets[n + 1] - 1] = False
+        used = np.flatnonzero(np.bincount(codes[inner], minlength=len(coded.dictionary)))
+        number = np.zeros(len(coded.dictionary), np.int64)
+        number[used] = self._numbers(coded.dictionary.take(pa.array(used)).to_pylist())
+        at = number[codes]
+        ends = np.flatnonzero(~inner)
+        first = np.zeros(len(codes), bool)
+        first[offsets[:-1]] = True
+        at[ends] = self._numbers([(p,) if f else (" ", p) for p, f in zip(coded.dictionary.take(coded.indices.take(pa.array(ends))).to_pylist(), first[ends].tolist(), strict=True)])
+        parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+        for n, i in enumerate(plain):
+            parts[i] = at[offsets[n] : offsets[n + 1]]
+        taken = set(plain)
+        for i, t in enumerate(texts):
+            if t and i not in taken:
+                own = pieces(t)
+                parts[i] = self._numbers([(own[0],), *own[1:-1], *([(" ", own[-1])] if len(own) > 1 else [])])
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        ids, lens = self.pieces.ids.take(np.concatenate([np.zeros(0, np.int64), *parts]))
         return np.split(ids, np.append(0, np.cumsum(lens))[np.cumsum(n)][:-1]) if len(texts) else []
 
 
@@ -233,7 +250,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int
                 continue
             kinds = [pa.int32(), pa.int64(), pa.string(), pa.list_(batch.column(0).type), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
             own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in work_slices([len(t or "") for t in texts]):
+            for a, b in work_slices([len(t or "") for t in texts], SLICE_CHARS):
                 for k, ids in zip(own[a:b], encoder(texts[a:b]), strict=True):
                     frame = zipped.compress(np.append(ids, end_id).astype(dtype).tobytes())
                     keys.append(k)
