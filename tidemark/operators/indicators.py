@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from tidemark.schemas import KEY
+from tidemark.schemas import INDICATOR_COLUMNS, KEY
 
 #: Bars that a value needs before it: with them it doesn't depend on where the history starts.
 WARMUP = {"rsi_14": 14, "sma_20": 19, "sma_50": 49, "sma_200": 199, "macd": 33, "atr_14": 14, "avg_volume_20": 19, "ret_20d": 20, "patterns": 150}
@@ -40,41 +40,50 @@ def smoothed(x: np.ndarray, alpha: float, length: int) -> np.ndarray:
     have = np.flatnonzero(~np.isnan(x))
     if len(have) < length:
         return out
-    last = float(x[have[:length]].mean())
-    out[have[length - 1]] = last
-    for i, v in zip(have[length:].tolist(), x[have[length:]].tolist(), strict=True):
-        last += alpha * (v - last)
-        out[i] = last
+    started = np.append(x[have[:length]].mean(), x[have[length:]])
+    out[have[length - 1 :]] = pd.Series(started).ewm(alpha=alpha, adjust=False).mean().to_numpy()
     return out
 
 
-def indicators(bars: DataFrame) -> DataFrame:
-    """bars with the whole catalog but the chart patterns; one shuffle by key.
+def indicators(bars: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """bars with the catalog but the chart patterns, or with those of its columns that are named; one shuffle by key.
 
     Adjusted closes serve for means, returns, RSI and MACD; the adjusted range for ATR. RSI and ATR are Wilder means
     (alpha 1/14), MACD's means have spans 12, 26 and 9; all start with a plain mean. Values are null until they have
-    their warm-up. Window functions make what they can; the recursive means are one Arrow group per key.
+    their warm-up. Window functions make what they can; the recursive means are one Arrow group per key, and only if
+    they are asked for. A function of a group can't be pruned: leave out columns of bars that nobody reads.
     """
+    wanted = set(INDICATOR_COLUMNS if columns is None else columns)
     factor = F.when(F.col("close") != 0, F.col("adj_close") / F.col("close"))
-    x = bars.withColumn("_h", F.col("high") * factor).withColumn("_l", F.col("low") * factor)
-    x = x.withColumn("_tr", F.when(F.lag("adj_close").over(by_key()).isNotNull(), true_range(F.col("_h"), F.col("_l"), F.col("adj_close"))))
-    x = x.withColumn("_d", F.col("adj_close") - F.lag("adj_close").over(by_key()))
-    x = x.withColumns({f"sma_{n}": sma("adj_close", n) for n in (20, 50, 200)} | {"avg_volume_20": sma("volume", 20)} | {f"ret_{n}d": ret("adj_close", n) for n in (1, 5, 20)}).drop("_h", "_l")
-    made = ["rsi_14", "macd", "macd_hist", "macd_signal", "atr_14"]
+    windows = {f"sma_{n}": sma("adj_close", n) for n in (20, 50, 200)} | {"avg_volume_20": sma("volume", 20)} | {f"ret_{n}d": ret("adj_close", n) for n in (1, 5, 20)}
+    x = bars.withColumns({c: v for c, v in windows.items() if c in wanted})
+    made = [c for c in ("rsi_14", "macd", "macd_hist", "macd_signal", "atr_14") if c in wanted]
+    if not made:
+        return x
+    own = [f for f in x.schema]
+    if "atr_14" in made:
+        x = x.withColumn("_h", F.col("high") * factor).withColumn("_l", F.col("low") * factor)
+        x = x.withColumn("_tr", F.when(F.lag("adj_close").over(by_key()).isNotNull(), true_range(F.col("_h"), F.col("_l"), F.col("adj_close")))).drop("_h", "_l")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date", kind="stable").reset_index(drop=True)
-        d, c = pdf["_d"].to_numpy(float), pdf["adj_close"].to_numpy(float)
-        gain, loss = smoothed(np.where(d < 0, 0, d), 1 / 14, 14), smoothed(np.where(d > 0, 0, -d), 1 / 14, 14)
-        line = smoothed(c, 2 / 13, 12) - smoothed(c, 2 / 27, 26)
-        signal = smoothed(line, 2 / 10, 9)
+        c = pdf["adj_close"].to_numpy(float)
+        found = {}
         with np.errstate(invalid="ignore", divide="ignore"):
-            pdf["rsi_14"] = np.where(gain + loss == 0, 50.0, 100 * gain / (gain + loss))
-        pdf["macd"], pdf["macd_hist"], pdf["macd_signal"] = np.where(np.isnan(signal), np.nan, line), line - signal, signal
-        pdf["atr_14"] = smoothed(pdf["_tr"].to_numpy(float), 1 / 14, 14)
-        return pdf.drop(columns=["_tr", "_d"])
+            if "rsi_14" in made:
+                d = np.diff(c, prepend=np.nan)
+                gain, loss = smoothed(np.where(d < 0, 0, d), 1 / 14, 14), smoothed(np.where(d > 0, 0, -d), 1 / 14, 14)
+                found["rsi_14"] = np.where(gain + loss == 0, 50.0, 100 * gain / (gain + loss))
+            if {"macd", "macd_hist", "macd_signal"} & set(made):
+                line = smoothed(c, 2 / 13, 12) - smoothed(c, 2 / 27, 26)
+                signal = smoothed(line, 2 / 10, 9)
+                found |= {"macd": np.where(np.isnan(signal), np.nan, line), "macd_hist": line - signal, "macd_signal": signal}
+            if "atr_14" in made:
+                found["atr_14"] = smoothed(pdf["_tr"].to_numpy(float), 1 / 14, 14)
+        for name in made:
+            pdf[name] = found[name]
+        return pdf.drop(columns=["_tr"], errors="ignore")
 
-    own = [f for f in x.schema if f.name not in ("_tr", "_d")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own), *(f"{c} double" for c in made)])
     out = x.groupBy(*KEY).applyInPandas(work, schema)
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in made})

@@ -12,16 +12,19 @@ from tidemark.schemas import KEY
 
 
 def invalid_ohlc() -> Column:
-    """True if a bar can't be: no positive close, high below low, or a close more than 0.1 % outside them."""
+    """True if a bar can't be: no positive close, high below low, or a close more than 0.1 % outside them.
+
+    A bar without a high or a low can only be judged by its close.
+    """
     outside = (F.col("close") > F.col("high") * 1.001) | (F.col("close") < F.col("low") * 0.999)
-    bad = F.coalesce(F.col("close") <= 0, F.lit(True)) | (F.col("high") < F.col("low")) | outside
-    return F.coalesce(bad, F.lit(False))
+    ranged = F.col("high").isNotNull() & F.col("low").isNotNull()
+    return F.coalesce(F.col("close") <= 0, F.lit(True)) | (ranged & ((F.col("high") < F.col("low")) | outside))
 
 
 def anomaly(max_daily_jump: float, zero_volume_min_avg_volume: float) -> Column:
     """The first that applies: invalid_ohlc, jump (of the adjusted close), zero_volume (where volume was usual)."""
     before = F.lag("adj_close").over(by_key())
-    jump = F.when(before != 0, F.abs(F.col("adj_close") / before - 1) > max_daily_jump)
+    jump = F.when(before > 0, F.abs(F.col("adj_close") / before - 1) > max_daily_jump)
     usual = F.avg(F.coalesce(F.col("volume"), F.lit(0)).cast("double")).over(by_key().rowsBetween(-20, -1))
     silent = (F.coalesce(F.col("volume"), F.lit(0)) == 0) & (usual >= zero_volume_min_avg_volume)
     return F.when(invalid_ohlc(), "invalid_ohlc").when(jump, "jump").when(silent, "zero_volume")

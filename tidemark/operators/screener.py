@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.rules import Expression, check_variables, compile_expression
 from tidemark.operators.indicators import tail
+from tidemark.operators.universe import lookback_start
 from tidemark.schemas import KEY, PATTERN_NAMES
 
 
@@ -75,8 +76,12 @@ def compile_rule(rule: Rule) -> CompiledRule:
 
 
 def load_window(indicators: DataFrame, panel: DataFrame, as_of, sessions: int) -> DataFrame:
-    """The last sessions of every panel key with its attributes; an error if a key has no row on as_of."""
-    rows = indicators.where(F.col("date") <= F.lit(as_of)).join(panel.select(*KEY), KEY, "left_semi")
+    """The last sessions of every panel key with its attributes; an error if a key has no row on as_of.
+
+    Only the days that so many sessions can span are read; as_of is a date.
+    """
+    recent = indicators.where(F.col("date").between(F.lit(lookback_start(as_of, sessions)), F.lit(as_of)))
+    rows = recent.join(panel.select(*KEY), KEY, "left_semi")
     missing = panel.select(*KEY).join(rows.where(F.col("date") == F.lit(as_of)).select(*KEY), KEY, "left_anti")
     first = missing.limit(5).collect()
     if first:

@@ -51,7 +51,7 @@ def open_markets(universe: DataFrame, mics: list[str]) -> DataFrame:
 
 
 def merge_fill(left: DataFrame, right: DataFrame, columns: list[str], key: str = "ticker") -> DataFrame:
-    """Nulls of left's columns are filled from right's first row of the key."""
+    """Nulls of left's columns are filled from right's first row of the key, in the order of the columns' values."""
     w = Window.partitionBy(key).orderBy(*columns)
     first = right.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(key, *[F.col(c).alias(f"_r_{c}") for c in columns])
     out = left.join(first, key, "left")
@@ -107,25 +107,29 @@ def build_reason(built: date | None, snapshot: bool, today: date) -> str | None:
 
 
 def canonical_ticker(c: Column) -> Column:
-    return F.translate(F.upper(F.trim(c)), "-", ".")
+    return F.nullif(F.translate(F.upper(F.trim(c)), "-", "."), F.lit(""))
 
 
 def code_ticker(c: Column, width: int) -> Column:
-    """A numeric exchange code padded to its width; null where there are no digits."""
-    digits = F.regexp_extract(c, r"(\d+)", 1)
-    return F.when(digits != "", F.lpad(digits, width, "0"))
+    """An exchange's code of fixed width, after the exchange's name: `SEHK: 5` is 0005, `285A` stays; null if it has another width."""
+    own = F.upper(F.regexp_replace(_after_exchange(c), "[^0-9A-Za-z]", ""))
+    own = F.when(own.rlike("^[0-9]+$") & (F.length(own) < width), F.lpad(own, width, "0")).otherwise(own)
+    return F.when(F.length(own) == width, own)
 
 
 def exchange_code_ticker(c: Column) -> Column:
-    """The part after the exchange's name, words joined: `BMV: GFNORTE O` is GFNORTEO."""
-    own = F.element_at(F.split(c, ":"), -1)
-    return F.nullif(F.upper(F.regexp_replace(own, r"\s+", "")), F.lit(""))
+    """The part after the exchange's name without signs but `&`: `BMV: GFNORTE O` is GFNORTEO; null if nothing is left."""
+    return F.nullif(F.upper(F.regexp_replace(_after_exchange(c), "[^0-9A-Za-z&]", "")), F.lit(""))
+
+
+def _after_exchange(c: Column) -> Column:
+    return F.element_at(F.split(c, ":"), -1)
 
 
 def feed_symbol(ticker: Column, mic: Column, suffixes: dict[str, str]) -> Column:
-    """A vendor's symbol: the ticker with `-` for spaces and dots, and the market's suffix."""
+    """A vendor's symbol: the ticker with `-` for spaces and dots, and the market's suffix; null for a market without one."""
     table = F.create_map(*[F.lit(x) for kv in suffixes.items() for x in kv]) if suffixes else F.create_map().cast("map<string,string>")
-    return F.concat(F.translate(F.upper(F.trim(ticker)), " .", "--"), F.coalesce(F.try_element_at(table, mic), F.lit("")))
+    return F.concat(F.translate(F.upper(F.trim(ticker)), " .", "--"), F.try_element_at(table, mic))
 
 
 def lookback_start(as_of: date, sessions: int) -> date:

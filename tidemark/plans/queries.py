@@ -233,13 +233,37 @@ def feed_events(s, d):
 
 
 @query("SELECT DISTINCT f.ticker, f.mic FROM feed f JOIN loaded l ON f.ticker = l.ticker AND f.mic = l.mic JOIN loaded o ON o.ticker = f.ticker AND o.mic = f.mic WHERE f.split = 2.0 AND l.date = f.date AND o.date < f.date GROUP BY f.ticker, f.mic, f.date HAVING min(o.at) < max(l.at) - INTERVAL 1 HOUR",
-       BARS, _FEED, "loaded AS (SELECT ticker, mic, date, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (volume % 70 + CASE WHEN ticker LIKE '%1' THEN 30 ELSE 0 END) AS at FROM bars)")
+       BARS, _FEED, "loaded AS (SELECT ticker, mic, date, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (volume % 70 + CASE WHEN date >= DATE '1995-06-01' THEN 45 ELSE 0 END) AS at FROM bars)")
 def needs_reingest(s, d):
-    minutes = F.col("volume") % 70 + F.when(F.col("ticker").like("%1"), 30).otherwise(0)
+    minutes = F.col("volume") % 70 + F.when(F.col("date") >= F.lit("1995-06-01").cast("date"), 45).otherwise(0)
     b = bars(s, d).withColumn("ingested_at", F.timestamp_seconds(1704067200 + minutes * 60))
     return actions.needs_reingest(b, actions.from_feed(_feed(s, d)).where("kind = 'split'"))
 
 
+_RAW = """raw AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'SEHK: ' || p_partkey WHEN 1 THEN '28' || p_partkey % 10 || 'a' WHEN 2 THEN '0' || p_partkey || '00' WHEN 3 THEN 'BMV: ' || p_name || '*' ELSE ' ' END AS code,
+CASE p_partkey % 4 WHEN 0 THEN 'XTKS' WHEN 1 THEN 'XNYS' WHEN 2 THEN 'XNONE' END AS mic FROM part)"""
+
+
+@query(r"""SELECT p_partkey, CASE WHEN length(c) = 4 THEN c END AS code_4, nullif(upper(regexp_replace(own, '[^0-9A-Za-z&]', '', 'g')), '') AS exchange_code, nullif(replace(upper(trim(code)), '-', '.'), '') AS canonical,
+replace(replace(upper(trim(code)), ' ', '-'), '.', '-') || CASE mic WHEN 'XTKS' THEN '.T' WHEN 'XNYS' THEN '' END AS symbol
+FROM (SELECT *, CASE WHEN regexp_matches(k, '^[0-9]+$') AND length(k) < 4 THEN lpad(k, 4, '0') ELSE k END AS c FROM (SELECT *, upper(regexp_replace(own, '[^0-9A-Za-z]', '', 'g')) AS k FROM (SELECT *, split_part(code, ':', -1) AS own FROM raw)))""", _RAW)
+def ticker_cleaners(s, d):
+    k = F.col("p_partkey")
+    code = F.when(k % 5 == 0, F.concat(F.lit("SEHK: "), k)).when(k % 5 == 1, F.concat(F.lit("28"), k % 10, F.lit("a"))).when(k % 5 == 2, F.concat(F.lit("0"), k, F.lit("00"))).when(k % 5 == 3, F.concat(F.lit("BMV: "), "p_name", F.lit("*"))).otherwise(" ")
+    mic = F.when(k % 4 == 0, "XTKS").when(k % 4 == 1, "XNYS").when(k % 4 == 2, "XNONE")
+    return read(s, d, "part").select("p_partkey", universe.code_ticker(code, 4).alias("code_4"), universe.exchange_code_ticker(code).alias("exchange_code"), universe.canonical_ticker(code).alias("canonical"), universe.feed_symbol(code, mic, {"XTKS": ".T", "XNYS": ""}).alias("symbol"))
+
+
+_GAPPED = """gapped AS (SELECT ticker, mic, date, CASE WHEN volume % 7 <> 0 THEN high END AS high, CASE WHEN volume % 5 <> 0 THEN low * 1.01 END AS low, CASE WHEN volume % 11 <> 0 THEN close - CASE WHEN volume % 13 = 0 THEN close ELSE 0 END END AS close FROM bars)"""
+
+
+@query("SELECT ticker, mic, date FROM gapped WHERE close IS NULL OR close <= 0 OR (high IS NOT NULL AND low IS NOT NULL AND (high < low OR close > high * 1.001 OR close < low * 0.999))", BARS, _GAPPED)
+def ohlc_invalid_nulls(s, d):
+    v = F.col("volume")
+    b = bars(s, d).withColumns({"high": F.when(v % 7 != 0, F.col("high")), "low": F.when(v % 5 != 0, F.col("low") * 1.01), "close": F.when(v % 11 != 0, F.col("close") - F.when(v % 13 == 0, F.col("close")).otherwise(0))})
+    return b.where(quality.invalid_ohlc()).select(*KEY, "date")
+
+
 # --- indicators -------------------------------------------------------------------------------------------------------
 
 def _frame(n: int) -> str:
@@ -279,18 +303,46 @@ CASE WHEN lag(close) OVER {W} IS NOT NULL THEN greatest(high - low, abs(high - l
 @query(f"SELECT ticker, mic, date, CASE WHEN c_gain + c_loss > 0 THEN {rnd_sql('100 * c_gain / (c_gain + c_loss)', 3)} WHEN c_gain + c_loss = 0 THEN 50.0 END AS rsi_14 FROM loss",
        BARS, _NUMBERED, _ema("greatest(dx, 0)", "(1.0 / 14)::DOUBLE", 14, 1, "gain", "numbered"), _ema("greatest(-dx, 0)", "(1.0 / 14)::DOUBLE", 14, 1, "loss", "gain"))
 def rsi(s, d):
-    return ind.indicators(bars(s, d)).select(*KEY, "date", rnd(F.col("rsi_14"), 3).alias("rsi_14"))
+    return ind.indicators(_priced(bars(s, d)), ["rsi_14"]).select(*KEY, "date", rnd(F.col("rsi_14"), 3).alias("rsi_14"))
 
 
 @query(f"SELECT ticker, mic, date, {rnd_sql('c_atr', 3)} AS atr_14 FROM atr", BARS, _NUMBERED, _ema("tr", "(1.0 / 14)::DOUBLE", 14, 1, "atr", "numbered"))
 def atr(s, d):
-    return ind.indicators(bars(s, d)).select(*KEY, "date", rnd(F.col("atr_14"), 3).alias("atr_14"))
+    return ind.indicators(_priced(bars(s, d)), ["atr_14"]).select(*KEY, "date", rnd(F.col("atr_14"), 3).alias("atr_14"))
 
 
-@query(f"SELECT ticker, mic, date, CASE WHEN c_sig IS NOT NULL THEN {rnd_sql('c_fast - c_slow', 2)} END AS macd, {rnd_sql('c_sig', 2)} AS macd_signal FROM sig",
+@query(f"SELECT ticker, mic, date, CASE WHEN c_sig IS NOT NULL THEN {rnd_sql('c_fast - c_slow', 2)} END AS macd, {rnd_sql('c_sig', 2)} AS macd_signal, {rnd_sql('c_fast - c_slow - c_sig', 2)} AS macd_hist FROM sig",
        BARS, _NUMBERED, _ema("adj_close", "(2.0 / 13)::DOUBLE", 11, 0, "fast", "numbered"), _ema("adj_close", "(2.0 / 27)::DOUBLE", 25, 0, "slow", "fast"), _ema("(c_fast - c_slow)", "0.2::DOUBLE", 33, 25, "sig", "slow"))
 def macd(s, d):
-    return ind.indicators(bars(s, d)).select(*KEY, "date", rnd(F.col("macd"), 2).alias("macd"), rnd(F.col("macd_signal"), 2).alias("macd_signal"))
+    x = ind.indicators(_priced(bars(s, d)), ["macd", "macd_signal", "macd_hist"])
+    return x.select(*KEY, "date", *[rnd(F.col(c), 2).alias(c) for c in ("macd", "macd_signal", "macd_hist")])
+
+
+# the same over bars whose closes before a 2:1 split are adjusted, in two markets
+_SPLIT = (BARS.replace("bars AS (", "plain_bars AS (", 1), """unadjusted AS (SELECT * REPLACE (CASE WHEN ticker LIKE '%2' THEN 'XTST' ELSE mic END AS mic, close * CASE WHEN date < DATE '1995-06-01' THEN 0.5::DOUBLE ELSE 1 END AS adj_close) FROM plain_bars)""",
+          "bars AS (SELECT ticker, mic, date, high * adj_close / close AS high, low * adj_close / close AS low, adj_close AS close, adj_close FROM unadjusted)")
+
+
+def _split_bars(s, d):
+    b = bars(s, d).withColumn("mic", F.when(F.col("ticker").like("%2"), "XTST").otherwise(F.col("mic")))
+    return b.withColumn("adj_close", F.col("close") * F.when(F.col("date") < F.lit("1995-06-01").cast("date"), 0.5).otherwise(1.0))
+
+
+def _priced(b):
+    return b.select(*KEY, "date", "high", "low", "close", "adj_close")
+
+
+@query(f"SELECT ticker, mic, date, CASE WHEN c_gain + c_loss > 0 THEN {rnd_sql('100 * c_gain / (c_gain + c_loss)', 3)} WHEN c_gain + c_loss = 0 THEN 50.0 END AS rsi_14, {rnd_sql('c_atr', 3)} AS atr_14, {_full('adj_close', 50)} AS sma_50, {rnd_sql(f'adj_close / lag(adj_close, 5) OVER {W} - 1', 6)} AS ret_5d FROM atr",
+       *_SPLIT, _NUMBERED, _ema("greatest(dx, 0)", "(1.0 / 14)::DOUBLE", 14, 1, "gain", "numbered"), _ema("greatest(-dx, 0)", "(1.0 / 14)::DOUBLE", 14, 1, "loss", "gain"), _ema("tr", "(1.0 / 14)::DOUBLE", 14, 1, "atr", "loss"))
+def adjusted_indicators(s, d):
+    x = ind.indicators(_priced(_split_bars(s, d)), ["rsi_14", "atr_14", "sma_50", "ret_5d"])
+    return x.select(*KEY, "date", rnd(F.col("rsi_14"), 3).alias("rsi_14"), rnd(F.col("atr_14"), 3).alias("atr_14"), rnd(F.col("sma_50"), 6).alias("sma_50"), rnd(F.col("ret_5d"), 6).alias("ret_5d"))
+
+
+@query(f"""SELECT ticker, mic, date, list_filter([{_RATIOS}]::DOUBLE[], lambda r: abs(1 / m / r - 1) <= 0.03)[1] AS value FROM (SELECT *, adj_close / lag(adj_close) OVER {W} AS m, close / lag(close) OVER {W} AS p FROM unadjusted)
+WHERE abs(m - 1) >= 0.25 AND abs(p / m - 1) <= 0.03 AND len(list_filter([{_RATIOS}]::DOUBLE[], lambda r: abs(1 / m / r - 1) <= 0.03)) > 0""", *_SPLIT)
+def adjusted_split_ratio(s, d):
+    return actions.by_ratio(_split_bars(s, d)).select(*KEY, "date", "value")
 
 
 _TR = f"ranged AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER {W}), abs(low - lag(close) OVER {W})) AS tr FROM bars)"
@@ -502,6 +554,14 @@ def text_normalize_unicode(s, d):
     return read(s, d, "documents").select("doc_id", tx.normalize("text").alias("norm"))
 
 
+@query(r"""SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE regexp_replace(regexp_replace(substr(text, 1, 60), ' [^ ]*\z', ''), '[.,;:]+\z', '') || '...' END AS clipped,
+CASE WHEN length(f) <= 160 THEN f ELSE regexp_replace(regexp_replace(substr(f, 1, 160), ' [^ ]*\z', ''), '[,;:]+\z', '') || '…' END AS brief
+FROM (SELECT doc_id, text, CASE WHEN p > 1 AND p <= 160 THEN substr(t, 1, p) WHEN q > 1 AND q <= 160 THEN rtrim(substr(t, 1, q), ';') ELSE t END AS f
+FROM (SELECT *, strpos(t, '. ') AS p, strpos(t, '; ') AS q FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)))""")
+def clip_brief(s, d):
+    return read(s, d, "documents").select("doc_id", tx.clip(F.col("text"), 60).alias("clipped"), tx.brief(F.col("text")).alias("brief"))
+
+
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM pages")
 def clean_html(s, d):
     return read(s, d, "pages").select("page_id", tx.strip_tags(F.col("html")).alias("plain"))
@@ -527,12 +587,15 @@ def _shingled(s, d):
     return x.select("id", "grp", tx.shingles(F.col("norm"), 3).alias("shingles"))
 
 
-@query("SELECT a, b, CAST(k AS DOUBLE) / (x.n + y.n - k) AS jaccard FROM pairs JOIN cnt x ON a = x.doc_id JOIN cnt y ON b = y.doc_id WHERE CAST(k AS DOUBLE) / (x.n + y.n - k) >= 0.85", _SHINGLES, _JACCARD)
+_SIMILAR = "SELECT a, b, CAST(k AS DOUBLE) / (x.n + y.n - k) AS jaccard FROM pairs JOIN cnt x ON a = x.doc_id JOIN cnt y ON b = y.doc_id WHERE CAST(k AS DOUBLE) / (x.n + y.n - k) >= 0.85"
+
+
+@query(_SIMILAR, _SHINGLES, _JACCARD)
 def shingle_jaccard(s, d):
     return news.jaccard_pairs(_shingled(s, d), 0.85)
 
 
-@query()
+@query(_SIMILAR, _SHINGLES, _JACCARD)
 def minhash_lsh(s, d):
     return news.minhash_pairs(_shingled(s, d), 0.85)
 

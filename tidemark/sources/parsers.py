@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.universe import canonical_ticker
+from tidemark.functions.text import cleaned
 
 
 def intervals_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -101,14 +102,17 @@ def html_constituents(pages: DataFrame, column: str, headers: dict[str, list[str
 
 
 def rss_entries(text: str, source: str, ticker: str | None, since: datetime) -> list[tuple]:
-    """(source, ticker, published_at, title, summary, url) of entries that have a date, a link and a title, from `since` on."""
+    """(source, ticker, published_at, title, summary, url) of entries that have a date, a link and a title, from `since` on.
+
+    Titles and summaries are cleaned of tags and entities; a missing summary is empty.
+    """
     out = []
     for item in ElementTree.fromstring(text).iter():
         if item.tag.rpartition("}")[2] not in ("item", "entry"):
             continue
         own = {c.tag.rpartition("}")[2]: c for c in item}
         value = lambda *names: next(((own[n].text or "").strip() for n in names if n in own and (own[n].text or "").strip()), None)  # noqa: E731, B023
-        when, title = value("pubDate", "published", "updated", "date"), value("title")
+        when, title = value("pubDate", "published", "updated", "date"), cleaned(value("title"))
         link = value("link") or (own["link"].get("href") if "link" in own else None)
         if not (when and title and link):
             continue
@@ -121,7 +125,7 @@ def rss_entries(text: str, source: str, ticker: str | None, since: datetime) ->
                 continue
         at = at.replace(tzinfo=at.tzinfo or timezone.utc).astimezone(timezone.utc)
         if at >= since:
-            out.append((source, ticker, at, title, value("description", "summary"), link))
+            out.append((source, ticker, at, title, cleaned(value("description", "summary")), cleaned(link)))
     return out
 
 
