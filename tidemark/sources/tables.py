@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.schemas import KEY, TABLES, check_identifier, conform, require_columns
 
 
+#: Day column by which a table's files are kept apart, month by month; other tables are one part.
+MONTHS = {t: next((c for c in ("date", "as_of", "day") if c in pk), None) for t, (_, pk) in TABLES.items()}
+#: Stamps that tell which of two rows of one key was written later.
+STAMPS = ["ingested_at", "fetched_at", "computed_at", "detected_at", "updated_at", "created_at"]
+#: States of a table that are kept, so that plans made on an older one can still be run.
+STATES = 3
+
+
 class TableStore:
-    """Tables under root/schema/table. A write goes to a new folder; a pointer file then names it, in one rename.
+    """Tables under root/schema/table, in parts by month of their day, and a small file that lists the parts of a state.
 
-    Readers see the old or the new state, never part of one. Writers of one table must not run at the same time: plain
-    Parquet has no transactions across tables.
+    A write makes new folders for the parts that it touches and then names the new state, in one rename. Readers see the
+    old or the new state, never part of one; the last states stay readable. Writers of one table must not run at the
+    same time: plain Parquet has no transactions across tables.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: str = "prod"):
@@ -26,60 +36,136 @@ class TableStore:
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, self.schema, *parts]))
 
-    def _current(self, table: str) -> str | None:
+    def _states(self, table: str) -> list[str]:
         base = self._path(table)
-        if not self._fs.exists(base):
-            return None
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(base) if s.getPath().getName().startswith("_current-"))
-        return names[-1].split("-", 2)[2] if names else None
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(base) if x.getPath().getName().startswith("_state-")) if self._fs.exists(base) else []
+
+    def _listed(self, table: str, state: str) -> dict[str, str]:
+        stream = self._fs.open(self._path(table, state))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _parts(self, table: str) -> dict[str, str]:
+        """Folder of each part in the present state."""
+        states = self._states(table)
+        return self._listed(table, states[-1]) if states else {}
+
+    def _read(self, table: str, parts: dict[str, str]) -> DataFrame:
+        schema = TABLES[table][0]
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[self._path(table, x).toString() for x in sorted(parts.values())])
 
     def read(self, table: str) -> DataFrame:
         """The whole table with its declared columns; older files lack new columns, which read as null."""
-        schema, _ = TABLES[table]
-        version = self._current(table)
-        if version is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(str(self._path(table, version).toString()))
-
-    def _swap(self, table: str, df: DataFrame) -> None:
-        old, new = self._current(table), uuid.uuid4().hex
-        df.write.parquet(self._path(table, new).toString())
-        n = 0 if old is None else 1 + max(int(s.getPath().getName().split("-")[1]) for s in self._fs.listStatus(self._path(table)) if s.getPath().getName().startswith("_current-"))
-        self._fs.create(self._path(table, f"_tmp-{new}")).close()
-        self._fs.rename(self._path(table, f"_tmp-{new}"), self._path(table, f"_current-{n:012d}-{new}"))
-        for s in self._fs.listStatus(self._path(table)):
-            name = s.getPath().getName()
-            if name != new and not name.endswith(new):
-                self._fs.delete(s.getPath(), True)
-
-    def upsert(self, table: str, df: DataFrame) -> None:
-        """Rows of df replace those of equal primary key; of duplicates in df the last one written stays."""
+        return self._read(table, self._parts(table))
+
+    def _part(self, table: str) -> Column:
+        day = MONTHS[table]
+        return F.coalesce(F.date_format(day, "yyyy-MM"), F.lit("none")) if day else F.lit("all")
+
+    def _touched(self, table: str, df: DataFrame) -> set[str]:
+        return {r.p for r in df.select(self._part(table).alias("p")).distinct().collect()}  # as many as there are months
+
+    def _store(self, table: str, df: DataFrame, parts: set[str]) -> None:
+        """Makes df the whole content of these parts; the others stay as they are."""
+        new, now = uuid.uuid4().hex, self._parts(table)
+        df.withColumn("part", self._part(table)).write.partitionBy("part").parquet(self._path(table, new).toString())
+        made = {x.getPath().getName()[5:]: f"{new}/{x.getPath().getName()}" for x in self._fs.listStatus(self._path(table, new)) if x.getPath().getName().startswith("part=")}
+        state = {k: v for k, v in now.items() if k not in parts} | made
+        states = self._states(table)
+        n = 1 + int(states[-1].split("-")[1]) if states else 0
+        out = self._fs.create(self._path(table, f"_tmp-{new}"))
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        self._fs.rename(self._path(table, f"_tmp-{new}"), self._path(table, f"_state-{n:012d}"))
+        self._clear(table)
+
+    def _clear(self, table: str) -> None:
+        """Deletes states that are too old, and folders that no kept state lists."""
+        states = self._states(table)
+        for x in states[:-STATES]:
+            self._fs.delete(self._path(table, x), False)
+        used = {v.split("/")[0] for x in states[-STATES:] for v in self._listed(table, x).values()}
+        for x in self._fs.listStatus(self._path(table)):
+            if not x.getPath().getName().startswith("_") and x.getPath().getName() not in used:
+                self._fs.delete(x.getPath(), True)
+
+    def upsert(self, table: str, df: DataFrame, order: list[str] | None = None) -> None:
+        """Rows of df replace those of equal primary key. Of duplicates in df the last in `order` stays, by default the
+        last by its stamp, and among equal stamps the last that arrived. Only the parts of df's months are rewritten."""
         pk = TABLES[table][1]
         require_columns(df, pk)
-        source = conform(df, table)
-        self._swap(table, merge(self.read(table), source, pk))
+        by = order or [c for c in STAMPS if c in df.columns]
+        source = conform(df, table).persist()
+        try:
+            touched = self._touched(table, source)
+            old = {k: v for k, v in self._parts(table).items() if k in touched}
+            self._store(table, merge(self._read(table, old), source, pk, by), touched)
+        finally:
+            source.unpersist()
 
     def replace_day(self, table: str, df: DataFrame, **partition) -> None:
         """All rows of the partition (column=value) go and df's rows come, also if df is empty."""
         same = F.lit(True)
         for c, v in partition.items():
             same = same & F.col(check_identifier(c)).eqNullSafe(F.lit(v))
-        self._swap(table, self.read(table).where(~same).unionByName(conform(df, table)))
+        source, now = conform(df, table), self._parts(table)
+        day = partition.get(MONTHS[table])
+        touched = ({f"{day:%Y-%m}"} if day else set(now)) | self._touched(table, source)
+        self._store(table, self._read(table, {k: v for k, v in now.items() if k in touched}).where(~same).unionByName(source), touched)
 
     def update(self, table: str, df: DataFrame, columns: list[str]) -> int:
         """Columns of the rows that df names by primary key; keys that aren't there are left out. How many there are."""
         pk = TABLES[table][1]
-        target = self.read(table)
+        touched = self._touched(table, df)
+        target = self._read(table, {k: v for k, v in self._parts(table).items() if k in touched})
         n = target.join(df.select(*pk).distinct(), pk, "left_semi").count()
-        self._swap(table, update_by_key(target, df, pk, columns))
+        self._store(table, update_by_key(target, df, pk, columns), touched)
         return n
 
     def scan(self, table: str, columns: list[str] | None = None, *, start: date | None = None, end: date | None = None, keys: DataFrame | None = None, order: bool = True) -> DataFrame:
-        return scan(self.read(table), columns, start=start, end=end, keys=keys, order=order)
+        """scan() over the parts whose months the range touches."""
+        months = {k: v for k, v in self._parts(table).items() if MONTHS[table] != "date" or k == "none" or (start is None or k >= f"{start:%Y-%m}") and (end is None or k <= f"{end:%Y-%m}")}
+        return scan(self._read(table, months), columns, start=start, end=end, keys=keys, order=order)
 
     def news(self, since, keys: DataFrame | None = None, *, include_global: bool = True) -> DataFrame:
         return news_since(self.read("news"), since, keys, include_global=include_global)
 
+    def day(self, table: str, **partition) -> DataFrame:
+        """The rows of a partition (column=value): a snapshot of a region's day, its topics or their members."""
+        out, day = self._parts(table), partition.get(MONTHS[table])
+        found = self._read(table, {k: v for k, v in out.items() if day is None or k == f"{day:%Y-%m}"})
+        for c, v in partition.items():
+            found = found.where(F.col(check_identifier(c)) == F.lit(v))
+        return found
+
+    def snapshot_header(self, region: str, day: date) -> Row | None:
+        return self.day("snapshot_runs", region=region, date=day).limit(1).first()
+
+    def llm_call(self, region: str, day: date, *, model: str, payload_hash: str) -> Row | None:
+        """The recorded call for exactly this payload and model."""
+        return self.day("llm_calls", region=region, date=day).where((F.col("model") == model) & (F.col("payload_hash") == payload_hash)).limit(1).first()
+
+    def signals(self, day: date, region: str | None = None) -> DataFrame:
+        """A day's signals, best first."""
+        own = self.day("signals", date=day) if region is None else self.day("signals", date=day, region=region)
+        return own.orderBy(F.desc("score"), "ticker", "mic", "rule_id")
+
+    def calls(self, provider: str, day: date) -> int:
+        row = self.day("api_calls", provider=provider, day=day).first()
+        return row.calls if row else 0
+
+    def reserve_calls(self, provider: str, day: date, calls: int, limit: int) -> bool:
+        """Counts calls to a provider; a reservation that would pass the limit is refused and counts nothing."""
+        used = self.calls(provider, day)
+        if used + calls > limit:
+            return False
+        self.upsert("api_calls", self.spark.createDataFrame([(provider, day, used + calls)], "provider string, day date, calls int").withColumn("updated_at", F.current_timestamp()))
+        return True
+
 
 def scan(df: DataFrame, columns: list[str] | None = None, *, start: date | None = None, end: date | None = None, keys: DataFrame | None = None, order: bool = True) -> DataFrame:
     """Projection, inclusive date range and key filter; the range and the columns reach the Parquet scan."""
@@ -91,7 +177,8 @@ def scan(df: DataFrame, columns: list[str] | None = None, *, start: date | None
         df = df.join(keys.select(*KEY).distinct(), KEY, "left_semi")
     if columns is not None:
         df = df.select(*columns)
-    return df.orderBy(*[c for c in (*KEY, "date") if c in df.columns]) if order else df
+    by = [c for c in (*KEY, "date") if c in df.columns]
+    return df.orderBy(*by) if order and by else df
 
 
 def news_since(news: DataFrame, since, keys: DataFrame | None = None, *, include_global: bool = True) -> DataFrame:
@@ -116,9 +203,9 @@ def keep_last(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def merge(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Target rows whose key source lacks, and one source row per key (the last that arrived)."""
-    last = keep_last(source.withColumn("_at", F.monotonically_increasing_id()), keys, F.col("_at")).drop("_at")
+def merge(target: DataFrame, source: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Target rows whose key source lacks, and one source row per key: the last in `order`, then the last that arrived."""
+    last = keep_last(source.withColumn("_at", F.monotonically_increasing_id()), keys, *(order or []), F.col("_at")).drop("_at")
     return target.join(last.select(*keys), keys, "left_anti").select(*target.columns).unionByName(last)
 
 
@@ -129,12 +216,14 @@ def update_by_key(target: DataFrame, source: DataFrame, keys: list[str], columns
     return out.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns])
 
 
-def normalize_prices(df: DataFrame) -> DataFrame:
-    """Candles as they are stored: no null close, unknown markets named, dates without time, whole volumes, last of duplicates."""
+def normalize_prices(df: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Candles as they are stored: no null close, unknown markets named, dates without time, whole volumes, and of
+    duplicates the last in `order` (by default the last read, where rows say when), then the last that arrived."""
+    order = order or [c for c in STAMPS if c in df.columns]
     require_columns(df, ["ticker", "mic", "date", "open", "high", "low", "close", "adj_close", "volume"])
     out = df.withColumn("mic", F.coalesce("mic", F.lit("UNKNOWN"))).withColumn("date", F.to_date("date"))
     out = out.withColumn("volume", F.bround(F.col("volume").cast("double")).cast("long")).withColumn("close", F.nanvl(F.col("close").cast("double"), F.lit(None).cast("double"))).where("close is not null")
-    return keep_last(out.withColumn("_at", F.monotonically_increasing_id()), [*KEY, "date"], F.col("_at")).drop("_at")
+    return keep_last(out.withColumn("_at", F.monotonically_increasing_id()), [*KEY, "date"], *order, F.col("_at")).drop("_at")
 
 
 def last_dates(df: DataFrame, keys: DataFrame | None = None) -> DataFrame:

@@ -46,24 +46,30 @@ def upsert_stream(stream: DataFrame, store, table: str, checkpoint: str, transfo
 def streaming_pivots(bars: DataFrame, p: Params = Params()) -> DataFrame:
     """Turning points of a stream of bars (ticker, mic, bar, high, low, close in order), with the state kept per key.
 
-    The state is the series of the key so far, as in the batch operator, whose histories are bounded too.
+    The state is where the search stands and the bars since the extreme that may become the next turning point, or
+    those that the next ATR needs: what came before is never looked at again. Bars that come late, behind the last one
+    that was worked on, are left out.
     """
     from tidemark.operators.patterns import Pivots, simple_atr
 
+    names = ("bar", "high", "low", "close")
+
     def work(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else ([], [], [], [], 0)
+        *held, falling, low_at, high_at = state.get if state.exists else ([], [], [], [], None, None, None)
         pdf = pd.concat(list(batches)).sort_values("bar")
-        bar, high, low, close = (list(h) + pdf[c].tolist() for h, c in zip(held[:4], ("bar", "high", "low", "close"), strict=True))
-        told = held[4]
+        pdf = pdf[pdf["bar"] > held[0][-1]] if held[0] else pdf
+        old = len(held[0])
+        bar, high, low, close = (list(h) + pdf[c].tolist() for h, c in zip(held, names, strict=True))
         h, lo, c = (np.array(x, float) for x in (high, low, close))
         z = Pivots(h, lo, simple_atr(h, lo, c, p.atr_length), p.reversal)
-        for t in range(len(c)):
+        z.falling, z.best = falling, {side: at for side, at in ((True, low_at), (False, high_at)) if at is not None}
+        for t in range(old, len(c)):
             z.step(t)
-        new = z.turns[told:]
-        state.update((bar, high, low, close, len(z.turns)))
-        yield pd.DataFrame([(key[0], key[1], bar[x.bar], "L" if x.low else "H", x.price, bar[x.seen_at]) for x in new], columns=["ticker", "mic", "bar", "kind", "price", "confirmed_at"])
+        cut = max(0, min([len(c) - p.atr_length, *z.best.values()]))
+        state.update((bar[cut:], high[cut:], low[cut:], close[cut:], z.falling, *(z.best[s] - cut if s in z.best else None for s in (True, False))))
+        yield pd.DataFrame([(key[0], key[1], bar[x.bar], "L" if x.low else "H", x.price, bar[x.seen_at]) for x in z.turns], columns=["ticker", "mic", "bar", "kind", "price", "confirmed_at"])
 
     return bars.groupBy("ticker", "mic").applyInPandasWithState(
         work, "ticker string, mic string, bar long, kind string, price double, confirmed_at long",
-        "bar array<bigint>, high array<double>, low array<double>, close array<double>, told int", "append", GroupStateTimeout.NoTimeout,
+        "bar array<bigint>, high array<double>, low array<double>, close array<double>, falling boolean, low_at int, high_at int", "append", GroupStateTimeout.NoTimeout,
     )
