@@ -132,6 +132,20 @@ def test_mixing(docs, none):
     assert mixed(none).count() == mix_documents(none).count() == 0
 
 
+def test_mixing_tells_rows_of_a_key_apart_by_their_other_columns(spark):
+    data = [(1, f"word {'more ' * 30}", "a", i) for i in range(6)] + [(10 + i, "few words", "b", i) for i in range(4)]
+    got = {tuple(sorted(map(tuple, mix_documents(spark.createDataFrame(data, "doc_id long, text string, source string, extra int").repartition(n)).collect()))) for n in (1, 3, 5)}
+    assert len(got) == 1
+
+
+def test_samples_of_repeated_rows_are_bounded(spark):
+    rows = [(1, "good text " * 5, 1)] * 50 + [(2, "bad text " * 5, 0)] * 50 + [(3, "good words " * 4, 1), (4, "bad words " * 4, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = quality_scores(df.select("doc_id", "text"), df.select("doc_id", "quality")).collect()
+    assert len(got) == 102 and all(0 <= r.score <= 1 for r in got)
+    assert token_output(df, PATH).count() == 102
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, SHARED + ". And the answer is five words long."), (2, SHARED), (3, None), (4, ""), (None, "x")], "item_id long, text string")
     assert rows(contamination(docs, items), "doc_id", "item_id") == [(1, 2), (2, 2)]

@@ -102,7 +102,9 @@ def mix_documents(df: DataFrame, **options) -> DataFrame:
     picks = mixed(df, **options).where("copies > 0").select(F.col("h").alias("_h"), F.col(source).alias("_s"), "copies", F.row_number().over(Window.partitionBy("h", source).orderBy(F.desc("copies"))).alias("_n"))
     h = F.md5(F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(seed), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).cast("binary"))
     own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), h.alias("_h2"), F.col(source).alias("_s2"))
-    own = own.withColumn("_n2", F.row_number().over(Window.partitionBy("_h2", "_s2").orderBy(F.lit(0))))
+    # rows of one key and text are told apart by their other columns, so that reruns take the same ones
+    rest = [F.col(f"_row.`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    own = own.withColumn("_n2", F.row_number().over(Window.partitionBy("_h2", "_s2").orderBy(F.xxhash64(*rest))))
     hit = own.join(picks, (F.col("_h") == F.col("_h2")) & F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_n") == F.col("_n2")))
     return hit.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 

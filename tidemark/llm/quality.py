@@ -88,7 +88,10 @@ class QualityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, held_out: int = 0, most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> QualityModel:
-    """The model from a bounded sample of labelled rows outside the held-out fold; keys with labels of both kinds are left out."""
+    """The model from a bounded sample of labelled rows outside the held-out fold; keys with labels of both kinds are left out.
+
+    Of a key with several texts the one that sorts first counts, so however often a key occurs the sample is bounded.
+    """
     own = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (remainder(F.col(key), folds) != held_out))
     own = own.groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2")
     sizes = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -96,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         return QualityModel([], [])
     parts = [own.where(F.col("y") == y).select("k", "y", F.xxhash64("k").alias("h")).orderBy("h").limit(most) for y in (0, 1)]
     picked = parts[0].union(parts[1]).select("k", "y")  # at most 2 * most rows
-    rows = docs.select(F.col(key).alias("k"), F.substring(text, 1, chars).alias("t")).where("t is not null").join(F.broadcast(picked), "k").collect()
+    rows = docs.select(F.col(key).alias("k"), F.substring(text, 1, chars).alias("t")).where("t is not null").join(F.broadcast(picked), "k").groupBy("k", "y").agg(F.min("t").alias("t")).collect()
     rows.sort(key=lambda r: (hashlib.sha256(str(r.k).encode()).digest(), r.t))
     n = sum(sizes.values())
     return QualityModel(*([r.t for r in rows if r.y == y] for y in (1, 0)), rate=min(max(sizes.get(1, 0) / n, 1e-3), 1 - 1e-3))

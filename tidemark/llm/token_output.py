@@ -200,7 +200,7 @@ def _sample(docs: DataFrame, key: str, text: str) -> list[str]:
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     own = docs.select(F.col(key).alias("k"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).where(F.length("t") > 0)
     drawn = own.where(F.pmod(F.xxhash64("k", "t"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return sorted(r.t for r in drawn.select("t").collect())
+    return sorted(r.t for r in drawn.distinct().select("t").collect())  # rows that repeat are drawn together, once
 
 
 def train_dictionary(samples: list[np.ndarray], size: int = DICT_BYTES) -> bytes:
