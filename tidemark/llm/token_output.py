@@ -13,6 +13,7 @@ import json
 import os
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.bpe import Interned, cut_with_care, pieces
+from tidemark.llm.bpe import cut_with_care, pieces
 from tidemark.llm.common import bound_batches, new_path, work_slices, worker_state
 from tidemark.llm.token_counts import read_model
 
 #: When a worker holds more pieces than this, it forgets all but the half that it met most often.
-KEPT_PIECES = 450_000
+KEPT_PIECES = 600_000
 #: New pieces that the library encodes as one text; characters of texts in which equal pieces are found together.
 JOINED, SLICE_CHARS = 500, 2_000_000
 
@@ -64,28 +65,32 @@ class Ragged:
 
 
 class Met:
-    """Numbered keys with the ids of each and how often each was met."""
+    """Distinct strings with the ids of each and in how many calls each was met."""
 
     def __init__(self, most: int):
-        self.most, self.number, self.ids, self.times = most, Interned(), Ragged(), np.zeros(0, np.int64)
-
-    def numbers(self, keys: list) -> tuple[np.ndarray, list]:
-        """The number of each key, and those keys that are new, whose ids must be added."""
-        before = len(self.number)
-        at = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
-        times = np.bincount(at, minlength=len(self.number))
-        times[:before] += self.times
-        self.times = times
-        return at, self.number.since(before) if len(self.number) > before else []
+        self.most, self.keys, self.ids, self.times = most, pa.array([], pa.large_string()), Ragged(), np.zeros(0, np.int64)
+
+    def numbers(self, own: pa.Array, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The number of each of these distinct strings; learn gives the ids of those that are new."""
+        found = pc.index_in(own, value_set=self.keys)
+        new = np.flatnonzero(pc.is_null(found).to_numpy(zero_copy_only=False))
+        at = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        if len(new):
+            added = own.take(pa.array(new))
+            at[new] = len(self.keys) + np.arange(len(new))
+            self.ids.add(*learn(added.to_pylist()))
+            self.keys = pa.concat_arrays([self.keys, added])
+            self.times = np.append(self.times, np.zeros(len(new), np.int64))
+        self.times[at] += 1
+        return at
 
     def shrink(self) -> None:
-        """Over `most` keys, those that were met most often stay, half of `most` of them, and count half as often."""
-        if len(self.number) > self.most:
+        """Over `most` strings, those that were met most often stay, half of `most` of them, and count half as often."""
+        if len(self.keys) > self.most:
             keep = np.sort(np.argsort(-self.times, kind="stable")[: self.most // 2])
             keep = keep[self.times[keep] > 1]
-            names = self.number.names
             self.ids, self.times = Ragged.of(*self.ids.take(keep)), self.times[keep] // 2
-            self.number = Interned(names[i] for i in keep.tolist())
+            self.keys = self.keys.take(pa.array(keep))
 
 
 class PieceEncoder:
@@ -125,65 +130,53 @@ class PieceEncoder:
             return ids, np.diff(last + 1, prepend=0)
         return self._each([" " + p for p in own])
 
-    def _learn(self, new: list) -> None:
-        """Pieces that stand between others are encoded joined; those that begin or end a text, given as tuples, and
-        those that hold an added token's string, each alone."""
-        joins = np.fromiter((type(p) is str for p in new), bool, len(new))
-        together = [p for p in new if type(p) is str]
-        if self.added.search(" ".join(together)):
-            joins = np.fromiter((type(p) is str and not self.added.search(" " + p) for p in new), bool, len(new))
-            together = [p for p, j in zip(new, joins, strict=True) if j]
-        parts = [self._joined(together[i : i + JOINED]) for i in range(0, max(1, len(together)), JOINED)]
-        a, la = (np.concatenate([x[c] for x in parts]) for c in (0, 1))
-        b, lb = self._each([" " + p if type(p) is str else "".join(p) for p, j in zip(new, joins, strict=True) if not j])
-        lens = np.zeros(len(new), np.int64)
-        lens[joins], lens[~joins] = la, lb
-        ids, own = np.empty(int(lens.sum()), np.uint32), np.repeat(joins, lens)
-        ids[own], ids[~own] = a, b
-        self.pieces.ids.add(ids, lens)
-
-    def _numbers(self, own: list) -> np.ndarray:
-        at, new = self.pieces.numbers(own)
-        if new:
-            self._learn(new)
-        return at
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces with a space before each, encoded joined; those that hold an added token's string, each alone."""
+        alone = [bool(self.added.search(" " + p)) for p in new] if self.added.search(" ".join(new)) else []
+        if any(alone):
+            return self._each([" " + p for p in new])
+        parts = [self._joined(new[i : i + JOINED]) for i in range(0, len(new), JOINED)]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text.
 
-        Texts are cut into pieces and equal ones found by Arrow; only the distinct pieces of a slice meet Python. Texts
-        whose spaces stand next to other white space are cut one by one.
+        Texts are cut into pieces, and equal ones are found by Arrow; the library sees the distinct pieces that aren't
+        known. The first piece of a text, before which nothing stands, and the last one of a text that ends in white
+        space or was cut with care, are encoded alone.
         """
         self.pieces.shrink()
-        plain = [i for i, t in enumerate(texts) if t and not cut_with_care(t)]
-        cut = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
-        offsets = cut.offsets.to_numpy()
-        coded = cut.flatten().dictionary_encode()
+        careful = [bool(t) and cut_with_care(t) for t in texts]
+        order = [i for i, (t, c) in enumerate(zip(texts, careful, strict=True)) if t and not c]
+        cut = pc.split_pattern(pa.array([texts[i] for i in order], pa.large_string()), " ")
+        rest = [i for i, c in enumerate(careful) if c]
+        own = [pieces(texts[i]) for i in rest]
+        flat = pa.concat_arrays([cut.flatten(), pa.array([p for x in own for p in x], pa.large_string())])
+        n = np.concatenate([np.diff(cut.offsets.to_numpy()), np.fromiter(map(len, own), np.int64, len(own))])
+        ends = np.cumsum(n)
+        order += rest
+        coded = flat.dictionary_encode()
         codes = coded.indices.to_numpy()
+        first = ends - n
+        last = np.array([e - 1 for e, k, i in zip(ends.tolist(), n.tolist(), order, strict=True) if k > 1 and (careful[i] or texts[i][-1].isspace())], np.int64)
         inner = np.ones(len(codes), bool)
-        inner[offsets[:-1]] = False  # nothing stands before a text's first piece
-        for n, i in enumerate(plain):
-            if texts[i][-1].isspace():
-                inner[offsets[n + 1] - 1] = False
+        inner[first] = inner[last] = False
         used = np.flatnonzero(np.bincount(codes[inner], minlength=len(coded.dictionary)))
         number = np.zeros(len(coded.dictionary), np.int64)
-        number[used] = self._numbers(coded.dictionary.take(pa.array(used)).to_pylist())
+        if len(used):
+            number[used] = self.pieces.numbers(coded.dictionary.take(pa.array(used)), self._learn)
         at = number[codes]
-        ends = np.flatnonzero(~inner)
-        first = np.zeros(len(codes), bool)
-        first[offsets[:-1]] = True
-        at[ends] = self._numbers([(p,) if f else (" ", p) for p, f in zip(coded.dictionary.take(coded.indices.take(pa.array(ends))).to_pylist(), first[ends].tolist(), strict=True)])
-        parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-        for n, i in enumerate(plain):
-            parts[i] = at[offsets[n] : offsets[n + 1]]
-        taken = set(plain)
-        for i, t in enumerate(texts):
-            if t and i not in taken:
-                own = pieces(t)
-                parts[i] = self._numbers([(own[0],), *own[1:-1], *([(" ", own[-1])] if len(own) > 1 else [])])
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
-        ids, lens = self.pieces.ids.take(np.concatenate([np.zeros(0, np.int64), *parts]))
-        return np.split(ids, np.append(0, np.cumsum(lens))[np.cumsum(n)][:-1]) if len(texts) else []
+        alone = np.concatenate([first, last])
+        strings = flat.take(pa.array(alone, pa.int64())).to_pylist()
+        ids, lens = self._each(strings[: len(first)] + [" " + p for p in strings[len(first) :]])
+        at[alone] = len(self.pieces.ids.lens) + np.arange(len(alone))
+        both = Ragged.of(np.concatenate([self.pieces.ids.ids, ids]), np.concatenate([self.pieces.ids.lens, lens]))
+        ids, lens = both.take(at)
+        upto = np.append(0, np.cumsum(lens))
+        out = [np.zeros(0, np.uint32)] * len(texts)
+        for i, a, b in zip(order, upto[first].tolist(), upto[ends].tolist(), strict=True):
+            out[i] = ids[a:b]
+        return out
 
 
 @dataclass
