@@ -32,7 +32,7 @@ from tidemark.llm.token_counts import read_model
 #: When a worker holds more pieces than this, it forgets all but the half that it met most often.
 KEPT_PIECES = 600_000
 #: New pieces that the library encodes as one text; characters of texts in which equal pieces are found together.
-JOINED, SLICE_CHARS = 500, 2_000_000
+JOINED, SLICE_CHARS = 500, 4_000_000
 
 #: A block ends after so many bytes of frames or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 512
