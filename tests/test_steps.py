@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.news import cluster_articles, merges_per_level
+from tidemark.operators.payload import build_payload, without_bounds
 from tidemark.operators.screener import Condition, Rule
 from tidemark.plans import steps
 from tidemark.plans.runner import StepError
@@ -225,6 +226,41 @@ def test_digests_name_a_key_once(spark):
     assert {r.label: r.n for r in steps.digest_counts(rows).collect()} == {"descartar": 1, "short": 1}
 
 
+def test_answers_are_recorded_by_payload_and_model(spark, store):
+    asked = []
+
+    def ask(payload):
+        asked.append(payload)
+        return steps.Reply(json.dumps({"summary": "s", "verdicts": [{"ticker": "A", "verdict": "confirmar", "confidence": 0.5}]}), 1_000_000, 100_000)
+
+    args = {"region": "eu", "ask": ask, "monthly_budget": 4.0}
+    first = steps.ask_model(store, "p", {"A"}, DAY, model="m", **args)
+    assert (first.cost_eur, first.month_eur, first.reused, first.over_budget) == (3.0, 3.0, False, False)
+    again = steps.ask_model(store, "p", {"A"}, DAY, model="m", **args)
+    assert (again.cost_eur, again.month_eur, again.reused) == (0.0, 3.0, True) and len(asked) == 1
+    other = steps.ask_model(store, "p", {"A"}, DAY + timedelta(days=1), model="n", **args)
+    assert other.over_budget and other.month_eur == 6.0 and len(asked) == 2
+    with pytest.raises(StepError):
+        steps.ask_model(store, "q", {"A", "B"}, DAY, model="m", **args)
+
+
+def test_payloads_carry_names_levels_and_general_topics(spark):
+    candidates = spark.createDataFrame([("A", "XNYS", "r", "long", 0.9123, "x; y", 100.0, "bull_flag", 95.0, 120.0), ("B", "XNYS", "r", "short", 0.5, "", 10.0, None, None, None)], "ticker string, mic string, rule_id string, direction string, score double, conditions_met string, close double, pattern string, stop_price double, target_price double")
+    topics = spark.createDataFrame([("c1", "A", NOW, 2, "s", "Title"), ("c2", None, NOW, 1, "s", "General")], "cluster_id string, ticker string, last_published_at timestamp, size int, sources string, title string")
+    panel = spark.createDataFrame([("A", "XNYS", "Name A", "EUR")], "ticker string, mic string, name string, currency string")
+    row = build_payload(candidates, topics, panel=panel, region="eu", day="2026-08-28", currency="EUR").first()
+    body = json.loads(row.payload)
+    a, b = sorted(body["candidates"], key=lambda x: x["ticker"])
+    assert (a["name"], a["currency"], a["levels"], b["name"], "levels" in b) == ("Name A", "EUR", {"pattern": "bull_flag", "stop": 95.0, "target": 120.0}, "B", False)
+    assert a["conditions"] == ["x", "y"] and [t["title"] for t in a["topics"]] == ["Title"] and [t["title"] for t in body["general_topics"]] == ["General"]
+    assert body["region"] == "eu" and list(body) == sorted(body)
+    assert build_payload(candidates.repartition(3), topics, panel=panel, region="eu", day="2026-08-28", currency="EUR").first().payload_hash == row.payload_hash
+
+
+def test_schemas_lose_bounds_only():
+    assert without_bounds({"a": {"minimum": 0, "type": "number", "anyOf": [{"maximum": 1, "x": [1]}]}}) == {"a": {"type": "number", "anyOf": [{"x": [1]}]}}
+
+
 # --- sources ----------------------------------------------------------------------------------------------------------
 
 def planned(spark, *keys):

@@ -72,6 +72,9 @@ def reconcile(signals: DataFrame, candles: DataFrame, *, max_open_gap: float = 0
 
 def reconciled(signals: DataFrame, candles: DataFrame, *, max_open_gap: float) -> DataFrame:
     order = [F.col(c).desc() for c in candles.columns if c not in (*KEY, "date")]
+    # only the days on which a signal executes are ranked
+    due = signals.select(*KEY, F.col("execute_on").alias("date")).distinct()
+    candles = candles.join(due, [*KEY, "date"], "left_semi").select(*candles.columns)
     one = candles.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY, "date").orderBy(*order))).where("_n = 1")
     opens = one.select(*KEY, F.col("date").alias("execute_on"), F.col("open").alias("_open"))
     out = signals.drop("execution_open", "open_gap", "reconcile_status").join(opens, [*KEY, "execute_on"], "left")

@@ -15,7 +15,7 @@ from tidemark.operators import actions, ingest, news, patterns, payload, quality
 from tidemark.operators import indicators as ind
 from tidemark.operators import signals as sg
 from tidemark.plans.views import ARTICLES, BARS, MEMBERS, SIGNALS, articles, bars, members, read, rnd, rnd_sql, signals
-from tidemark.schemas import KEY
+from tidemark.schemas import KEY, PATTERN_NAMES
 from tidemark.sources import tables
 from tidemark.streaming.events import event_bars as windowed_bars
 from tidemark.streaming.events import story_sessions as sessions_of
@@ -436,16 +436,14 @@ def panel_row_hash(s, d):
     return bars(s, d).select(*KEY, "date", sg.row_hash([("ticker", "string"), ("mic", "string"), ("volume", "bigint")]).alias("row_hash"))
 
 
-def _catalog(s, d):
-    b = bars(s, d)
-    return ind.indicators(b).join(patterns.pattern_columns(b), [*KEY, "date"])
-
-
 @query()
 def shipped_rules(s, d):
-    b = bars(s, d)
-    day = _last_day(b)
-    x = _catalog(s, d)
+    # on smoothed prices, whose jumps leave figures, on the latest day on which one completes
+    b = smooth(s, d).withColumn("volume", F.col("volume") * 1_000_000)
+    flags = patterns.pattern_columns(b)
+    done = F.greatest(*[F.coalesce(f"pat_{p}", F.lit(0.0)) for p in PATTERN_NAMES]) == 1
+    day = flags.agg(F.coalesce(F.max(F.when(done, F.col("date"))), F.max("date")).alias("d")).first().d
+    x = ind.indicators(b).join(flags, [*KEY, "date"])
     today = x.where(F.col("date") == F.lit(day)).select(*KEY, "avg_volume_20", F.lit("none").alias("sector"))
     return screener.run_screener(today, day, rules=screener.RULES, indicators=x)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import actions, ingest, news, patterns, signals, universe
 from tidemark.operators import indicators as ind
+from tidemark.operators.payload import check_answer
 from tidemark.operators.screener import Rule, compile_rule, evaluate, load_window
 from tidemark.plans.runner import StepError
 from tidemark.schemas import CATALOG, KEY
@@ -157,6 +159,52 @@ def persist_signals(store: TableStore, candidates: DataFrame, panel: DataFrame,
     return store.day("signals", region=region, date=as_of).count(), replaced
 
 
+@dataclass(frozen=True)
+class Reply:
+    """A model's answer and the tokens that it took."""
+
+    text: str
+    input_tokens: int = 0
+    output_tokens: int = 0
+    cache_write_tokens: int = 0
+    cache_read_tokens: int = 0
+    batch: bool = False
+
+
+@dataclass(frozen=True)
+class ModelReport:
+    answer: dict
+    cost_eur: float
+    month_eur: float
+    reused: bool
+    over_budget: bool
+
+
+def ask_model(store: TableStore, payload: str, tickers: set[str], as_of: date, *, region: str, model: str, ask: Callable[[str], Reply], monthly_budget: float = 5.0, **prices: float) -> ModelReport:
+    """The checked answer to a payload. A recorded one for the same payload and model is used again at no cost, if it can
+    still be read; else the model is asked and the call recorded with its cost. The budget only warns."""
+    digest = hashlib.sha256(payload.encode()).hexdigest()
+    saved, answer = store.llm_call(region, as_of, model=model, payload_hash=digest), None
+    if saved is not None:
+        try:
+            answer = check_answer(saved.response, tickers)
+        except (ValueError, KeyError, TypeError):
+            answer = None
+    cost, reused = 0.0, answer is not None
+    if answer is None:
+        reply = ask(payload)
+        try:
+            answer = check_answer(reply.text, tickers)
+        except (ValueError, KeyError, TypeError) as e:
+            raise StepError(f"the model's answer can't be used: {e}") from e
+        call = store.spark.createDataFrame([(region, as_of, model, digest, reply.batch, reply.input_tokens, reply.output_tokens, reply.cache_write_tokens, reply.cache_read_tokens, reply.text)], "region string, date date, model string, payload_hash string, batch boolean, input_tokens int, output_tokens int, cache_write_tokens int, cache_read_tokens int, response string")
+        call = call.withColumn("cost_eur", signals.estimate_cost(**prices))
+        cost = call.first().cost_eur
+        store.upsert("llm_calls", call.withColumn("created_at", F.current_timestamp()))
+    month = signals.month_cost(store.read("llm_calls"), as_of).first().cost_eur
+    return ModelReport(answer, cost, month, reused, month > monthly_budget)
+
+
 def run_reconcile(store: TableStore, as_of: date, *, region: str, max_open_gap: float = 0.02) -> DataFrame | None:
     """Reconciles what is pending with the opens of production; None if nothing is.
 
