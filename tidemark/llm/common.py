@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 #: Python functions cut a batch again so that the texts in work at one time stay near this many characters.
 WORK_CHARS = 1_000_000
+#: Rows in a range of a sorted table.
+RANGE_ROWS = 1 << 15
 _kept: list[tuple[str, object]] = []
 
 
@@ -98,6 +100,20 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return out
 
 
+def ranged(df: DataFrame, keys: list[str], name: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """df in the order of `keys`, nulls first, as a table: seq (long) numbers its rows in order, part (int) the ranges they lie in.
+
+    A range holds about `rows` rows, or fewer where the session has more shuffle partitions than that gives. Rows that
+    agree in all keys are told apart by where they lay in df, so that even they spread over several ranges.
+    """
+    own = written(df.withColumn("_tie", F.monotonically_increasing_id()), name)
+    parts = max(-(-own.count() // rows), 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = own.repartitionByRange(parts, *keys, "_tie").sortWithinPartitions(*keys, "_tie").withColumn("seq", F.monotonically_increasing_id())
+    out = written(out.withColumn("part", F.shiftright("seq", 33).cast("int")).drop("_tie"), name)
+    dropped(own)
+    return out
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by written() that no later plan reads."""
     for t in tables:

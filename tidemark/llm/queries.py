@@ -13,6 +13,7 @@ from tidemark.llm.decontam import contamination
 from tidemark.llm.embed_dedup import near_vectors
 from tidemark.llm.langid import language_id
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.merkle import manifest
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.mixing import mixed
 from tidemark.llm.quality import quality_scores
@@ -63,6 +64,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_vectors": op8_near_vectors,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_output": op10_token_output,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_mix": mixing.ORACLE}
