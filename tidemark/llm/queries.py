@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, warc
 from tidemark.llm.common import table
 from tidemark.llm.decontam import contamination
 from tidemark.llm.embed_dedup import near_vectors
@@ -68,6 +68,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_output": op10_token_output,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_warc": op12_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mix": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_mix": mixing.ORACLE, "op12_warc": warc.ORACLE}
