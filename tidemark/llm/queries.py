@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import mixing, warc
 from tidemark.llm.common import table
+from tidemark.llm.conversations import repair_conversations
 from tidemark.llm.decontam import contamination
 from tidemark.llm.embed_dedup import near_vectors
 from tidemark.llm.langid import language_id
@@ -72,6 +73,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_output": op10_token_output,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_warc": op12_warc,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_mix": mixing.ORACLE, "op12_warc": warc.ORACLE}
