@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.common import bound_batches, dropped, ranged, written
+from tidemark.llm.merkle import CRC32_SQL
 
 #: Costs of the edits, and of a truncated row that isn't deleted.
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 1, 2, 5, 5
@@ -372,3 +373,46 @@ def _of_several(found: DataFrame, cut: DataFrame, conv: str, arrow: pa.DataType)
     joined = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(join, f"{conv.replace('conv_id', '_id')}, audit string, repaired_sha256 string")
     totals = chained.drop("part", "after").distinct()
     return totals.join(joined, F.col("conv_id").eqNullSafe(F.col("_id"))).drop("_id")
+
+
+def _least_sql(*options: str) -> str:
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _edit_sql(letter: str, cost: object, to: str, line: str = "") -> str:
+    """A struct (cost, audit, lines) of an edit before those of `to`."""
+    return f"{{'c': {cost} + {to}.c, 'a': '{letter}' || {to}.a, 'l': {f'[{line}] || ' if line else ''}{to}.l}}"
+
+
+def _row_sql(state: int) -> str:
+    """The least edits of a row in a state of the grammar; those that aren't allowed cost very much."""
+    lost = f"CASE WHEN f IN ('b', 'd') THEN {INFINITE} WHEN f = 't' THEN {TRUNCATED} ELSE 0 END"
+    options = [_edit_sql("D", DELETE, f"z.q{state}")]
+    options += [_edit_sql("K", f"CASE WHEN left(role, 1) = '{i}' THEN {KEEP} ELSE {INFINITE} END + {lost}", f"z.q{p}", "role || ':' || text") for i, p in STEPS[state].items()]
+    options.append(_edit_sql("R", f"{REROLE} + {lost}", f"z.q{STEPS[state][GIVES[state]]}", f"'{ROLE[GIVES[state]]}:' || text"))
+    return _least_sql(*options)
+
+
+def _insert_sql(state: int, to: str) -> str:
+    return _edit_sql("I", INSERT, to, f"'{ROLE[GIVES[state]]}:'")
+
+
+_EMPTY = "{'c': CAST(0 AS BIGINT), 'a': '', 'l': CAST([] AS VARCHAR[])}"
+_DAMAGE = CRC32_SQL.format(x="coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')") + " % 20"
+
+#: The repair in SQL: the cheapest and least edits from every row on, from the last row to the first.
+ORACLE = f"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_DAMAGE} AS k FROM conversations),
+w AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE k <> 0),
+y AS (SELECT *, left(sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text), 32) AS mark FROM w),
+x AS (SELECT *, row_number() OVER o AS i, lag(role) OVER o AS before FROM y WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, mark, copy)),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS core FROM x),
+f AS (SELECT *, CASE WHEN core = '' THEN 'b' WHEN seen THEN 'd' WHEN right(core, 1) IN ('.', '!', '?') THEN '' ELSE 't' END AS f FROM e),
+g AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+count(*) FILTER (i > 1 AND left(before, 1) || left(role, 1) NOT IN ({", ".join(f"'{p}'" for p in LEGAL)})) AS illegal FROM f GROUP BY conv_id),
+z AS (SELECT conv_id, n AS i, {_EMPTY} AS q0, {_edit_sql("I", INSERT, _edit_sql("I", INSERT, f"({_EMPTY})", "'assistant:'").join("()"), "'user:'")} AS q1, {_edit_sql("I", INSERT, f"({_EMPTY})", "'assistant:'")} AS q2, {_EMPTY} AS q3 FROM g
+UNION ALL SELECT conv_id, i, {_least_sql("w0", _insert_sql(0, "e2"))}, {_least_sql("w1", _insert_sql(1, "e2"))}, e2, e3 FROM (
+SELECT *, {_least_sql("w2", _insert_sql(2, "w3"))} AS e2, {_least_sql("w3", _insert_sql(3, "w2"))} AS e3 FROM (
+SELECT z.conv_id, z.i - 1 AS i, {", ".join(f"{_row_sql(q)} AS w{q}" for q in range(len(STEPS)))} FROM z JOIN f ON z.conv_id IS NOT DISTINCT FROM f.conv_id AND z.i = f.i)))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+coalesce(z.q0.c, 0) AS cost, coalesce(z.q0.a, '') AS audit, sha256(coalesce(array_to_string(z.q0.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN z ON c.conv_id IS NOT DISTINCT FROM z.conv_id AND z.i = 0"""

@@ -279,3 +279,41 @@ def manifest(docs: DataFrame) -> DataFrame:
     out = proved(leaves.select("part", "tree", "seq", "doc_id", "digest", "other"), trees, above, proofs, schema)
     dropped(sources)
     return out
+
+
+#: The unsigned CRC-32 of an ASCII text in SQL.
+CRC32_SQL = """xor(list_reduce(list_transform(string_split({x}, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+lambda r, b: xor(r >> 8, list_reduce([xor(r, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295), 4294967295)"""
+
+
+def _field_sql(c: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def _tree_sql(name: str, leaves: str, key: str) -> str:
+    """A recursive table of (key, level, i, h): every level from the one below."""
+    return f"""{name} AS (SELECT {key}, 0 AS level, i, h FROM {leaves} UNION ALL SELECT {key}, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i))
+FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS n FROM {name}) WHERE n > 1 GROUP BY {key}, level, i // 3)"""
+
+
+def _siblings_sql(tree: str, key: str) -> str:
+    run = f"OVER (PARTITION BY {key}, level, i // 3 ORDER BY i ROWS BETWEEN"
+    return f"""SELECT {key}, level, i, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+FROM (SELECT *, count(*) OVER (PARTITION BY {key}, level) AS n FROM {tree}) WHERE n > 1"""
+
+
+#: The manifest in SQL.
+ORACLE = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, source, {" || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS f, text,
+CASE WHEN {CRC32_SQL.format(x="CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t FROM documents),
+x AS (SELECT id, doc_id, source, sha256(f || {_field_sql("text")}) AS h, sha256(f || {_field_sql("t")}) AS other FROM d),
+v AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM x),
+{_tree_sql("a", "v", "source")},
+s AS (SELECT source AS name, 0 AS k, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM a QUALIFY level = max(level) OVER (PARTITION BY source)),
+{_tree_sql("b", "s", "k")},
+p AS (SELECT v.id, g.level, g.l, g.r FROM v JOIN ({_siblings_sql("a", "source")}) g ON v.source IS NOT DISTINCT FROM g.source AND v.i // CAST(pow(3, g.level) AS BIGINT) = g.i
+UNION ALL SELECT v.id, 100 + g.level, g.l, g.r FROM v JOIN s ON v.source IS NOT DISTINCT FROM s.name JOIN ({_siblings_sql("b", "k")}) g ON s.i // CAST(pow(3, g.level) AS BIGINT) = g.i),
+q AS (SELECT id, sha256(string_agg(l || r, '' ORDER BY level)) AS proof, list(l || '|' || r ORDER BY level) AS pairs FROM p GROUP BY id),
+o AS (SELECT v.*, s.h AS subroot, (SELECT arg_max(h, level) FROM b) AS root, coalesce(q.proof, sha256('')) AS proof,
+list_reduce(coalesce(q.pairs, []), lambda y, z: sha256(split_part(z, '|', 1) || y || split_part(z, '|', 2)), v.other) AS again
+FROM v JOIN s ON v.source IS NOT DISTINCT FROM s.name LEFT JOIN q ON v.id = q.id)
+SELECT doc_id, h AS leaf, subroot, root, proof AS proof_sha256, again AS folded_root, again = root AS verified FROM o"""

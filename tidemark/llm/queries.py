@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, warc
+from tidemark.llm import conversations, merkle, mixing, warc
 from tidemark.llm.common import table
 from tidemark.llm.conversations import repair_conversations
 from tidemark.llm.decontam import contamination
@@ -93,4 +93,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mix": mixing.ORACLE, "op12_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_mix": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_warc": warc.ORACLE, "op13_conversation_repair": conversations.ORACLE}
