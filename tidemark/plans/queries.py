@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import text as tx
 from tidemark.functions.rules import compile_expression
-from tidemark.operators import actions, ingest, news, patterns, payload, quality, screener, universe
+from tidemark.operators import actions, graph, ingest, news, patterns, payload, quality, screener, similarity, universe
 from tidemark.operators import indicators as ind
 from tidemark.operators import signals as sg
 from tidemark.plans.views import ARTICLES, BARS, MEMBERS, SIGNALS, articles, bars, members, read, rnd, rnd_sql, signals
@@ -590,19 +590,19 @@ _SIMILAR = "SELECT a, b, CAST(k AS DOUBLE) / (x.n + y.n - k) AS jaccard FROM pai
 
 @query(_SIMILAR, _SHINGLES, _JACCARD)
 def shingle_jaccard(s, d):
-    return news.jaccard_pairs(_shingled(s, d), 0.85)
+    return similarity.jaccard_pairs(_shingled(s, d), 0.85)
 
 
 @query(_SIMILAR, _SHINGLES, _JACCARD)
 def minhash_lsh(s, d):
-    return news.minhash_pairs(_shingled(s, d), 0.85)
+    return similarity.minhash_pairs(_shingled(s, d), 0.85)
 
 
 @query(f"""SELECT a.vec_id AS a, b.vec_id AS b, {rnd_sql("list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))", 6)} AS cosine FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id
 WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.35""", "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)")
 def cosine_pairs(s, d):
     v = read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.col("embedding").cast("array<double>").alias("x"))
-    return news.cosine_pairs(v, 0.35).withColumn("cosine", rnd(F.col("cosine"), 6))
+    return similarity.cosine_pairs(v, 0.35).withColumn("cosine", rnd(F.col("cosine"), 6))
 
 
 _COMPONENTS = """RECURSIVE e AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY md5(text)) AS b FROM documents UNION ALL SELECT doc_id, doc_id - 1 FROM documents WHERE doc_id % 5 <> 0),
@@ -614,7 +614,51 @@ def components(s, d):
     x = read(s, d, "documents")
     same = x.select(F.col("doc_id").alias("a"), F.min("doc_id").over(Window.partitionBy(F.md5("text"))).alias("b"))
     near = x.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("a"), (F.col("doc_id") - 1).alias("b"))
-    return news.connected_components(same.union(near), x.select(F.col("doc_id").alias("id")))
+    return graph.connected_components(same.union(near), x.select(F.col("doc_id").alias("id")))
+
+
+_KRUSKAL = """{n}_state AS (SELECT CAST(0 AS BIGINT) AS k, (SELECT list(i ORDER BY i) FROM {n}_nodes) AS l, false AS took UNION ALL
+SELECT s.k + 1, list_transform(s.l, lambda v: CASE WHEN v = greatest(s.l[e.a], s.l[e.b]) THEN least(s.l[e.a], s.l[e.b]) ELSE v END), s.l[e.a] <> s.l[e.b] FROM {n}_state s JOIN {n}_edges e ON e.k = s.k + 1),
+{n}_last AS (SELECT l FROM {n}_state ORDER BY k DESC LIMIT 1)"""
+
+#: The cascade in SQL: copies chained, then links of each level taken one by one in order, labels in a list.
+_CASCADE = f"""RECURSIVE x AS (SELECT id, coalesce(language, '') AS grp, epoch_us(published_at) AS t, {_NORM.replace("text", "concat_ws('. ', nullif(trim(title), ''), nullif(trim(summary), ''))")} AS norm FROM articles),
+gaps AS (SELECT *, t - lag(t) OVER (PARTITION BY grp, norm ORDER BY t, id) > 172800000000 AS gap FROM x),
+runs AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY grp, norm ORDER BY t, id) AS s FROM gaps),
+p AS (SELECT id, grp, t, norm, min(id) OVER (PARTITION BY grp, norm, s) AS chain, count(*) OVER (PARTITION BY grp, norm, s) AS copies FROM runs),
+sh AS (SELECT DISTINCT id, grp, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM (SELECT id, grp, string_split(norm, ' ') AS w FROM p WHERE id = chain AND norm <> ''))),
+cnt AS (SELECT id, count(*) AS n FROM sh GROUP BY 1),
+alike AS (SELECT a, b FROM (SELECT a.id AS a, b.id AS b, count(*) AS k FROM sh a JOIN sh b ON a.grp = b.grp AND a.g = b.g AND a.id < b.id GROUP BY 1, 2) JOIN cnt x ON a = x.id JOIN cnt y ON b = y.id WHERE CAST(k AS DOUBLE) / (x.n + y.n - k) >= 0.85),
+two AS (SELECT u.chain AS ca, v.chain AS cb, min(row(CASE WHEN u.id < v.id THEN u.t ELSE v.t END, least(u.id, v.id), greatest(u.id, v.id))) AS o FROM alike JOIN p u ON u.chain = a JOIN p v ON v.chain = b WHERE abs(u.t - v.t) <= 172800000000 GROUP BY 1, 2),
+two_nodes AS (SELECT chain, row_number() OVER (ORDER BY chain) AS i FROM (SELECT DISTINCT chain FROM p)),
+two_edges AS (SELECT row_number() OVER (ORDER BY o) AS k, u.i AS a, v.i AS b, o[2] AS l, o[3] AS r FROM two JOIN two_nodes u ON u.chain = ca JOIN two_nodes v ON v.chain = cb),
+{_KRUSKAL.format(n="two")},
+c2 AS (SELECT n.chain, m.chain AS c, count(*) OVER (PARTITION BY m.chain) AS parts FROM two_nodes n JOIN two_last ON true JOIN two_nodes m ON m.i = l[n.i]),
+f2 AS (SELECT unnest([e.l, e.r]) AS id FROM two_state s JOIN two_edges e ON e.k = s.k WHERE took),
+alone AS (SELECT p.id, p.grp, p.t, CAST(embedding AS DOUBLE[]) AS e FROM p JOIN c2 ON c2.chain = p.chain JOIN embeddings ON vec_id = p.id WHERE copies = 1 AND parts = 1),
+three_nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM alone),
+three_edges AS (SELECT row_number() OVER (ORDER BY u.t, u.id, v.t, v.id) AS k, m.i AS a, n.i AS b, u.id AS l, v.id AS r FROM alone u JOIN alone v ON u.grp = v.grp AND row(u.t, u.id) < row(v.t, v.id) AND v.t - u.t <= 172800000000
+JOIN three_nodes m ON m.id = u.id JOIN three_nodes n ON n.id = v.id WHERE list_dot_product(u.e, v.e) / (sqrt(list_dot_product(u.e, u.e)) * sqrt(list_dot_product(v.e, v.e))) >= 0.35),
+{_KRUSKAL.format(n="three")},
+c3 AS (SELECT n.id, m.id AS c FROM three_nodes n JOIN three_last ON true JOIN three_nodes m ON m.i = l[n.i]),
+f3 AS (SELECT unnest([e.l, e.r]) AS id FROM three_state s JOIN three_edges e ON e.k = s.k WHERE took)"""
+
+
+def _cascade(s, d):
+    x = read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    # by language, where the given tables have more copies than by source
+    return news.cascade(articles(s, d).withColumn("ticker", F.col("language")), vectors=lambda alone: alone.select("id").join(x, "id"), cosine=0.35)
+
+
+@query("""SELECT p.id, coalesce(c3.c, c2.c) AS component, CASE WHEN p.id IN (SELECT id FROM f3) THEN 'embedding' WHEN p.id IN (SELECT id FROM f2) THEN 'minhash' WHEN copies > 1 THEN 'exact' ELSE 'single' END AS method
+FROM p JOIN c2 ON c2.chain = p.chain LEFT JOIN c3 ON c3.id = p.id""", _CASCADE.replace("RECURSIVE ", "RECURSIVE " + ARTICLES + ", ", 1))
+def cascade(s, d):
+    return _cascade(s, d)[0].select("id", "component", "method")
+
+
+@query("""SELECT 'exact' AS level, count(*) - count(DISTINCT chain) AS merges FROM p UNION ALL SELECT 'minhash', count_if(took) FROM two_state UNION ALL SELECT 'embedding', count_if(took) FROM three_state""", _CASCADE.replace("RECURSIVE ", "RECURSIVE " + ARTICLES + ", ", 1))
+def cascade_merges(s, d):
+    return _cascade(s, d)[1]
 
 
 _SCORED = """scored AS (SELECT *, concat_ws('. ', nullif(trim(title), ''), nullif(trim(summary), '')) AS t FROM articles),
