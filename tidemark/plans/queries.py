@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import models
 from tidemark.functions import text as tx
 from tidemark.functions.rules import compile_expression
-from tidemark.operators import actions, graph, ingest, news, patterns, payload, quality, screener, similarity, universe
+from tidemark.operators import actions, graph, ingest, news, patterns, payload, quality, screener, similarity, temporal, universe
 from tidemark.operators import indicators as ind
 from tidemark.operators import signals as sg
 from tidemark.plans.views import ARTICLES, BARS, MEMBERS, SIGNALS, articles, bars, members, read, rnd, rnd_sql, signals
@@ -106,6 +107,13 @@ def members_between(s, d):
     return universe.members_between(members(s, d), datetime(1996, 1, 1).date(), datetime(1996, 12, 31).date())
 
 
+@query("""SELECT day, sector, count(*) AS n, min(ticker) AS first_ticker FROM (SELECT DISTINCT date AS day FROM bars) JOIN members ON "start" <= day AND ("end" IS NULL OR "end" > day) GROUP BY 1, 2""", MEMBERS, BARS)
+def members_per_day(s, d):
+    """Members of each sector on each day that has bars."""
+    days = bars(s, d).select(F.col("date").alias("day"))
+    return temporal.members_per_day(members(s, d), days).groupBy("day", "sector").agg(F.count("*").alias("n"), F.min("ticker").alias("first_ticker"))
+
+
 @query("SELECT sector, count(*) AS n FROM members GROUP BY 1", MEMBERS)
 def members_by_sector(s, d):
     return members(s, d).groupBy("sector").agg(F.count("*").alias("n"))
@@ -162,6 +170,30 @@ def next_session(s, d):
     return sg.next_session(_sessions(s, d), THE_DAY)
 
 
+_MARKETS = "markets AS (SELECT mic, row_number() OVER (ORDER BY mic) - 1 AS i FROM (SELECT DISTINCT mic FROM sessions))"
+
+
+@query("""SELECT rule_id, mic, execute_on AS day, (SELECT min(session) FROM sessions x WHERE x.mic = s.mic AND x.session > s.execute_on) AS session
+FROM (SELECT rule_id, execute_on, m.mic FROM signals JOIN markets m ON CAST(substr(rule_id, 2) AS BIGINT) % (SELECT count(*) + 1 FROM markets) = i) s""", SIGNALS, SESSIONS, _MARKETS)
+def execution_session(s, d):
+    """The next session of each signal's market; markets are dealt out by the signal's number, one remainder has none."""
+    sessions = _sessions(s, d)
+    markets = sessions.select("mic").distinct().withColumn("i", F.row_number().over(Window.orderBy("mic")) - 1)
+    n = markets.agg((F.count("*") + 1).alias("n"))
+    rows = signals(s, d).select("rule_id", F.col("execute_on").alias("day")).crossJoin(F.broadcast(n)).withColumn("i", (F.substring("rule_id", 2, 20).cast("long") % F.col("n")).cast("int"))
+    return temporal.next_sessions(rows.join(markets, "i").select("rule_id", "mic", "day"), sessions, "day")
+
+
+@query("""SELECT ticker, mic, day, arg_max(open, date) AS open, max(date) AS bar_day FROM (SELECT DISTINCT 'Brand#' || CAST(event_id % 5 + 1 AS VARCHAR) || CAST(user_id % 5 + 1 AS VARCHAR) AS ticker, 'XSYN' AS mic, CAST(ts AS DATE) - 9000 - CAST(user_id % 100 AS INTEGER) AS day FROM events) e
+LEFT JOIN bars USING (ticker, mic) WHERE date IS NULL OR date <= day GROUP BY 1, 2, 3""", BARS)
+def last_bar_before(s, d):
+    """The last bar of a ticker at or before days on which it need not have one."""
+    e = read(s, d, "events")
+    brand = F.concat(F.lit("Brand#"), (F.col("event_id") % 5 + 1).cast("string"), (F.col("user_id") % 5 + 1).cast("string"))
+    days = e.select(brand.alias("ticker"), F.lit("XSYN").alias("mic"), F.date_sub(F.to_date("ts"), (F.col("user_id") % 100).cast("int") + 9000).alias("day")).distinct()
+    return temporal.asof_join(days, bars(s, d).withColumn("bar_day", F.col("date")), list(KEY), "day", "date", ["open", "bar_day"])
+
+
 @query("SELECT max(session) AS session FROM (SELECT session FROM sessions GROUP BY 1 HAVING bool_and(close_at <= TIMESTAMP '1997-06-15 18:00:00'))", SESSIONS)
 def last_closed_session(s, d):
     return sg.last_closed_session(_sessions(s, d), datetime(1997, 6, 15, 18))
@@ -300,22 +332,22 @@ _NUMBERED = f"""numbered AS (SELECT *, row_number() OVER {W} - 1 AS i, adj_close
 CASE WHEN lag(close) OVER {W} IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER {W}), abs(low - lag(close) OVER {W})) END AS tr FROM bars)"""
 
 
-@query(f"SELECT ticker, mic, date, CASE WHEN c_gain + c_loss > 0 THEN {rnd_sql('100 * c_gain / (c_gain + c_loss)', 3)} WHEN c_gain + c_loss = 0 THEN 50.0 END AS rsi_14 FROM loss",
+@query(f"SELECT ticker, mic, date, CASE WHEN c_gain + c_loss > 0 THEN {rnd_sql('100 * c_gain / (c_gain + c_loss)', 6)} WHEN c_gain + c_loss = 0 THEN 50.0 END AS rsi_14 FROM loss",
        BARS, _NUMBERED, _ema("greatest(dx, 0)", "(1.0 / 14)::DOUBLE", 14, 1, "gain", "numbered"), _ema("greatest(-dx, 0)", "(1.0 / 14)::DOUBLE", 14, 1, "loss", "gain"))
 def rsi(s, d):
-    return ind.indicators(_priced(bars(s, d)), ["rsi_14"]).select(*KEY, "date", rnd(F.col("rsi_14"), 3).alias("rsi_14"))
+    return ind.indicators(_priced(bars(s, d)), ["rsi_14"]).select(*KEY, "date", rnd(F.col("rsi_14"), 6).alias("rsi_14"))
 
 
-@query(f"SELECT ticker, mic, date, {rnd_sql('c_atr', 3)} AS atr_14 FROM atr", BARS, _NUMBERED, _ema("tr", "(1.0 / 14)::DOUBLE", 14, 1, "atr", "numbered"))
+@query(f"SELECT ticker, mic, date, {rnd_sql('c_atr', 6)} AS atr_14 FROM atr", BARS, _NUMBERED, _ema("tr", "(1.0 / 14)::DOUBLE", 14, 1, "atr", "numbered"))
 def atr(s, d):
-    return ind.indicators(_priced(bars(s, d)), ["atr_14"]).select(*KEY, "date", rnd(F.col("atr_14"), 3).alias("atr_14"))
+    return ind.indicators(_priced(bars(s, d)), ["atr_14"]).select(*KEY, "date", rnd(F.col("atr_14"), 6).alias("atr_14"))
 
 
-@query(f"SELECT ticker, mic, date, CASE WHEN c_sig IS NOT NULL THEN {rnd_sql('c_fast - c_slow', 2)} END AS macd, {rnd_sql('c_sig', 2)} AS macd_signal, {rnd_sql('c_fast - c_slow - c_sig', 2)} AS macd_hist FROM sig",
+@query(f"SELECT ticker, mic, date, CASE WHEN c_sig IS NOT NULL THEN {rnd_sql('c_fast - c_slow', 6)} END AS macd, {rnd_sql('c_sig', 6)} AS macd_signal, {rnd_sql('c_fast - c_slow - c_sig', 6)} AS macd_hist FROM sig",
        BARS, _NUMBERED, _ema("adj_close", "(2.0 / 13)::DOUBLE", 11, 0, "fast", "numbered"), _ema("adj_close", "(2.0 / 27)::DOUBLE", 25, 0, "slow", "fast"), _ema("(c_fast - c_slow)", "0.2::DOUBLE", 33, 25, "sig", "slow"))
 def macd(s, d):
     x = ind.indicators(_priced(bars(s, d)), ["macd", "macd_signal", "macd_hist"])
-    return x.select(*KEY, "date", *[rnd(F.col(c), 2).alias(c) for c in ("macd", "macd_signal", "macd_hist")])
+    return x.select(*KEY, "date", *[rnd(F.col(c), 6).alias(c) for c in ("macd", "macd_signal", "macd_hist")])
 
 
 # the same over bars whose closes before a 2:1 split are adjusted, in two markets
@@ -332,11 +364,11 @@ def _priced(b):
     return b.select(*KEY, "date", "high", "low", "close", "adj_close")
 
 
-@query(f"SELECT ticker, mic, date, CASE WHEN c_gain + c_loss > 0 THEN {rnd_sql('100 * c_gain / (c_gain + c_loss)', 3)} WHEN c_gain + c_loss = 0 THEN 50.0 END AS rsi_14, {rnd_sql('c_atr', 3)} AS atr_14, {_full('adj_close', 50)} AS sma_50, {rnd_sql(f'adj_close / lag(adj_close, 5) OVER {W} - 1', 6)} AS ret_5d FROM atr",
+@query(f"SELECT ticker, mic, date, CASE WHEN c_gain + c_loss > 0 THEN {rnd_sql('100 * c_gain / (c_gain + c_loss)', 6)} WHEN c_gain + c_loss = 0 THEN 50.0 END AS rsi_14, {rnd_sql('c_atr', 6)} AS atr_14, {_full('adj_close', 50)} AS sma_50, {rnd_sql(f'adj_close / lag(adj_close, 5) OVER {W} - 1', 6)} AS ret_5d FROM atr",
        *_SPLIT, _NUMBERED, _ema("greatest(dx, 0)", "(1.0 / 14)::DOUBLE", 14, 1, "gain", "numbered"), _ema("greatest(-dx, 0)", "(1.0 / 14)::DOUBLE", 14, 1, "loss", "gain"), _ema("tr", "(1.0 / 14)::DOUBLE", 14, 1, "atr", "loss"))
 def adjusted_indicators(s, d):
     x = ind.indicators(_priced(_split_bars(s, d)), ["rsi_14", "atr_14", "sma_50", "ret_5d"])
-    return x.select(*KEY, "date", rnd(F.col("rsi_14"), 3).alias("rsi_14"), rnd(F.col("atr_14"), 3).alias("atr_14"), rnd(F.col("sma_50"), 6).alias("sma_50"), rnd(F.col("ret_5d"), 6).alias("ret_5d"))
+    return x.select(*KEY, "date", rnd(F.col("rsi_14"), 6).alias("rsi_14"), rnd(F.col("atr_14"), 6).alias("atr_14"), rnd(F.col("sma_50"), 6).alias("sma_50"), rnd(F.col("ret_5d"), 6).alias("ret_5d"))
 
 
 @query(f"""SELECT ticker, mic, date, list_filter([{_RATIOS}]::DOUBLE[], lambda r: abs(1 / m / r - 1) <= 0.03)[1] AS value FROM (SELECT *, adj_close / lag(adj_close) OVER {W} AS m, close / lag(close) OVER {W} AS p FROM unadjusted)
@@ -661,6 +693,27 @@ def cascade_merges(s, d):
     return _cascade(s, d)[1]
 
 
+@query()
+def cascade_model(s, d):
+    """The cascade whose third level asks an embedder that is trained on the same articles."""
+    a = articles(s, d)
+    embed = models.train_embedder(a.select(tx.article_text(F.col("title"), F.col("summary")).alias("text"))).column(s)
+    return news.cascade(a, embed=embed, cosine=0.85)[0].select("id", "component", "method")
+
+
+def _sentiment_labels(s, d):
+    label = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    return read(s, d, "labels").select("doc_id", label.alias("label"))
+
+
+@query()
+def sentiment_scores(s, d):
+    """label and signed score of every document, by a model of the labelled ones."""
+    docs = read(s, d, "documents").select("doc_id", "text")
+    model = models.train_sentiment(docs.join(_sentiment_labels(s, d), "doc_id"), models.train_embedder(docs))
+    return docs.select("doc_id", model.column(s)(F.col("text")).alias("s")).select("doc_id", "s.label", "s.score")
+
+
 _SCORED = """scored AS (SELECT *, concat_ws('. ', nullif(trim(title), ''), nullif(trim(summary), '')) AS t FROM articles),
 ranked AS (SELECT *, floor((0.5 * reliability + 0.3 * CASE WHEN published_at = min(published_at) OVER (PARTITION BY ticker) THEN 1 ELSE 0 END + 0.2 * CAST(length(t) AS DOUBLE) / max(length(t)) OVER (PARTITION BY ticker)) * 1e9 + 0.5) AS s FROM scored)"""
 
