@@ -308,7 +308,7 @@ CASE WHEN {CRC32_SQL.format(x="CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN replace(t
 x AS (SELECT id, doc_id, source, sha256(f || {_field_sql("text")}) AS h, sha256(f || {_field_sql("t")}) AS other FROM d),
 v AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM x),
 {_tree_sql("a", "v", "source")},
-s AS (SELECT source AS name, 0 AS k, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM a QUALIFY level = max(level) OVER (PARTITION BY source)),
+s AS (SELECT source AS name, 0 AS k, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM (SELECT * FROM a QUALIFY level = max(level) OVER (PARTITION BY source))),
 {_tree_sql("b", "s", "k")},
 p AS (SELECT v.id, g.level, g.l, g.r FROM v JOIN ({_siblings_sql("a", "source")}) g ON v.source IS NOT DISTINCT FROM g.source AND v.i // CAST(pow(3, g.level) AS BIGINT) = g.i
 UNION ALL SELECT v.id, 100 + g.level, g.l, g.r FROM v JOIN s ON v.source IS NOT DISTINCT FROM s.name JOIN ({_siblings_sql("b", "k")}) g ON s.i // CAST(pow(3, g.level) AS BIGINT) = g.i),
