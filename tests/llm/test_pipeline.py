@@ -64,3 +64,10 @@ def test_run(spark):
         assert r.start == ends[-1]
         ends.append(r.start + r.n_tokens)
     assert [r.doc_id for r in got] == sorted(r.doc_id for r in got) and got
+
+
+@pytest.mark.parametrize("kinds", [(0,), (1,), ()])
+def test_labels_of_one_kind_decide_nothing(spark, tmp_path, kinds):
+    docs = spark.createDataFrame([(i, f"some text {i} " * 40, "en", "s", 1) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, k, 0) for i in range(12) for k in kinds], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert cp.quality(spark, docs, str(tmp_path)).count() == 12

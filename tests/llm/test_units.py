@@ -4,6 +4,7 @@ import time
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.bpe import pieces
@@ -151,3 +152,12 @@ def test_code_lengths_are_proper():
 def test_quality_without_examples_gives_the_rate():
     m = QualityModel([], [])
     assert (m.b, m.a) == (0.0, 0.0)
+
+
+def test_windows_lie_over_the_whole_text(spark):
+    from tidemark.llm.common import spread
+
+    texts = ["", "short", "x" * 60, "".join(chr(97 + i // 100) for i in range(1000)), None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(spread(F.col("t"), 60, 6).alias("s")).collect()
+    assert [r.s for r in rows[:3]] == texts[:3] and rows[4].s is None
+    assert rows[3].s == "".join(texts[3][i * 990 // 5 : i * 990 // 5 + 10] for i in range(6)) and rows[3].s[-1] == texts[3][-1]

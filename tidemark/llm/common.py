@@ -127,6 +127,13 @@ def remainder(column: Column, n: int) -> Column:
     return (F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
+def spread(text: Column, most: int, windows: int = 12) -> Column:
+    """The text, or of a longer one so many windows, `most` characters in all, that lie evenly from its start to its end."""
+    n, size = F.length(text), most // windows
+    cuts = [F.substring(text, F.lit(1) + F.floor(F.lit(i) * (n - size) / (windows - 1)).cast("int"), F.lit(size)) for i in range(windows)]
+    return F.when(n <= most, text).otherwise(F.concat(*cuts))
+
+
 def work_slices(sizes: list[int], most: int = WORK_CHARS):
     """Yields (from, to) over consecutive items whose sizes sum to about `most`; a larger item stands alone."""
     start, total = 0, 0

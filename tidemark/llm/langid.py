@@ -11,11 +11,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, remainder, work_slices, worker_state
+from tidemark.llm.common import bound_batches, remainder, spread, work_slices, worker_state
 
 #: Longest context in bytes.
 ORDER = 3
-#: Per language the model learns from documents of smallest key hash, about so many, of each at most so many characters.
+#: Per language the model learns from documents of smallest hash, about so many, of each at most so many characters, of
+#: longer ones from windows that lie evenly over the whole text.
 TRAIN_DOCS, TRAIN_CHARS = 1200, 4000
 UNKNOWN = "und"
 _START = b"\n" * ORDER
@@ -126,15 +127,19 @@ def _grams(stream: np.ndarray, order: int) -> np.ndarray:
 
 
 def train(df: DataFrame, learn: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> ContextTrees:
-    """The model from a bounded sample, spread by a hash of the key, of the rows for which learn holds and lang isn't null."""
+    """The model from a bounded sample, spread by a hash of key and text, of the rows for which learn holds and lang isn't null.
+
+    Repeated rows count once in it, and rows that share a key are drawn one by one, so however often a key occurs the
+    sample is bounded.
+    """
     from_ = df.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r.l: r.n for r in from_.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return ContextTrees({})
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs / n))])
-    drawn = (F.pmod(F.xxhash64(F.lit("lang"), F.col(key)), F.lit(1 << 20)) / F.lit(1 << 20)) < share[F.col(lang)]
+    drawn = (F.pmod(F.xxhash64(F.lit("lang"), F.col(key), F.col(text)), F.lit(1 << 20)) / F.lit(1 << 20)) < share[F.col(lang)]
     texts: dict[str, list[bytes]] = {k: [] for k in counts}
-    for r in from_.where(drawn).select(F.col(lang).alias("l"), F.substring(text, 1, chars).alias("t")).toLocalIterator():
+    for r in from_.where(drawn).select(F.col(lang).alias("l"), spread(F.col(text), chars).alias("t")).distinct().toLocalIterator():
         texts[r.l].append(r.t.encode())
     return ContextTrees({k: sorted(v) for k, v in texts.items()})
 

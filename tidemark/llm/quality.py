@@ -11,9 +11,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, remainder, worker_state
+from tidemark.llm.common import bound_batches, remainder, spread, worker_state
 
-#: Each class learns from so many labelled documents at most (those of smallest key hash), of each so many characters.
+#: Each class learns from so many labelled documents at most (those of smallest key hash), of each so many characters,
+#: of longer ones from windows that lie evenly over the whole text.
 TRAIN_DOCS, TRAIN_CHARS = 3000, 6000
 #: A text is compressed in parts of so many bytes, so that the dictionaries tell as much about its end as about its start.
 PART, DICT_BYTES, LEVEL = 512, 110 << 10, 3
@@ -95,11 +96,11 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     own = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (remainder(F.col(key), folds) != held_out))
     own = own.groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2")
     sizes = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    if len(sizes) < 2:
         return QualityModel([], [])
     parts = [own.where(F.col("y") == y).select("k", "y", F.xxhash64("k").alias("h")).orderBy("h").limit(most) for y in (0, 1)]
     picked = parts[0].union(parts[1]).select("k", "y")  # at most 2 * most rows
-    rows = docs.select(F.col(key).alias("k"), F.substring(text, 1, chars).alias("t")).where("t is not null").join(F.broadcast(picked), "k").groupBy("k", "y").agg(F.min("t").alias("t")).collect()
+    rows = docs.select(F.col(key).alias("k"), spread(F.col(text), chars).alias("t")).where("t is not null").join(F.broadcast(picked), "k").groupBy("k", "y").agg(F.min("t").alias("t")).collect()
     rows.sort(key=lambda r: (hashlib.sha256(str(r.k).encode()).digest(), r.t))
     n = sum(sizes.values())
     return QualityModel(*([r.t for r in rows if r.y == y] for y in (1, 0)), rate=min(max(sizes.get(1, 0) / n, 1e-3), 1 - 1e-3))
@@ -131,7 +132,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
     """Per row of docs: key, held_out, score, predicted (1 if score >= accept); learned outside the held-out fold.
 
     Null and empty texts get the score of no difference; a null key counts as the empty text for the fold; without
-    labels of both kinds the score is the rate of good labels (0.5 without any). Repeated rows give repeated rows, an
+    labels of both kinds every score is 0.5. Repeated rows give repeated rows, an
     empty table an empty one; other columns are ignored whatever their names. Two scans of docs (the sample's, whose
     rows are found through a broadcast of at most 6,000 keys, and the scoring one); no shuffle of texts.
     """
