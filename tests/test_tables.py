@@ -6,7 +6,7 @@ from tidemark.operators import actions, indicators, ingest, quality, signals, un
 from tidemark.schemas import check_identifier
 from tidemark.sources import parsers
 from tidemark.sources.registry import Budget
-from tidemark.sources.tables import TableStore, existing_ids, normalize_prices
+from tidemark.sources.tables import ConcurrentWrite, TableStore, existing_ids, normalize_prices
 from tidemark.plans.delivery import Dispatcher, Message, split_text
 from tidemark.plans.runner import Context, Pipeline, StepError, ok
 
@@ -140,3 +140,73 @@ def test_existing_ids(spark):
     news = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "id string")
     asked = spark.createDataFrame([("b",), ("b",), ("c",), (None,)], "id string")
     assert [r.id for r in existing_ids(news, asked).collect()] == ["b"]
+
+
+class Interrupted(TableStore):
+    """A store whose reads let another writer go first, once."""
+
+    other = None
+
+    def _base(self, table):
+        found = super()._base(table)
+        if self.other:
+            write, self.other = self.other, None
+            write()
+        return found
+
+
+def test_of_two_writers_one_fails_loudly_and_nothing_is_lost(spark, tmp_path):
+    one, two = TableStore(spark, str(tmp_path)), Interrupted(spark, str(tmp_path))
+    a, b, c = (normalize_prices(bars(spark, 2, ticker=t)) for t in "ABC")
+    one.upsert("prices", a)
+    two.other = lambda: one.upsert("prices", b)
+    with pytest.raises(ConcurrentWrite):
+        two.upsert("prices", c)
+    assert {r.ticker for r in one.read("prices").collect()} == {"A", "B"}
+    two.upsert("prices", c)  # it may try again
+    assert {r.ticker for r in one.read("prices").collect()} == {"A", "B", "C"}
+    for write in (lambda: two.update("prices", a, ["close"]), lambda: two.replace_day("prices", a, date=date(2026, 8, 1))):
+        two.other = lambda: one.upsert("prices", b)
+        with pytest.raises(ConcurrentWrite):
+            write()
+    assert one.read("prices").count() == 6
+
+
+def test_a_dead_writers_claim_is_released(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.upsert("prices", normalize_prices(bars(spark, 2)))
+    store._fs.createNewFile(store._path("prices", f"_claim-{store._base('prices')[0] + 1:012d}"))
+    with pytest.raises(ConcurrentWrite):
+        store.upsert("prices", normalize_prices(bars(spark, 3)))
+    store.release("prices")
+    store.upsert("prices", normalize_prices(bars(spark, 3)))
+    assert store.read("prices").count() == 3
+
+
+def test_duplicates_are_chosen_by_their_columns_not_their_place(spark, tmp_path):
+    rows = [("A", "X", date(2026, 8, 1), 1.0, 2.0, 1.0, c, c, v) for c, v in ((1.5, 10.0), (1.7, 10.0), (1.7, 30.0), (1.6, 90.0))]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(order, BARS).repartition(3)
+        assert [(r.close, r.volume) for r in normalize_prices(df).collect()] == [(1.7, 30)]
+
+
+def test_stale_history_by_one_window(spark):
+    at = lambda h: datetime(2026, 8, 10, h)
+    rows = [("A", "X", date(2026, 8, d), at(h)) for d, h in ((1, 3), (2, 9), (3, 9), (4, 12))] + [("B", "X", date(2026, 8, d), at(9)) for d in (1, 2, 2, 3)]
+    window = spark.createDataFrame(rows, "ticker string, mic string, date date, ingested_at timestamp")
+    events = lambda *e: spark.createDataFrame([(t, "X", date(2026, 8, d)) for t, d in e], "ticker string, mic string, date date")
+    assert [r.ticker for r in actions.needs_reingest(window, events(("A", 3), ("A", 3), ("B", 3))).collect()] == ["A"]
+    assert actions.needs_reingest(window, events(("A", 1), ("B", 1), ("B", 2))).count() == 0
+
+
+def test_reconciliation_fails_if_the_store_has_fewer_signals(spark, tmp_path, monkeypatch):
+    from tidemark.plans import steps
+
+    store, day = TableStore(spark, str(tmp_path)), date(2026, 8, 2)
+    signal = spark.createDataFrame([("A", "X", date(2026, 8, 1), "r", "eu", day, 100.0)], "ticker string, mic string, date date, rule_id string, region string, execute_on date, close double")
+    store.replace_day("signals", signal, region="eu", date=date(2026, 8, 1))
+    store.upsert("prices", normalize_prices(bars(spark, 3)))
+    assert steps.run_reconcile(store, day, region="eu").first().reconcile_status == "conciliada"
+    monkeypatch.setattr(TableStore, "update", lambda self, *a: 0)
+    with pytest.raises(StepError, match="1 signals were reconciled but 0 were updated"):
+        steps.run_reconcile(store, day, region="eu")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators.indicators import by_key
 from tidemark.schemas import KEY
@@ -47,11 +48,10 @@ def by_ratio(window: DataFrame, day=None) -> DataFrame:
 
 def needs_reingest(window: DataFrame, actions: DataFrame) -> DataFrame:
     """Keys with an event whose older rows were read over an hour before the event's own row: their history is stale."""
-    own = window.select(*KEY, F.col("date").alias("_d"), F.col("ingested_at").alias("_at"))
-    events = actions.select(*KEY, "date").distinct()
-    joined = events.join(own, KEY)
-    per = joined.groupBy(*KEY, "date").agg(F.max(F.when(F.col("_d") == F.col("date"), F.col("_at"))).alias("seen"), F.min(F.when(F.col("_d") < F.col("date"), F.col("_at"))).alias("oldest"))
-    return per.where(F.col("oldest") < F.col("seen") - F.expr("INTERVAL 1 HOUR")).select(*KEY).distinct()
+    older = Window.partitionBy(*KEY).orderBy(F.unix_date("date")).rangeBetween(Window.unboundedPreceding, -1)
+    own = window.select(*KEY, "date", "ingested_at", F.min("ingested_at").over(older).alias("_oldest"))
+    stale = own.where(F.col("_oldest") < F.col("ingested_at") - F.expr("INTERVAL 1 HOUR"))
+    return stale.join(actions.select(*KEY, "date"), [*KEY, "date"], "left_semi").select(*KEY).distinct()
 
 
 def new_events(detected: DataFrame, recorded: DataFrame) -> DataFrame:

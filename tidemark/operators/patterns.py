@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.indicators import by_key
+from tidemark.operators.indicators import by_key, true_range
 from tidemark.schemas import KEY, PATTERN_COLUMNS, PATTERN_NAMES
 
 HORIZON = 40
@@ -303,8 +303,7 @@ def flags(bars: DataFrame, sign: int = 1, p: Params = Params()) -> DataFrame:
     """
     h, lo, c = ("high", "low", "close") if sign > 0 else ("_nlow", "_nhigh", "_nclose")
     x = bars.withColumns({"_nlow": -F.col("low"), "_nhigh": -F.col("high"), "_nclose": -F.col("close")})
-    before = F.lag("close").over(by_key())
-    x = x.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
+    x = x.withColumn("_tr", true_range(F.col("high"), F.col("low"), F.col("close")))
     w = by_key().rowsBetween(1 - p.atr_length, 0)
     x = x.withColumn("_atr", F.when(F.count("_tr").over(w) == p.atr_length, F.avg("_tr").over(w))).withColumn("_i", F.row_number().over(by_key()))
     pause = by_key().rowsBetween(-p.flag_max, -1)
@@ -337,9 +336,10 @@ def follow(matches: DataFrame, bars: DataFrame, horizon: int = HORIZON) -> DataF
     adverse = F.when(F.col("sign") > 0, F.col("_low")).otherwise(-F.col("_high")) <= F.col("sign") * F.col("stop")
     good = F.when(F.col("sign") > 0, F.col("_high")).otherwise(-F.col("_low")) >= F.col("sign") * F.col("target")
     hit = F.when(adverse, "stop").when(good, "target")
-    keys = ["_m", *KEY, "date", "pattern", "direction", "stop", "target", "sign"]
-    per = joined.groupBy(*keys).agg(F.min(F.struct("_i", F.col("_open").alias("o"))).alias("first"), F.min(F.when(hit.isNotNull(), F.struct("_i", hit.alias("hit")))).alias("end"), F.max(F.struct("_i", F.col("_close").alias("c"))).alias("last"), F.min("_b").alias("_b"))
-    per = per.where((F.col("first._i") == F.col("_b") + 1) & (F.col("first.o") > 0)).withColumn("entry", F.col("first.o"))
+    # a match is one number while its bars meet; what it says is carried once
+    own_columns = F.struct(*KEY, "date", "pattern", "direction", "stop", "target", "sign")
+    per = joined.groupBy("_m").agg(F.any_value(own_columns).alias("_row"), F.min(F.struct("_i", F.col("_open").alias("o"))).alias("first"), F.min(F.when(hit.isNotNull(), F.struct("_i", hit.alias("hit")))).alias("end"), F.max(F.struct("_i", F.col("_close").alias("c"))).alias("last"), F.min("_b").alias("_b"))
+    per = per.select("_row.*", "first", "end", "last", "_b").where((F.col("first._i") == F.col("_b") + 1) & (F.col("first.o") > 0)).withColumn("entry", F.col("first.o"))
     void = (F.col("sign") * F.col("entry") <= F.col("sign") * F.col("stop")) | (F.col("sign") * F.col("entry") >= F.col("sign") * F.col("target"))
     outcome = F.when(void, "void").otherwise(F.coalesce("end.hit", F.lit("open")))
     sessions = F.when(void, 0).otherwise(F.coalesce("end._i", "last._i") - F.col("_b"))

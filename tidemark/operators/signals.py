@@ -53,7 +53,7 @@ def _complete(df: DataFrame, column: str, what: str) -> DataFrame:
 
 def build_signals(candidates: DataFrame, panel: DataFrame, sessions: DataFrame, as_of, *, region: str, snapshot_hash: str, verdicts: DataFrame | None = None, model: str | None = None) -> DataFrame:
     """Signals of the day: candidates with currency, execution session and verdict; each market needs a session, each ticker a verdict."""
-    out = candidates.join(panel.select(*KEY, "currency").dropDuplicates(KEY), KEY, "left").join(F.broadcast(sessions.select("mic", F.col("session").alias("execute_on"))), "mic", "left")
+    out = candidates.join(panel.select(*KEY, "currency").dropDuplicates(KEY), KEY, "left").join(sessions.select("mic", F.col("session").alias("execute_on")), "mic", "left")
     out = _complete(out, "execute_on", "execution session")
     if verdicts is not None:
         out = _complete(out.join(verdicts.select("ticker", "verdict", "confidence", "headline", "rationale", "risks"), "ticker", "left"), "verdict", "verdict")

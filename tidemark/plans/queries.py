@@ -89,10 +89,11 @@ def update_by_key(s, d):
     return tables.update_by_key(x, new, ["ticker", "rule_id"], ["reconcile_status"]).select("ticker", "rule_id", "reconcile_status")
 
 
-@query("SELECT id FROM articles WHERE id % 3 = 0", ARTICLES)
+@query("SELECT 2 * id AS id FROM articles WHERE 2 * id IN (SELECT id FROM articles)", ARTICLES)
 def existing_ids(s, d):
+    """Of the doubles of all ids those that are ids themselves."""
     a = articles(s, d)
-    return tables.existing_ids(a, a.where("id % 3 = 0"))
+    return tables.existing_ids(a, a.select((2 * F.col("id")).alias("id")))
 
 
 # --- universes and calendars ------------------------------------------------------------------------------------------
@@ -532,7 +533,7 @@ def pattern_flags(s, d):
 
 
 _MATCHES = """matches AS (SELECT ticker, mic, date, i, CASE WHEN volume % 2 = 0 THEN 'double_bottom' ELSE 'double_top' END AS pattern, CASE WHEN volume % 2 = 0 THEN 'long' ELSE 'short' END AS direction,
-CASE WHEN volume % 2 = 0 THEN close * 0.7 ELSE close * 1.3 END AS stop, CASE WHEN volume % 2 = 0 THEN close * 1.5 ELSE close * 0.5 END AS target FROM n WHERE volume % 5 = 0)"""
+CASE WHEN volume % 2 = 0 THEN close * 0.7 ELSE close * 1.3 END AS stop, CASE WHEN volume % 2 = 0 THEN close * 1.5 ELSE close * 0.5 END AS target FROM n)"""
 _N = f"n AS (SELECT *, row_number() OVER {W} AS i FROM bars)"
 _OUTCOMES = f"""walked AS (SELECT m.*, b.i - m.i AS k, CASE WHEN direction = 'long' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign, b.open, b.close AS bc,
 CASE WHEN (direction = 'long' AND b.low <= stop) OR (direction = 'short' AND b.high >= stop) THEN 'stop' WHEN (direction = 'long' AND b.high >= target) OR (direction = 'short' AND b.low <= target) THEN 'target' END AS hit
@@ -545,7 +546,7 @@ CASE WHEN NOT void THEN sign * (CASE hit WHEN 'stop' THEN stop WHEN 'target' THE
 def _outcomes(s, d):
     b = bars(s, d)
     even = F.col("volume") % 2 == 0
-    m = b.where("volume % 5 = 0").select(*KEY, "date", F.when(even, "double_bottom").otherwise("double_top").alias("pattern"), F.when(even, "long").otherwise("short").alias("direction"), F.when(even, F.col("close") * 0.7).otherwise(F.col("close") * 1.3).alias("stop"), F.when(even, F.col("close") * 1.5).otherwise(F.col("close") * 0.5).alias("target"))
+    m = b.select(*KEY, "date", F.when(even, "double_bottom").otherwise("double_top").alias("pattern"), F.when(even, "long").otherwise("short").alias("direction"), F.when(even, F.col("close") * 0.7).otherwise(F.col("close") * 1.3).alias("stop"), F.when(even, F.col("close") * 1.5).otherwise(F.col("close") * 0.5).alias("target"))
     return patterns.follow(m, b)
 
 

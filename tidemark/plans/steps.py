@@ -208,7 +208,8 @@ def ask_model(store: TableStore, payload: str, tickers: set[str], as_of: date, *
 def run_reconcile(store: TableStore, as_of: date, *, region: str, max_open_gap: float = 0.02) -> DataFrame | None:
     """Reconciles what is pending with the opens of production; None if nothing is.
 
-    It fails closed: without any candle, or without one of the day while signals execute today.
+    It fails closed: without any candle, without one of the day while signals execute today, or if the store has not as
+    many of the signals as were reconciled.
     """
     due = signals.pending(store.read("signals").where(F.col("region") == F.lit(region)), as_of).persist()
     try:
@@ -220,8 +221,10 @@ def run_reconcile(store: TableStore, as_of: date, *, region: str, max_open_gap:
         if latest is None or (span.last == as_of and latest != as_of):
             raise StepError(f"production has no prices of {as_of}; that session's cycle must run first")
         done = signals.reconcile(due, candles, max_open_gap=max_open_gap).withColumn("reconciled_at", F.current_timestamp()).persist()
-        done.count()
-        store.update("signals", done, ["execution_open", "open_gap", "reconcile_status", "reconciled_at"])
+        n = done.count()
+        updated = store.update("signals", done, ["execution_open", "open_gap", "reconcile_status", "reconciled_at"])
+        if updated != n:
+            raise StepError(f"{n} signals were reconciled but {updated} were updated")
         return done
     finally:
         due.unpersist()

@@ -21,12 +21,17 @@ STAMPS = ["ingested_at", "fetched_at", "computed_at", "detected_at", "updated_at
 STATES = 3
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has stored a state of the table since this one read it; nothing was written."""
+
+
 class TableStore:
     """Tables under root/schema/table, in parts by month of their day, and a small file that lists the parts of a state.
 
     A write makes new folders for the parts that it touches and then names the new state, in one rename. Readers see the
-    old or the new state, never part of one; the last states stay readable. Writers of one table must not run at the
-    same time: plain Parquet has no transactions across tables.
+    old or the new state, never part of one; the last states stay readable. A writer claims the number after the state
+    that it has read, which one writer can; a second one fails with ConcurrentWrite and may try again. Plain Parquet has
+    no transactions across tables. A writer that dies between claim and state leaves the claim to release().
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: str = "prod"):
@@ -52,6 +57,11 @@ class TableStore:
         states = self._states(table)
         return self._listed(table, states[-1]) if states else {}
 
+    def _base(self, table: str) -> tuple[int, dict[str, str]]:
+        """The number of the present state, -1 if there is none, and the folder of each of its parts, read together."""
+        states = self._states(table)
+        return (int(states[-1].split("-")[1]), self._listed(table, states[-1])) if states else (-1, {})
+
     def _read(self, table: str, parts: dict[str, str]) -> DataFrame:
         schema = TABLES[table][0]
         if not parts:
@@ -69,25 +79,40 @@ class TableStore:
     def _touched(self, table: str, df: DataFrame) -> set[str]:
         return {r.p for r in df.select(self._part(table).alias("p")).distinct().collect()}  # as many as there are months
 
-    def _store(self, table: str, df: DataFrame, parts: set[str]) -> None:
-        """Makes df the whole content of these parts; the others stay as they are."""
-        new, now = uuid.uuid4().hex, self._parts(table)
+    def _store(self, table: str, df: DataFrame, parts: set[str], base: tuple[int, dict[str, str]]) -> None:
+        """Makes df the whole content of these parts; the others stay as they are in `base`, the state that df was made of."""
+        new, (last, now) = uuid.uuid4().hex, base
         df.withColumn("part", self._part(table)).write.partitionBy("part").parquet(self._path(table, new).toString())
         made = {x.getPath().getName()[5:]: f"{new}/{x.getPath().getName()}" for x in self._fs.listStatus(self._path(table, new)) if x.getPath().getName().startswith("part=")}
         state = {k: v for k, v in now.items() if k not in parts} | made
-        states = self._states(table)
-        n = 1 + int(states[-1].split("-")[1]) if states else 0
         out = self._fs.create(self._path(table, f"_tmp-{new}"))
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        self._fs.rename(self._path(table, f"_tmp-{new}"), self._path(table, f"_state-{n:012d}"))
+        target = self._path(table, f"_state-{last + 1:012d}")
+        # creating a file that must not exist yet is the one step that only one writer can take
+        if self._fs.exists(target) or not self._fs.createNewFile(self._path(table, f"_claim-{last + 1:012d}")):
+            self._fs.delete(self._path(table, f"_tmp-{new}"), False)
+            self._fs.delete(self._path(table, new), True)
+            raise ConcurrentWrite(f"{table}: state {last + 1} has another writer")
+        if not self._fs.rename(self._path(table, f"_tmp-{new}"), target):
+            raise RuntimeError(f"{table}: state {last + 1} could not be named")
         self._clear(table)
 
+    def release(self, table: str) -> None:
+        """Takes back claims whose writer never stored a state. Only when no writer of the table is running."""
+        named = {x.split("-")[1] for x in self._states(table)}
+        base = self._path(table)
+        for x in self._fs.listStatus(base) if self._fs.exists(base) else []:
+            name = x.getPath().getName()
+            if name.startswith("_claim-") and name.split("-")[1] not in named:
+                self._fs.delete(x.getPath(), False)
+
     def _clear(self, table: str) -> None:
-        """Deletes states that are too old, and folders that no kept state lists."""
+        """Deletes states that are too old, with their claims, and folders that no kept state lists."""
         states = self._states(table)
         for x in states[:-STATES]:
             self._fs.delete(self._path(table, x), False)
+            self._fs.delete(self._path(table, x.replace("_state-", "_claim-")), False)
         used = {v.split("/")[0] for x in states[-STATES:] for v in self._listed(table, x).values()}
         for x in self._fs.listStatus(self._path(table)):
             if not x.getPath().getName().startswith("_") and x.getPath().getName() not in used:
@@ -95,15 +120,15 @@ class TableStore:
 
     def upsert(self, table: str, df: DataFrame, order: list[str] | None = None) -> None:
         """Rows of df replace those of equal primary key. Of duplicates in df the last in `order` stays, by default the
-        last by its stamp, and among equal stamps the last that arrived. Only the parts of df's months are rewritten."""
+        last by its stamp, and among those the greatest by its other columns. Only the parts of df's months are rewritten."""
         pk = TABLES[table][1]
         require_columns(df, pk)
         by = order or [c for c in STAMPS if c in df.columns]
         source = conform(df, table).persist()
         try:
-            touched = self._touched(table, source)
-            old = {k: v for k, v in self._parts(table).items() if k in touched}
-            self._store(table, merge(self._read(table, old), source, pk, by), touched)
+            base, touched = self._base(table), self._touched(table, source)
+            old = {k: v for k, v in base[1].items() if k in touched}
+            self._store(table, merge(self._read(table, old), source, pk, by), touched, base)
         finally:
             source.unpersist()
 
@@ -112,18 +137,19 @@ class TableStore:
         same = F.lit(True)
         for c, v in partition.items():
             same = same & F.col(check_identifier(c)).eqNullSafe(F.lit(v))
-        source, now = conform(df, table), self._parts(table)
+        base = self._base(table)
+        source, now = conform(df, table), base[1]
         day = partition.get(MONTHS[table])
         touched = ({f"{day:%Y-%m}"} if day else set(now)) | self._touched(table, source)
-        self._store(table, self._read(table, {k: v for k, v in now.items() if k in touched}).where(~same).unionByName(source), touched)
+        self._store(table, self._read(table, {k: v for k, v in now.items() if k in touched}).where(~same).unionByName(source), touched, base)
 
     def update(self, table: str, df: DataFrame, columns: list[str]) -> int:
         """Columns of the rows that df names by primary key; keys that aren't there are left out. How many there are."""
         pk = TABLES[table][1]
-        touched = self._touched(table, df)
-        target = self._read(table, {k: v for k, v in self._parts(table).items() if k in touched})
+        base, touched = self._base(table), self._touched(table, df)
+        target = self._read(table, {k: v for k, v in base[1].items() if k in touched})
         n = target.join(df.select(*pk).distinct(), pk, "left_semi").count()
-        self._store(table, update_by_key(target, df, pk, columns), touched)
+        self._store(table, update_by_key(target, df, pk, columns), touched, base)
         return n
 
     def scan(self, table: str, columns: list[str] | None = None, *, start: date | None = None, end: date | None = None, keys: DataFrame | None = None, order: bool = True) -> DataFrame:
@@ -198,14 +224,16 @@ def existing_ids(news: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def keep_last(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """One row per key: the last in the given order."""
+    """One row per key: the last in the given order, then the greatest by its other columns, so that no row's place decides."""
+    named = {*keys, *(o for o in order if isinstance(o, str))}
+    order = (*order, *(c for c in df.columns if c not in named))
     w = Window.partitionBy(*keys).orderBy(*[o.desc() if isinstance(o, Column) else F.desc(o) for o in order])
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def merge(target: DataFrame, source: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Target rows whose key source lacks, and one source row per key: the last in `order`, then the last that arrived."""
-    last = keep_last(source.withColumn("_at", F.monotonically_increasing_id()), keys, *(order or []), F.col("_at")).drop("_at")
+    """Target rows whose key source lacks, and one source row per key: the last in `order`, see keep_last."""
+    last = keep_last(source, keys, *(order or []))
     return target.join(last.select(*keys), keys, "left_anti").select(*target.columns).unionByName(last)
 
 
@@ -218,12 +246,12 @@ def update_by_key(target: DataFrame, source: DataFrame, keys: list[str], columns
 
 def normalize_prices(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Candles as they are stored: no null close, unknown markets named, dates without time, whole volumes, and of
-    duplicates the last in `order` (by default the last read, where rows say when), then the last that arrived."""
+    duplicates the last in `order` (by default the last read, where rows say when), see keep_last."""
     order = order or [c for c in STAMPS if c in df.columns]
     require_columns(df, ["ticker", "mic", "date", "open", "high", "low", "close", "adj_close", "volume"])
     out = df.withColumn("mic", F.coalesce("mic", F.lit("UNKNOWN"))).withColumn("date", F.to_date("date"))
     out = out.withColumn("volume", F.bround(F.col("volume").cast("double")).cast("long")).withColumn("close", F.nanvl(F.col("close").cast("double"), F.lit(None).cast("double"))).where("close is not null")
-    return keep_last(out.withColumn("_at", F.monotonically_increasing_id()), [*KEY, "date"], *order, F.col("_at")).drop("_at")
+    return keep_last(out, [*KEY, "date"], *order)
 
 
 def last_dates(df: DataFrame, keys: DataFrame | None = None) -> DataFrame:
