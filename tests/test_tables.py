@@ -210,3 +210,17 @@ def test_reconciliation_fails_if_the_store_has_fewer_signals(spark, tmp_path, mo
     monkeypatch.setattr(TableStore, "update", lambda self, *a: 0)
     with pytest.raises(StepError, match="1 signals were reconciled but 0 were updated"):
         steps.run_reconcile(store, day, region="eu")
+
+
+def test_clustered_tables_need_no_shuffle_by_key(spark, tmp_path):
+    from tidemark.sources.clustered import read_clustered, write_clustered
+
+    df = bars(spark, 25).unionByName(bars(spark, 25, "B")).unionByName(bars(spark, 3, "C").selectExpr("CAST(NULL AS string) AS ticker", *[c.split()[0] for c in BARS.split(", ")][1:]))
+    name = write_clustered(df, buckets=3, root=f"file://{tmp_path}")
+    stored = read_clustered(spark, name)
+    out = stored.select("ticker", "mic", "date", indicators.sma("close", 20).alias("sma_20"))
+    assert out.where("sma_20 IS NOT NULL").count() == 12 and stored.count() == 53
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    joined = stored.join(read_clustered(spark, write_clustered(df.select("ticker", "mic", "date").distinct(), buckets=3, root=f"file://{tmp_path}")).groupBy("ticker", "mic").count(), ["ticker", "mic"])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 50 and "Exchange hashpartitioning" not in plan

@@ -17,7 +17,7 @@ from tidemark.operators import indicators as ind
 from tidemark.operators import signals as sg
 from tidemark.plans.views import ARTICLES, BARS, MEMBERS, SIGNALS, articles, bars, members, read, rnd, rnd_sql, signals
 from tidemark.schemas import KEY, PATTERN_NAMES
-from tidemark.sources import tables
+from tidemark.sources import clustered, tables
 from tidemark.streaming.events import event_bars as windowed_bars
 from tidemark.streaming.events import story_sessions as sessions_of
 
@@ -312,6 +312,13 @@ def sma(s, d):
     return bars(s, d).select(*KEY, "date", *[rnd(ind.sma("adj_close", n), 6).alias(f"sma_{n}") for n in (20, 50, 200)])
 
 
+@query(f"SELECT ticker, mic, date, {', '.join(f'{_full("adj_close", n)} AS sma_{n}' for n in (20, 50, 200))} FROM bars", BARS)
+def sma_clustered(s, d):
+    """The same over a stored table that is clustered by key: no shuffle once it is written."""
+    stored = clustered.read_clustered(s, clustered.write_clustered(bars(s, d).select(*KEY, "date", "adj_close")))
+    return stored.select(*KEY, "date", *[rnd(ind.sma("adj_close", n), 6).alias(f"sma_{n}") for n in (20, 50, 200)])
+
+
 @query(f"SELECT ticker, mic, date, {_full('volume', 20)} AS avg_volume_20 FROM bars", BARS)
 def avg_volume(s, d):
     return bars(s, d).select(*KEY, "date", rnd(ind.sma("volume", 20), 6).alias("avg_volume_20"))
@@ -410,8 +417,9 @@ def recency_tail(s, d):
 _SMA = f"averaged AS (SELECT *, CASE WHEN count(adj_close) OVER {_frame(20)} = 20 THEN avg(adj_close) OVER {_frame(20)} END AS sma_20, CASE WHEN count(volume) OVER {_frame(20)} = 20 THEN avg(volume) OVER {_frame(20)} END AS avg_volume_20 FROM bars)"
 
 
-def _averaged(s, d):
-    return bars(s, d).withColumns({"sma_20": ind.sma("adj_close", 20), "avg_volume_20": ind.sma("volume", 20)})
+def _averaged(s, d, since=None):
+    b = bars(s, d) if since is None else bars(s, d).where(F.col("date") >= F.lit(since))
+    return b.withColumns({"sma_20": ind.sma("adj_close", 20), "avg_volume_20": ind.sma("volume", 20)})
 
 
 def _cross(s, d, expr):
@@ -453,8 +461,9 @@ FROM (SELECT ticker, mic, bool_or(coalesce(close > sma_20, false)) AS c1, bool_o
 FROM (SELECT *, row_number() OVER (PARTITION BY ticker, mic ORDER BY date DESC) - 1 AS rec, coalesce(close > sma_20, false) AND coalesce(lag(close) OVER {W} <= lag(sma_20) OVER {W}, false) AS x FROM averaged)
 WHERE rec < 3 GROUP BY 1, 2) WHERE last = (SELECT max(date) FROM bars) AND av >= 1) WHERE score >= 0.6 ORDER BY score DESC, ticker, mic LIMIT 20""", BARS, _SMA)
 def top_candidates(s, d):
-    x = _averaged(s, d)
     day = _last_day(bars(s, d))
+    # the windows of the means read only days that can hold the rule's sessions and the means' own, gaps allowed for
+    x = _averaged(s, d, since=universe.lookback_start(day, 5 * (20 + screener.compile_rule(RULE).sessions)))
     return screener.run_screener(x.where(F.col("date") == F.lit(day)), day, rules=[RULE], indicators=x, min_avg_volume=1.0).select(*KEY, "rule_id", "score", "conditions_met", "close")
 
 
