@@ -161,3 +161,41 @@ def test_windows_lie_over_the_whole_text(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(spread(F.col("t"), 60, 6).alias("s")).collect()
     assert [r.s for r in rows[:3]] == texts[:3] and rows[4].s is None
     assert rows[3].s == "".join(texts[3][i * 990 // 5 : i * 990 // 5 + 10] for i in range(6)) and rows[3].s[-1] == texts[3][-1]
+
+
+def test_strings_of_a_hot_anchor_come_in_bounded_slices():
+    """Eight megabytes under one anchor: every string once, a few megabytes at a time, in little more memory than that."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tidemark.llm.suffix_dedup import STRING_BYTES, Parts
+
+    r = np.random.default_rng(3)
+    texts = [r.integers(0, 256, n, np.uint8).tobytes() for n in (50, 49, 4000, 8 << 20)]
+    table = pa.table({"anchor": pa.array([1] * 4, pa.int64()), "k": pa.array([1, 2, 3, 4], pa.int64()), "r": pa.array([0] * 4, pa.int64()), "at": pa.array([7, 0, 100, 5], pa.int64()), "part": pa.array(texts, pa.binary())})
+    parts = Parts(table)
+    tracemalloc.start()
+    n = 0
+    for batch in parts.strings(50):
+        assert batch.num_rows * 50 <= STRING_BYTES
+        for i in {0, batch.num_rows // 2, batch.num_rows - 1}:
+            k, _, a, _, _, s = (c[i].as_py() for c in batch.columns)
+            at = {1: 7, 3: 100, 4: 5}[k]
+            assert texts[k - 1][a - at : a - at + 50] == s
+        n += batch.num_rows
+    assert n == 1 + 3951 + (8 << 20) - 49
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+
+
+def test_equal_strings_have_equal_hashes():
+    from tidemark.llm.suffix_dedup import string_hashes
+
+    r = np.random.default_rng(4)
+    rows = r.integers(0, 256, (20_000, 50), np.uint8)
+    h = string_hashes(rows)
+    assert (string_hashes(rows[::-1].copy())[::-1] == h).all() and len(np.unique(h)) == len(rows)
+    one = rows[:1].repeat(400, 0)
+    one[np.arange(400), np.arange(400) % 50] ^= np.uint8(1) << (np.arange(400) % 8).astype(np.uint8)
+    assert len(np.unique(string_hashes(one))) == len(np.unique(one, axis=0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ LENGTH, PIECE = 50, 16
 SHARD_BYTES, LONGEST = 1 << 20, 4096
 #: A text is worked on in parts of so many bytes; parts that are cut out leave when they have so many bytes together.
 WORK_BYTES = 1 << 20
+#: Strings of a hot anchor leave when they have so many bytes together.
+STRING_BYTES = 4 << 20
 
 
 def anchors(data: bytes, length: int = LENGTH, piece: int = PIECE) -> np.ndarray:
@@ -133,20 +136,31 @@ class Parts:
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return _ranges(self.k[row], self.r[row], self.at[row] + a[at], self.at[row] + b[at])
 
-    def strings(self, length: int) -> pa.RecordBatch:
-        """Every string of `length` bytes of every row, as a part of its own whose anchor is the string's hash."""
-        k, r, at, text, name = [], [], [], [], []
-        for i in range(len(self.code)):
-            part = self.parts[int(self.code[i])].as_py()
-            for j in range(len(part) - length + 1):
-                s = part[j : j + length]
-                k.append(self.k[i])
-                r.append(self.r[i])
-                at.append(self.at[i] + j)
-                text.append(s)
-                name.append(xxhash.xxh3_64_intdigest(s) - (1 << 63))
-        columns = [pa.array(x, pa.int64()) for x in (k, r, at)]
-        return pa.RecordBatch.from_arrays([columns[0], columns[1], columns[2], pa.nulls(len(k), pa.int64()), pa.array(name, pa.int64()), pa.array(text, pa.binary())], _FOUND)
+    def strings(self, length: int) -> Iterator[pa.RecordBatch]:
+        """Every string of `length` bytes of every row, as a part of its own whose anchor is the string's hash, some at a time."""
+        start = np.cumsum(self.lens) - self.lens
+        most = max(1, STRING_BYTES // length)
+        for i, code in enumerate(self.code.tolist()):
+            part = self.bytes[start[code] : start[code] + self.lens[code]]
+            for x in range(0, len(part) - length + 1, most):
+                own = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(part[x : x + most - 1 + length], length))
+                n = len(own)
+                text = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * length, length, dtype=np.int32)), pa.py_buffer(own)])
+                same = lambda v: pa.array(np.full(n, v, np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same(self.k[i]), same(self.r[i]), pa.array(self.at[i] + x + np.arange(n)), pa.nulls(n, pa.int64()), pa.array(string_hashes(own)), text], _FOUND)
+
+
+def string_hashes(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    out = np.zeros(len(rows), np.uint64)
+    with np.errstate(over="ignore"):
+        for word in wide.view(np.uint64).T:
+            x = (out ^ word) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            out = x ^ (x >> np.uint64(32))
+    return out.view(np.int64)
 
 
 _FOUND = ["k", "r", "a", "b", "anchor", "part"]
@@ -270,7 +284,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 return rows.slice(cut)
             if len(anchor) and not last_pass:  # one anchor with more distinct parts than a shard holds
                 postponed = int(anchor[0])
-                yield Parts(rows).strings(length)
+                yield from Parts(rows).strings(length)
                 return rows.slice(0, 0)
             return rows
 
@@ -285,7 +299,7 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 if same.num_rows:
                     p = Parts(same)
                     yield p.whole(np.flatnonzero(p.later()))
-                    yield Parts(p.rows.filter(pa.array(~p.later()))).strings(length)
+                    yield from Parts(p.rows.filter(pa.array(~p.later()))).strings(length)
                     rows = rows.filter(pc.not_equal(rows.column("anchor"), postponed))
             if rows.num_rows:
                 held.append(rows)
