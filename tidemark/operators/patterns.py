@@ -6,7 +6,7 @@ Series are independent of each other and bounded by their history; they run as o
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import numpy as np
@@ -197,13 +197,41 @@ class Match(NamedTuple):
     prices: tuple[float, ...]
 
 
+@dataclass
+class Search:
+    """Where a scan stands after its last bar: all that later bars can need besides the bars from cut_at() on."""
+
+    falling: bool | None = None
+    best: dict[bool, int] = field(default_factory=dict)
+    turns: list[Turn] = field(default_factory=list)
+    armed: list[tuple[str, Figure, list[Turn]]] = field(default_factory=list)
+
+    def cut_at(self, bars: int, p: Params) -> int:
+        """The first of so many bars that is needed again: by flags, and by the extremes that may turn, with their ATR."""
+        margin = p.atr_length + 1
+        return max(0, min([bars - p.flag_max - p.pole_bars, *self.best.values()]) - margin)
+
+    def moved(self, by: int) -> Search:
+        """The same with all bars numbered from `by` on."""
+        turn = lambda t: t._replace(bar=t.bar - by, seen_at=t.seen_at - by)
+        armed = [(name, f._replace(bar=f.bar - by), [turn(t) for t in own]) for name, f, own in self.armed]
+        return Search(self.falling, {k: v - by for k, v in self.best.items()}, [turn(t) for t in self.turns], armed)
+
+
 def scan(high: np.ndarray, low: np.ndarray, close: np.ndarray, p: Params = Params()) -> list[Match]:
     """All patterns in the order in which closes complete them."""
+    return scan_on(high, low, close, p)[0]
+
+
+def scan_on(high: np.ndarray, low: np.ndarray, close: np.ndarray, p: Params = Params(), search: Search | None = None, start: int = 0) -> tuple[list[Match], Search]:
+    """What the bars from `start` on complete, given where the search stood before them, and where it stands then."""
+    search = search or Search()
     atr = simple_atr(high, low, close, p.atr_length)
-    pivots, armed, out = Pivots(high, low, atr, p.reversal), [], []
+    pivots, armed, out = Pivots(high, low, atr, p.reversal), list(search.armed), []
+    pivots.falling, pivots.best, pivots.turns = search.falling, dict(search.best), list(search.turns)
     views = {1: (high, low, close), -1: (-low, -high, -close)}
     ceiling = {s: pd.Series(v[0]).rolling(p.flag_max, min_periods=1).max().shift(1).to_numpy() for s, v in views.items()}
-    for t in range(len(close)):
+    for t in range(start, len(close)):
         if pivots.step(t) is not None:
             armed = []
             recent = pivots.turns[-6:]
@@ -215,12 +243,12 @@ def scan(high: np.ndarray, low: np.ndarray, close: np.ndarray, p: Params = Param
                 f = test([r.bar for r in recent], [sign * r.price for r in recent], unit, p)
                 between = np.arange(last.bar + 1, t)
                 if f and not (sign * close[between] > f.line(between)).any():
-                    armed.append((name, sign, f, recent[-n:]))
+                    armed.append((name, f, recent[-n:]))
         waiting = []
-        for name, sign, f, own in armed:
-            line = f.line(t)
+        for name, f, own in armed:
+            sign, line = FIGURES[name][0], f.line(t)
             if not sign * close[t] > line:
-                waiting.append((name, sign, f, own))
+                waiting.append((name, f, own))
             elif t - own[0].bar <= p.max_span and sign * close[t] < line + f.height:
                 out.append(Match(name, t, sign * line, sign * f.stop, sign * (line + f.height), tuple(r.bar for r in own), tuple(r.price for r in own)))
         armed = waiting
@@ -229,7 +257,7 @@ def scan(high: np.ndarray, low: np.ndarray, close: np.ndarray, p: Params = Param
             if c[t] > ceiling[sign][t] and (found := _flag(h, lo, c, atr, t, p)):
                 bars, line, stop, target = found
                 out.append(Match(name, t, sign * line, sign * stop, sign * target, bars, (sign * lo[bars[0]], sign * h[bars[1]], sign * lo[bars[2]])))
-    return out
+    return out, Search(pivots.falling, pivots.best, pivots.turns[-6:], armed)
 
 
 def scaled(m: Match, factor: float) -> Match:
