@@ -8,10 +8,12 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from tidemark.plans.queries import ORACLE_SQL
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["ohlc_daily", "members_as_of", "snapshot_roll", "anomalies", "split_ratio", "sma", "rsi", "macd", "incremental_rows", "rule_expression", "trade_outcomes", "pattern_stats", "exact_dups", "reconcile", "recent_topics", "event_bars"]
+#: Every query of the engine's own operators that has SQL.
+OWN = sorted(ORACLE_SQL)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the driver's tables aren't here")
 
@@ -32,7 +34,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", OWN)
 def test_against_sql(spark, duck, name):
     df = __spark_entry__.queries()[name](spark, DIR)
     columns = sorted(df.columns)

@@ -47,3 +47,29 @@ def test_required_conditions_and_repeated_labels(spark):
 
 def test_shipped_pattern_rules():
     assert pattern_rule("bear_flag").direction == "short" and pattern_rule("bull_flag").direction == "long"
+
+
+def test_all_nine_shipped_rules_fire(spark):
+    """A key for each rule, on one day: its figure, or the dip, with volume and reward; one more whose sector is filtered out."""
+    from datetime import timedelta
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.screener import RULES, run_screener
+    from tidemark.schemas import PATTERN_NAMES
+
+    day = date(2024, 6, 28)
+    rows = []
+    for n, rule in enumerate([*RULES, RULES[0]]):
+        long, name = rule.direction == "long", rule.patterns[0] if rule.patterns else None
+        for back in range(8):
+            dip = name is None
+            rows.append((
+                f"T{n}", "X", day - timedelta(days=back), 100.0, 90.0 if dip else 110.0, 28.0 if dip and back == 3 else 50.0, 1.0 if back == 0 else -1.0, 0.0, 3_000_000, 2_000_000.0,
+                90.0 if long else 110.0, 130.0 if long else 70.0, *[1.0 if p == name and back == 0 else 0.0 for p in PATTERN_NAMES],
+            ))
+    columns = "ticker string, mic string, date date, close double, sma_200 double, rsi_14 double, macd double, macd_signal double, volume long, avg_volume_20 double, pat_stop double, pat_target double"
+    ind = spark.createDataFrame(rows, columns + "".join(f", pat_{p} double" for p in PATTERN_NAMES))
+    panel = ind.where(F.col("date") == F.lit(day)).select("ticker", "mic", "avg_volume_20", F.when(F.col("ticker") == f"T{len(RULES)}", "Financials").otherwise("Tech").alias("sector"))
+    got = {r.ticker: (r.rule_id, r.direction, r.score, r.pattern) for r in run_screener(panel, day, rules=RULES, indicators=ind).collect()}
+    assert got == {f"T{n}": (r.id, r.direction, 1.0, r.patterns[0] if r.patterns else None) for n, r in enumerate(RULES)} and len(RULES) == 9

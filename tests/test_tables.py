@@ -224,3 +224,37 @@ def test_clustered_tables_need_no_shuffle_by_key(spark, tmp_path):
     joined = stored.join(read_clustered(spark, write_clustered(df.select("ticker", "mic", "date").distinct(), buckets=3, root=f"file://{tmp_path}")).groupBy("ticker", "mic").count(), ["ticker", "mic"])
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == 50 and "Exchange hashpartitioning" not in plan
+
+
+PAGE = """<table><tr><th>Ticker</th><th>Company</th></tr><tr><td>ONE</td><td>only</td></tr></table>
+<table><tr><th>Ticker</th><th>Company</th><th>ICB Sector</th><th>Country</th></tr>
+<tr class="mw-empty-elt">
+</tr><tr><td>aa-b</td><td>A &amp; B<sup>[1]</sup></td><td>Tech</td><td> Norway </td></tr><tr><td>aa-b</td><td>A in Bergen</td><td>Tech</td><td>Norway</td></tr>
+<tr><td>cc</td><td>C</td><td></td><td>Atlantis</td></tr><tr><td></td><td>nothing</td><td>x</td><td>Norway</td></tr></table>"""
+
+
+def test_pages_are_parsed_by_a_table_function(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.sources import lateral
+
+    pages = spark.createDataFrame([(PAGE,), ("<p>no table</p>",), (None,), ("",)], "page string")
+    markets = {"Norway": ("XOSL", "NOK")}
+    got = lateral.listed(pages, "page", markets=markets, ticker=universe.canonical_ticker(F.col("ticker")))
+    assert sorted(tuple(r) for r in got.collect()) == [("AA.B", "A & B", "Tech", "XOSL", "NOK"), ("CC", "C", None, None, None)]
+    both = lateral.listed(pages, "page", headers={"ticker": ["Ticker"], "name": ["Company"]}, all_tables=True, mic="X", currency="EUR")
+    assert sorted(r.ticker for r in both.collect()) == ["ONE", "aa-b", "cc"] and both.first().mic == "X"
+    pages.createOrReplaceTempView("listing_pages")
+    lateral.register(spark)
+    found = spark.sql("SELECT t.ticker, t.market FROM listing_pages, LATERAL listed_constituents(page, map('ticker', array('Ticker'), 'market', array('Country')), false) t ORDER BY 1")
+    assert [tuple(r) for r in found.collect()] == [("aa-b", "Norway"), ("aa-b", "Norway"), ("cc", "Atlantis")]
+
+
+def test_feeds_are_parsed_by_a_table_function(spark):
+    from tidemark.sources import lateral
+
+    body = "<rss><channel><item><title>A &amp;amp; B rise</title><link>http://a</link><pubDate>Mon, 02 Mar 2026 10:00:00 +0200</pubDate><description>&lt;p&gt;Up  4%&lt;/p&gt;</description></item><item><title>old</title><link>http://b</link><pubDate>Mon, 02 Feb 2026 10:00:00 +0000</pubDate></item><item><title>no date</title><link>http://c</link></item></channel></rss>"
+    spark.createDataFrame([("f", body), ("g", "not xml"), ("h", None)], "source string, body string").createOrReplaceTempView("feed_bodies")
+    lateral.register(spark)
+    got = spark.sql("SELECT source, t.* FROM feed_bodies, LATERAL feed_entries(body, TIMESTAMP '2026-03-01 00:00:00') t").selectExpr("source", "CAST(published_at AS string) AS at", "title", "summary", "url").collect()
+    assert [tuple(r) for r in got] == [("f", "2026-03-02 08:00:00", "A & B rise", "Up 4%", "http://a")]

@@ -17,7 +17,7 @@ from tidemark.operators import indicators as ind
 from tidemark.operators import signals as sg
 from tidemark.plans.views import ARTICLES, BARS, MEMBERS, SIGNALS, articles, bars, members, read, rnd, rnd_sql, signals
 from tidemark.schemas import KEY, PATTERN_NAMES
-from tidemark.sources import clustered, tables
+from tidemark.sources import clustered, lateral, tables
 from tidemark.streaming.events import event_bars as windowed_bars
 from tidemark.streaming.events import story_sessions as sessions_of
 
@@ -115,6 +115,17 @@ def members_per_day(s, d):
     return temporal.members_per_day(members(s, d), days).groupBy("day", "sector").agg(F.count("*").alias("n"), F.min("ticker").alias("first_ticker"))
 
 
+@query("""SELECT upper(trim(s_name)) AS ticker, s_name || ' & Co' AS name, n_name AS sector, CASE WHEN r_name = 'EUROPE' THEN 'XEUR' WHEN r_name = 'ASIA' THEN 'XASI' END AS mic, CASE WHEN r_name = 'EUROPE' THEN 'EUR' WHEN r_name = 'ASIA' THEN 'JPY' END AS currency
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def listed_constituents(s, d):
+    """Suppliers listed in HTML tables of 40 rows, with rows without cells and a second, smaller table, read back with a country map."""
+    x = read(s, d, "supplier").join(read(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    row = F.concat(F.lit("<tr><td> "), F.lower("s_name"), F.lit(" </td><td>"), "s_name", F.lit(" &amp; Co</td><td>"), "n_name", F.lit("</td><td>"), "r_name", F.lit("</td></tr><tr class='empty'>\n</tr>"))
+    page = F.concat(F.lit("<p>x</p><table><tr><th>Symbol</th><th>Other</th></tr></table><table><tr><th>Symbol</th><th>Company</th><th>Sector</th><th>Country</th></tr>"), F.concat_ws("", F.collect_list(row)), F.lit("</table>"))
+    pages = x.groupBy(F.floor(F.col("s_suppkey") / 40)).agg(page.alias("html"))
+    return lateral.listed(pages, "html", markets={"EUROPE": ("XEUR", "EUR"), "ASIA": ("XASI", "JPY")}, ticker=universe.canonical_ticker(F.col("ticker")))
+
+
 @query("SELECT sector, count(*) AS n FROM members GROUP BY 1", MEMBERS)
 def members_by_sector(s, d):
     return members(s, d).groupBy("sector").agg(F.count("*").alias("n"))
