@@ -709,7 +709,7 @@ def cascade(s, d):
     return _cascade(s, d)[0].select("id", "component", "method")
 
 
-@query("""SELECT 'exact' AS level, count(*) - count(DISTINCT chain) AS merges FROM p UNION ALL SELECT 'minhash', count_if(took) FROM two_state UNION ALL SELECT 'embedding', count_if(took) FROM three_state""", _CASCADE.replace("RECURSIVE ", "RECURSIVE " + ARTICLES + ", ", 1))
+@query("""SELECT 'exact' AS level, count(*) - count(DISTINCT chain) AS merges FROM p UNION ALL SELECT 'minhash', CAST(count_if(took) AS BIGINT) FROM two_state UNION ALL SELECT 'embedding', CAST(count_if(took) AS BIGINT) FROM three_state""", _CASCADE.replace("RECURSIVE ", "RECURSIVE " + ARTICLES + ", ", 1))
 def cascade_merges(s, d):
     return _cascade(s, d)[1]
 
