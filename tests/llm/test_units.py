@@ -189,6 +189,25 @@ def test_strings_of_a_hot_anchor_come_in_bounded_slices():
     tracemalloc.stop()
 
 
+def test_only_parts_that_share_a_string_enter_a_suffix_array(monkeypatch):
+    """A thousand different parts under one anchor, and two that share a string with another owner's."""
+    import pyarrow as pa
+
+    from tidemark.llm import suffix_dedup
+
+    r = np.random.default_rng(5)
+    texts = [r.integers(0, 256, 80, np.uint8).tobytes() for _ in range(1000)]
+    texts[700] = texts[700][:10] + texts[300][20:70] + texts[700][:20]
+    texts[900] = texts[300][:49] + texts[900][:31]
+    n, entered = len(texts), []
+    table = pa.table({"anchor": pa.array([1] * n, pa.int64()), "k": pa.array(range(n), pa.int64()), "r": pa.array([0] * n, pa.int64()), "at": pa.array([5] * n, pa.int64()), "part": pa.array(texts, pa.binary())})
+    whole = suffix_dedup.least_owners
+    monkeypatch.setattr(suffix_dedup, "least_owners", lambda t, lens, owner, length: entered.append(owner.tolist()) or whole(t, lens, owner, length))
+    found = suffix_dedup.Parts(table).judged(50).to_pydict()
+    assert entered == [[300, 700]]
+    assert (found["k"], found["a"], found["b"]) == ([700], [15], [65])
+
+
 def test_equal_strings_have_equal_hashes():
     from tidemark.llm.suffix_dedup import string_hashes
 

@@ -84,6 +84,38 @@ def least_owners(t: np.ndarray, lens: np.ndarray, owner: np.ndarray, length: int
     return least
 
 
+def place_hashes(t: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """A 64-bit hash of the string of `length` bytes, eight at least, from every place on where one starts."""
+    if len(t) < length:
+        return np.zeros(0, np.uint64)
+    mixed = lambda h: (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h, have = mixed(words_at(t)[: len(t) - 7] * np.uint64(0x9E3779B97F4A7C15)), 8
+    while have < length:  # a string is two shorter ones, which may overlap
+        step = min(have, length - have)
+        h = mixed(h[:-step] * np.uint64(0xBF58476D1CE4E5B9) + (h[step:] ^ (h[step:] >> np.uint64(29))))
+        have += step
+    return h
+
+
+def shared_parts(t: np.ndarray, lens: np.ndarray, owner: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which of the texts end to end in t hold a string of `length` bytes with the hash of one of another owner's."""
+    source = np.repeat(np.arange(len(lens)), np.maximum(lens - length + 1, 0))
+    n = np.maximum(lens - length + 1, 0)
+    places = np.arange(len(source)) + np.repeat(np.cumsum(lens) - lens - (np.cumsum(n) - n), n)
+    h = place_hashes(t, length)[places] if len(places) else np.zeros(0, np.uint64)
+    inorder = np.sort(h)
+    again = inorder[1:][inorder[1:] == inorder[:-1]]
+    some = np.zeros(len(lens), bool)
+    if len(again):
+        at = np.flatnonzero(again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h)
+        at = at[np.argsort(h[at], kind="stable")]
+        first, end = runs(h[at])
+        of = owner[source[at]]
+        differ = np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
+        some[source[at][np.repeat(differ, end - first)]] = True
+    return np.flatnonzero(some)
+
+
 class Parts:
     """Rows (anchor, k, r, at, part) in the order of (anchor, k), and their distinct parts."""
 
@@ -109,6 +141,12 @@ class Parts:
     def whole(self, rows: np.ndarray) -> pa.RecordBatch:
         return _ranges(self.k[rows], self.r[rows], self.at[rows], self.at[rows] + self.lens[self.code[rows]])
 
+    def _bytes_of(self, some: np.ndarray) -> np.ndarray:
+        """The bytes of some distinct parts, end to end."""
+        lens = self.lens[some]
+        base = np.cumsum(lens) - lens
+        return self.bytes[np.repeat((np.cumsum(self.lens) - self.lens)[some] - base, lens) + np.arange(int(lens.sum()))]
+
     def judged(self, length: int) -> pa.RecordBatch:
         """Ranges of the parts' first owners that strings of other parts, with smaller owners, make go."""
         # strings of a part that is alone under its anchor stand in no other part
@@ -116,12 +154,13 @@ class Parts:
         anchor[self.code] = self.anchor
         _, same, times = np.unique(anchor, return_inverse=True, return_counts=True)
         some = np.flatnonzero(times[same] > 1)
+        # nor do those of a part none of whose strings has the hash of another owner's
+        some = some[shared_parts(self._bytes_of(some), self.lens[some], self.owner[some], length)]
         if not len(some):
             return _ranges(*[np.zeros(0, np.int64)] * 4)
         lens, owner = self.lens[some], self.owner[some]
         base = np.cumsum(lens) - lens
-        inside = np.repeat((np.cumsum(self.lens) - self.lens)[some] - base, lens) + np.arange(int(lens.sum()))
-        places = np.flatnonzero(least_owners(self.bytes[inside], lens, owner, length) < np.repeat(owner, lens))
+        places = np.flatnonzero(least_owners(self._bytes_of(some), lens, owner, length) < np.repeat(owner, lens))
         source = np.searchsorted(base, places, "right") - 1
         # runs of places within a part; a range may touch the next one of its part
         cut = np.flatnonzero((source[1:] != source[:-1]) | (places[1:] > places[:-1] + length)) + 1 if len(places) else np.zeros(0, np.int64)
@@ -202,7 +241,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         for batch in batches:
             keys = batch.column(0).to_numpy()
             order = np.argsort(keys, kind="stable")
-            found = [np.unique(np.concatenate([np.unique(anchors(x, length)) for _, x in worked(batch.column(1)[i].as_py(), length)])) for i in order.tolist()]
+            of_text = [[a[runs(a)[0]] for a in (anchors(x, length) for _, x in worked(batch.column(1)[i].as_py(), length))] for i in order.tolist()]
+            found = [np.unique(np.concatenate(a) if len(a) > 1 else a[0]) for a in of_text]
             k = np.repeat(keys[order], [len(x) for x in found])
             anchor = np.concatenate(found) if found else np.zeros(0, np.int64)
             # an anchor that the batch holds twice is shared: its first row says so for all others, which are told here
