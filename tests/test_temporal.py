@@ -99,3 +99,29 @@ def test_the_catalog_needs_no_python_worker(spark):
     assert "Python" not in plan and "Arrow" not in plan and "InPandas" not in plan
     last = out.orderBy("date").collect()[-1]
     assert 0 < last.rsi_14 < 100 and last.macd_hist == pytest.approx(last.macd - last.macd_signal) and last.atr_14 > 0 and last.sma_200 is None
+
+
+def test_a_day_is_of_the_earliest_interval_whatever_their_number(spark):
+    """Overlapping intervals, open ones among them, against a walk over all days; nothing is grouped by day and key."""
+    import random
+    from datetime import date, timedelta
+
+    from tidemark.operators.temporal import members_per_day
+
+    r, first = random.Random(11), date(2020, 1, 1)
+    at = lambda n: first + timedelta(days=n)
+    rows = [(r.choice(["A", "B", "C", "D", None]), r.choice(["X", None]), f"n{i}", r.choice([None, *[at(r.randrange(-40, 160))] * 4]), r.choice([None, *[at(r.randrange(-20, 190))] * 5])) for i in range(45)]
+    rows += [("E", "X", "late", None, at(30)), ("E", "X", "later", None, None), ("F", "X", "own", at(3), at(9)), ("F", "X", "rest", None, None)]
+    days = [at(n) for n in range(0, 170, 3)]
+    want = set()
+    for day in days:
+        held = {}
+        for t, m, name, start, end in rows:
+            if (start is None or start <= day) and (end is None or end > day):
+                held.setdefault((t, m), []).append((start is None, start or first, end is None, end or first, name))
+        want |= {(day, *k, min(v)[-1]) for k, v in held.items()}
+    table = spark.createDataFrame(rows, "ticker string, mic string, name string, start date, end date")
+    got = members_per_day(table, spark.createDataFrame([(d,) for d in days * 2], "day date"))
+    assert sorted(map(repr, got.select("day", "ticker", "mic", "name").collect())) == sorted(map(repr, spark.createDataFrame(list(want), "day date, ticker string, mic string, name string").collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in x and "ticker" in x and "day" in x for x in plan.splitlines())

@@ -68,15 +68,46 @@ def days_within(intervals: DataFrame, days: DataFrame, day: str = "day", start:
     month = lambda c: F.year(c) * 12 + F.month(c)
     first = F.greatest(F.col(start), days.select(F.min(day)).scalar())
     last = F.least(F.date_sub(F.col(end), 1), days.select(F.max(day)).scalar())
-    own = intervals.withColumn("_from", first).withColumn("_to", last).where("_from <= _to")
-    pieces = own.withColumn("_month", F.explode(F.sequence(month(F.col("_from")), month(F.col("_to"))))).drop("_from", "_to")
+    own = intervals.withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
+    pieces = own.withColumn("_month", F.explode(F.sequence(month(F.col("_first")), month(F.col("_last"))))).drop("_first", "_last")
+    # a few intervals may touch very many days: their pieces are dealt out before they meet them
+    pieces = pieces.repartition(int(intervals.sparkSession.conf.get("spark.sql.shuffle.partitions")), *intervals.columns, "_month")
     met = days.withColumn("_month", month(F.col(day))).join(pieces, "_month").drop("_month")
     return met.where((F.col(start).isNull() | (F.col(start) <= F.col(day))) & (F.col(end).isNull() | (F.col(end) > F.col(day))))
 
 
+def earliest_only(table: DataFrame) -> DataFrame:
+    """table with _from and _to, the days at most that each interval holds for itself: of intervals of one ticker and mic
+    the earliest has a day, those without a start come last. A row may be cut into several; a null bound is open.
+
+    Behind an interval's start the earlier ones hold one stretch, which ends where the last of them does, so an interval
+    begins there. Intervals without a start share, one after another, the gaps that the others leave.
+    """
+    far, ago = F.lit(1 << 30), F.lit(-(1 << 30))
+    rest = [c for c in table.columns if c not in ("ticker", "mic", "start", "end")]
+    own = table.withColumn("_s", F.coalesce(F.unix_date("start"), ago)).withColumn("_e", F.coalesce(F.unix_date("end"), far)).where("_s < _e")
+    key = Window.partitionBy("ticker", "mic", F.col("start").isNull())
+    before = key.orderBy("_s", F.col("end").isNull(), "_e", *rest).rowsBetween(Window.unboundedPreceding, -1)
+    held = own.withColumn("_from", F.greatest("_s", F.coalesce(F.max("_e").over(before), ago))).where("_from < _e")
+    begun, open_ = held.where("start is not null"), held.where("start is null")
+    runs = begun.select(F.col("ticker").alias("_t"), F.col("mic").alias("_m"), F.col("_from").alias("_z"), F.col("_e").alias("_a"))
+    # what lies before the first and behind each
+    gaps = runs.withColumn("_z", F.lead("_z", 1, 1 << 30).over(Window.partitionBy("_t", "_m").orderBy("_z"))).select("_t", "_m", "_a", "_z")
+    gaps = gaps.union(runs.groupBy("_t", "_m").agg(ago.alias("_a"), F.min("_z").alias("_z")).select("_t", "_m", "_a", "_z")).where("_a < _z")
+    same = F.col("ticker").eqNullSafe(F.col("_t")) & F.col("mic").eqNullSafe(F.col("_m"))
+    some = runs.select("_t", "_m").distinct()
+    cut = open_.join(gaps, same).select(*table.columns, F.greatest("_from", "_a").alias("_from"), F.least("_e", "_z").alias("_to")).where("_from < _to")
+    free = open_.join(some, same, "left_anti").select(*table.columns, "_from", F.col("_e").alias("_to"))
+    out = begun.select(*table.columns, "_from", F.col("_e").alias("_to")).union(cut).union(free)
+    day = lambda c, none: F.when(F.col(c) != none, F.date_from_unix_date(c)).alias(c)
+    return out.select(*table.columns, day("_from", ago), day("_to", far))
+
+
 def members_per_day(table: DataFrame, days: DataFrame) -> DataFrame:
-    """day with each member of that day, one row per key and day, of its earliest interval. days: day."""
-    held = days_within(table, days.select("day").distinct())
+    """day with each member of that day, one row per key and day, of its earliest interval. days: day.
+
+    Whose a day is follows from the intervals alone, so rows of members and days are neither sorted nor grouped.
+    """
     rest = [c for c in table.columns if c not in ("ticker", "mic")]
-    first = F.min(F.struct(F.col("start").isNull().alias("_n"), "start", F.col("end").isNull().alias("_e"), "end", *[c for c in rest if c not in ("start", "end")])).alias("_f")
-    return held.groupBy("day", "ticker", "mic").agg(first).select("day", "ticker", "mic", *[F.col(f"_f.{c}").alias(c) for c in rest])
+    held = days_within(earliest_only(table), F.broadcast(days.select("day").distinct()), start="_from", end="_to")
+    return held.select("day", "ticker", "mic", *rest)
