@@ -52,3 +52,8 @@ def test_every_sql_has_its_query():
 
 def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
+
+
+def test_shipped_rules_read_the_line_items_once(spark):
+    """Bars and figures are kept for the jobs that follow the first, so what is left to do reads no line items."""
+    assert not any("lineitem" in f for f in __spark_entry__.queries()["shipped_rules"](spark, "/root/testdata/sf0.001").inputFiles())

@@ -17,6 +17,7 @@ from tidemark.operators import indicators as ind
 from tidemark.operators import signals as sg
 from tidemark.plans.views import ARTICLES, BARS, MEMBERS, SIGNALS, articles, bars, members, read, rnd, rnd_sql, signals
 from tidemark.schemas import KEY, PATTERN_NAMES
+from tidemark.scratch import Scratch
 from tidemark.sources import clustered, lateral, tables
 from tidemark.streaming.events import event_bars as windowed_bars
 from tidemark.streaming.events import story_sessions as sessions_of
@@ -492,11 +493,13 @@ def panel_row_hash(s, d):
 @query()
 def shipped_rules(s, d):
     # on smoothed prices, whose jumps leave figures, on the latest day on which one completes
-    b = smooth(s, d).withColumn("volume", F.col("volume") * 1_000_000)
-    flags = patterns.pattern_columns(b)
+    # bars, a row per brand and day, are made from the line items once, and what is derived from them once for all jobs
+    scratch = Scratch(s)
+    b = scratch.keep(smooth(s, d).withColumn("volume", F.col("volume") * 1_000_000), "bars")
+    flags = scratch.keep(patterns.pattern_columns(b), "flags")
     done = F.greatest(*[F.coalesce(f"pat_{p}", F.lit(0.0)) for p in PATTERN_NAMES]) == 1
     day = flags.agg(F.coalesce(F.max(F.when(done, F.col("date"))), F.max("date")).alias("d")).first().d
-    x = ind.indicators(b).join(flags, [*KEY, "date"])
+    x = scratch.keep(ind.indicators(b).join(flags, [*KEY, "date"]), "indicators")
     today = x.where(F.col("date") == F.lit(day)).select(*KEY, "avg_volume_20", F.lit("none").alias("sector"))
     return screener.run_screener(today, day, rules=screener.RULES, indicators=x)
 
