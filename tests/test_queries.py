@@ -57,3 +57,11 @@ def test_entry_has_rows(spark):
 def test_shipped_rules_read_the_line_items_once(spark):
     """Bars and figures are kept for the jobs that follow the first, so what is left to do reads no line items."""
     assert not any("lineitem" in f for f in __spark_entry__.queries()["shipped_rules"](spark, "/root/testdata/sf0.001").inputFiles())
+
+
+def test_sentiment_scores_read_the_texts_once(spark):
+    """Texts are counted by the first job and never shuffled; what is left to do reads vectors, a row for each document."""
+    found = __spark_entry__.queries()["sentiment_scores"](spark, DIR)
+    assert not any("documents" in f for f in found.inputFiles())
+    assert found.columns == ["doc_id", "label", "score"]
+    assert found.select("doc_id").exceptAll(spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id")).count() == 0 and found.count() == spark.read.parquet(f"{DIR}/documents.parquet").count()
